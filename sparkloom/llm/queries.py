@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import near_dedup
+from . import exact_dedup, line_dedup, mixing, near_dedup, packing, tokens
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,9 +16,59 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_docs(spark, sf_dir), shingle=2, percent=80)
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line dedup: doc_id, n_lines, n_dropped, kept_sha256."""
+    return line_dedup.dedup_lines(_docs(spark, sf_dir), with_text=False)
+
+
+OP2_SQL = r"""
+WITH lines AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+         generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos
+  FROM documents),
+keyed AS (
+  SELECT doc_id, pos, line,
+         translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
+  FROM lines),
+common AS (
+  SELECT k, max(doc_id) AS top_doc FROM keyed WHERE length(k) >= 40
+  GROUP BY k HAVING count(DISTINCT doc_id) >= 5),
+judged AS (
+  SELECT keyed.doc_id, pos, line, common.k IS NOT NULL AND keyed.doc_id < top_doc AS gone
+  FROM keyed LEFT JOIN common ON keyed.k = common.k)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+FROM judged GROUP BY doc_id
+"""
+
+
+def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact duplicates: doc_id, keep_id, group_size, kept, text_sha256."""
+    return exact_dedup.exact_duplicates(_docs(spark, sf_dir))
+
+
+OP3_SQL = """
+SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
+       doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
+"""
+
+
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packing into 2048-token sequences: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
+    pieces = tokens.token_pieces(_docs(spark, sf_dir), length=2048, with_ids=False)
+    return packing.pack(pieces, capacity=packing.Capacity(tokens=2048, documents=2048, attention=2048 * 2048))
+
+
+def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mixing by weights 3, 1, 2 and 150 %: doc_id, size, source_size, target, taken."""
+    return mixing.mix_sources(_docs(spark, sf_dir), weights=(3, 1, 2), share=1.5, cap=2.0)
+
+
 def queries() -> dict:
-    return {"op1_near_dedup": op1_near_dedup}
+    return {f.__name__: f for f in (op1_near_dedup, op2_line_dedup, op3_exact_dedup, op4_best_fit_packing, op7_mix_sources)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_line_dedup": OP2_SQL, "op3_exact_dedup": OP3_SQL}

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact_dedup, line_dedup, mixing, near_dedup, packing, tokens
+from . import exact_dedup, line_dedup, mixing, near_dedup, packing, secrets, tokens, topk, toxicity
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,9 +67,45 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_docs(spark, sf_dir), weights=(3, 1, 2), share=1.5, cap=2.0)
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets with corpus-wide ownership: doc_id, n_assign, n_access, n_hex, base_sha256, spans."""
+    return secrets.scan_secrets(_docs(spark, sf_dir))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity learnt from two folds of three: doc_id, held_out, score, predicted."""
+    docs = _docs(spark, sf_dir)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where("toxic IS NOT NULL").select(F.col("doc_id").alias("_id"), F.col("toxic").alias("label"))
+    learn = docs.join(labels, docs.doc_id == labels._id).where(toxicity.fold(F.col("doc_id"), 3) != 1)
+    rows = learn.select("text", "label", F.xxhash64("doc_id").alias("order"))
+    out = toxicity.score_toxicity(docs, rows)
+    return out.select("doc_id", F.coalesce(toxicity.fold(F.col("doc_id"), 3) == 1, F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
+
+
+def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five best inner products of each query vector: query_id, rank, vec_id, score."""
+    return topk.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), every=50, k=5, scale=256.0)
+
+
+OP10_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
+QUERIES = (op1_near_dedup, op2_line_dedup, op3_exact_dedup, op4_best_fit_packing, op6_secret_scan, op7_mix_sources, op9_toxicity, op10_top_k)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_near_dedup, op2_line_dedup, op3_exact_dedup, op4_best_fit_packing, op7_mix_sources)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": OP2_SQL, "op3_exact_dedup": OP3_SQL}
+    return {"op2_line_dedup": OP2_SQL, "op3_exact_dedup": OP3_SQL, "op10_top_k": OP10_SQL}

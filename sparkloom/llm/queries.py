@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, line_dedup, mixing, near_dedup, packing, secrets, tokens, topk, toxicity
+from . import crf, exact_dedup, line_dedup, mixing, near_dedup, packing, secrets, shards, tokens, topk, toxicity
+from .store import Workspace
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,11 +68,25 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_docs(spark, sf_dir), weights=(3, 1, 2), share=1.5, cap=2.0)
 
 
+def op5_training_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token shards in training order, 512 ids a row: doc_id, piece, slot, shard, length, ids_crc32, byte_offset, row_crc32."""
+    pieces = tokens.token_pieces(_docs(spark, sf_dir), length=512)
+    return shards.write_shards(pieces, Workspace(spark, "shards").new_path("bin"), stride=512, per_shard=4096)
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets with corpus-wide ownership: doc_id, n_assign, n_access, n_hex, base_sha256, spans."""
     return secrets.scan_secrets(_docs(spark, sf_dir))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language by a CRF learnt from three folds of four: doc_id, held_out, lang_pred, score."""
+    docs = _docs(spark, sf_dir)
+    rows = docs.where(crf.fold(F.col("doc_id"), 4) != 2).select("text", "lang", F.xxhash64("doc_id").alias("order"))
+    out = crf.identify_language(docs, rows)
+    return out.select("doc_id", F.coalesce(crf.fold(F.col("doc_id"), 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity learnt from two folds of three: doc_id, held_out, score, predicted."""
     docs = _docs(spark, sf_dir)
@@ -100,7 +115,7 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
 
-QUERIES = (op1_near_dedup, op2_line_dedup, op3_exact_dedup, op4_best_fit_packing, op6_secret_scan, op7_mix_sources, op9_toxicity, op10_top_k)
+QUERIES = (op1_near_dedup, op2_line_dedup, op3_exact_dedup, op4_best_fit_packing, op5_training_shards, op6_secret_scan, op7_mix_sources, op8_language_id, op9_toxicity, op10_top_k)
 
 
 def queries() -> dict:

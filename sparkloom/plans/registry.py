@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from importlib import import_module
 
 _QUERIES: dict[str, Callable] = {}
 _ORACLE: dict[str, str] = {}
@@ -22,8 +23,12 @@ def register(name: str, sql: str | None = None):
     return add
 
 
+MODULES = ("scalar_queries",)
+
+
 def _load() -> None:
-    pass
+    for name in MODULES:
+        import_module(f"sparkloom.plans.{name}")
 
 
 def queries() -> dict[str, Callable]:

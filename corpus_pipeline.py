@@ -23,7 +23,7 @@ def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop texts without a letter or without a language; the model is learnt from three folds of four."""
-    rows = docs.where(crf.fold(F.col("doc_id"), 4) != 2).select("text", "lang", F.xxhash64("doc_id").alias("order"))
+    rows = docs.where(crf.fold(F.col("doc_id"), 4) != 2).select("doc_id", "text", "lang")
     judged = crf.identify_language(docs, rows, carry=True)
     return judged.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE)).select(*docs.columns)
 

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -259,17 +259,22 @@ def _predictor(model):
 
 
 def fit(labelled: DataFrame, ws: Workspace):
-    """A broadcast model from ``labelled`` (text, lang, order): per language the ``MAX_ROWS`` texts of least order."""
-    from pyspark.sql import Window
+    """A broadcast model from ``labelled`` (doc_id, text, lang).
 
-    w = Window.partitionBy("lang").orderBy("order")
-    some = labelled.where("lang IS NOT NULL AND text IS NOT NULL").withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= MAX_ROWS)
-    rows = some.orderBy("order").select("text", "lang").toArrow()  # at most MAX_ROWS rows of each language
+    Per language the ``MAX_ROWS`` documents of least hashed doc_id are chosen
+    without their texts, which only the chosen ones then give.
+    """
+    usable = labelled.where("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL")
+    w = Window.partitionBy("lang").orderBy("order", "doc_id")
+    ids = usable.select("doc_id", "lang", F.xxhash64("doc_id").alias("order")).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= MAX_ROWS)
+    ids = ws.save(ids.select("doc_id", "order"), "chosen")
+    some = usable.join(F.broadcast(ids), "doc_id").orderBy("order")  # MAX_ROWS ids of each language
+    rows = some.select("text", "lang").toArrow()
     return ws.spark.sparkContext.broadcast(train(rows["text"].to_pylist(), rows["lang"].to_pylist()))
 
 
 def identify_language(docs: DataFrame, labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
-    """doc_id (with ``carry`` every column), lang_pred, score for each row, by a model of ``labelled`` (text, lang, order).
+    """doc_id (with ``carry`` every column), lang_pred, score for each row, by a model of ``labelled`` (doc_id, text, lang).
 
     ``score`` is the share of the text's words expected in ``lang_pred``.  A null
     text, or one without a letter, is ``und`` with score 1, as is every text where

@@ -82,7 +82,7 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language by a CRF learnt from three folds of four: doc_id, held_out, lang_pred, score."""
     docs = _docs(spark, sf_dir)
-    rows = docs.where(crf.fold(F.col("doc_id"), 4) != 2).select("text", "lang", F.xxhash64("doc_id").alias("order"))
+    rows = docs.where(crf.fold(F.col("doc_id"), 4) != 2).select("doc_id", "text", "lang")
     out = crf.identify_language(docs, rows)
     return out.select("doc_id", F.coalesce(crf.fold(F.col("doc_id"), 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
 

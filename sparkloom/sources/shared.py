@@ -22,3 +22,20 @@ def materialise(df: DataFrame) -> DataFrame:
     path = f"{root(df.sparkSession)}/graph-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Levels:
+    """A table written level by level and read as one."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.path = spark, f"{root(spark)}/levels-{uuid.uuid4().hex}"
+        self.schema, self.paths = None, []
+
+    def add(self, df: DataFrame) -> DataFrame:
+        self.schema = self.schema or df.schema
+        self.paths.append(f"{self.path}/{len(self.paths):05d}")
+        df.write.parquet(self.paths[-1])
+        return self.spark.read.schema(self.schema).parquet(self.paths[-1])
+
+    def all(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(*self.paths)

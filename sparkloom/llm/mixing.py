@@ -33,15 +33,15 @@ def source_targets(sizes: DataFrame, *, weights=(3, 1, 2), share: float = 1.5, c
     uncapped.
     """
     order = Window.orderBy(F.col("source").asc_nulls_last())
-    w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.pmod(F.row_number().over(order) - 1, F.lit(len(weights))) + 1).cast("int"))
-    one = sizes.withColumn("weight", w).withColumn("_most", F.lit(float(cap)) * F.col("source_size"))
+    w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.pmod(F.col("_place") - 1, F.lit(len(weights))) + 1).cast("int"))
+    one = sizes.withColumn("_place", F.row_number().over(order)).withColumn("weight", w).withColumn("_most", F.lit(float(cap)) * F.col("source_size"))
     one = one.withColumn("_turn", F.col("_most") / F.col("weight"))
-    up = Window.orderBy("_turn", F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    up = Window.orderBy("_turn", "_place").rowsBetween(Window.unboundedPreceding, -1)
     every = Window.partitionBy()
     one = one.withColumn("_full", F.coalesce(F.sum("_most").over(up), F.lit(0.0))).withColumn("_used", F.coalesce(F.sum("weight").over(up), F.lit(0.0)))
     one = one.withColumn("_level", (F.lit(float(share)) * F.sum("source_size").over(every) - F.col("_full")) / (F.sum("weight").over(every) - F.col("_used")))
     # The first source that its level leaves at or under its cap fixes the level for all after it.
-    one = one.withColumn("_fix", F.min(F.when(F.col("_level") <= F.col("_turn"), F.struct("_turn", "_level"))).over(every)["_level"])
+    one = one.withColumn("_fix", F.min(F.when(F.col("_level") <= F.col("_turn"), F.struct("_turn", "_place", "_level"))).over(every)["_level"])
     return one.select("source", "source_size", "weight", F.when(F.col("_fix").isNull(), F.col("_most")).otherwise(F.least(F.col("_most"), F.col("_fix") * F.col("weight"))).alias("target"))
 
 

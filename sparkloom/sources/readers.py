@@ -21,7 +21,7 @@ def workspace(spark: SparkSession, root: str, only_sources: bool = False) -> Dat
     """files(path, name, stem, ext, length, content) under ``root``, ignored folders left out.
 
     The extension test reads no content: the binary reader prunes the column and
-    filters on names before bytes are decoded.
+    filters on names before bytes are decoded.  The reader lists no empty files.
     """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     base = F.regexp_replace(F.lit(root), r"/*\z", "/")

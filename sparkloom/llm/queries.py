@@ -90,10 +90,8 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity learnt from two folds of three: doc_id, held_out, score, predicted."""
     docs = _docs(spark, sf_dir)
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where("toxic IS NOT NULL").select(F.col("doc_id").alias("_id"), F.col("toxic").alias("label"))
-    learn = docs.join(labels, docs.doc_id == labels._id).where(toxicity.fold(F.col("doc_id"), 3) != 1)
-    rows = learn.select("text", "label", F.xxhash64("doc_id").alias("order"))
-    out = toxicity.score_toxicity(docs, rows)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(toxicity.fold(F.col("doc_id"), 3) != 1)
+    out = toxicity.score_toxicity(docs, labels.select("doc_id", F.col("toxic").alias("label")))
     return out.select("doc_id", F.coalesce(toxicity.fold(F.col("doc_id"), 3) == 1, F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
 
 

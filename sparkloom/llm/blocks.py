@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 U = np.uint64
 
 #: ASCII white space, as the contracts write it: [\x20\x09-\x0D].

@@ -29,8 +29,8 @@ from .groups import bounds, sorted_groups
 from .store import Workspace
 from .superminhash import band_keys, signatures
 
-#: Documents of a block in step 4; a task holds two blocks.
-BLOCK = 512
+#: Documents of a part or side in step 4; a task holds two.
+BLOCK = 1024
 SIG = "id long, k1 long, k2 long, n_shingles long, sig binary"
 
 
@@ -143,22 +143,36 @@ def _verifier(percent: int):
     return run
 
 
-def _neighbours(least: float):
-    """Within a block of one bucket: (document, foreign component) whose signatures agree enough."""
+def _neighbours(least: float, rows: int):
+    """Within a block of one bucket: (document, foreign component) whose signatures agree enough.
+
+    A block (i, j) holds parts i and j of its bucket; where they differ, only
+    documents of different parts are compared.  A pair is told in the bucket of
+    the first band that it shares, so several shared bands make no more rows.
+    """
 
     def run(batches):
         for t in sorted_groups(batches, ["bucket", "i", "j"]):
-            ids, comp, side = (t.column(c).to_numpy() for c in ("id", "component", "side"))
+            ids, comp, part, hi, lo = (t.column(c).to_numpy() for c in ("id", "component", "part", "i", "j"))
             sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint16).reshape(len(ids), -1)
+            bucket = t.column("bucket").to_numpy()
             cut = bounds(t.column("_g").to_numpy())
             found, others = [], []
             for a, b in zip(cut[:-1], cut[1:]):
-                right = a + np.flatnonzero(side[a:b])
-                for i in a + np.flatnonzero(~side[a:b]):
+                apart = hi[a] != lo[a]
+                earlier = rows * int(np.flatnonzero(band_keys(sig[a : a + 1], rows)[0] == bucket[a])[0])
+                for i in range(a, b):
                     # The document of the component with the larger name is the one that asks.
-                    y = right[comp[right] < comp[i]]
+                    ask = comp[a:b] < comp[i]
+                    if apart:
+                        ask &= part[a:b] != part[i]
+                    y = a + np.flatnonzero(ask)
                     if len(y):
-                        near = np.unique(comp[y][(sig[y] == sig[i]).mean(axis=1) >= least])
+                        same = sig[y] == sig[i]
+                        ok = same.mean(axis=1) >= least
+                        if earlier:
+                            ok &= ~same[:, :earlier].reshape(len(y), -1, rows).all(axis=2).any(axis=1)
+                        near = np.unique(comp[y][ok])
                         found.append(np.full(len(near), ids[i]))
                         others.append(near)
             if found:
@@ -234,14 +248,12 @@ def near_duplicates(
     named = ws.save(named, "named")
     mixed = named.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo < hi")
     blocks = mixed.select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts"))
-    rows_ = named.join(blocks, "bucket").withColumn("part", F.pmod(F.xxhash64("id", F.lit(7)), "parts").cast("int"))
-    # Block (i, j), i >= j: part i asks part j, and part j asks part i where they differ.
-    sides = rows_.select(
-        "bucket", "id", "component",
-        F.explode(F.expr("flatten(transform(sequence(0, parts - 1), o -> array(struct(part AS i, o AS j, false AS side), struct(o AS i, part AS j, true AS side))))")).alias("p"),
-    ).select("bucket", "id", "component", "p.i", "p.j", "p.side")
+    placed = named.join(blocks, "bucket").withColumn("part", F.pmod(F.xxhash64("id", F.lit(7)), "parts").cast("int"))
+    # Block (i, j), i >= j, holds parts i and j.
+    sides = placed.select("bucket", "id", "component", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("o"))
+    sides = sides.select("bucket", "id", "component", "part", F.greatest("part", "o").alias("i"), F.least("part", "o").alias("j"))
     asks = ws.save(
-        _dealt(sides.join(sigs, "id"), "bucket", "i", "j").mapInArrow(_neighbours(least), "id long, other long").distinct(), "asks"
+        _dealt(sides.join(sigs, "id"), "bucket", "i", "j").mapInArrow(_neighbours(least, rows), "id long, other long").distinct(), "asks"
     )
     if asks.isEmpty():
         links = stars

@@ -268,7 +268,7 @@ def fit(labelled: DataFrame, ws: Workspace):
     w = Window.partitionBy("lang").orderBy("order", "doc_id")
     ids = usable.select("doc_id", "lang", F.xxhash64("doc_id").alias("order")).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= MAX_ROWS)
     ids = ws.save(ids.select("doc_id", "order"), "chosen")
-    some = usable.join(F.broadcast(ids), "doc_id").orderBy("order")  # MAX_ROWS ids of each language
+    some = usable.join(ids, "doc_id").orderBy("order")  # a written table of MAX_ROWS ids of each language
     rows = some.select("text", "lang").toArrow()
     return ws.spark.sparkContext.broadcast(train(rows["text"].to_pylist(), rows["lang"].to_pylist()))
 

@@ -130,14 +130,14 @@ def test_greedy_budget_over_rounds(spark, monkeypatch):
 
 def test_diff_sets_and_message(spark):
     lines = ["diff --git a b", "@@ -1,2 +1,3 @@ class Old", "+class New {", "-class Gone {", "+function same(a)", "-function same()", "+ if (x == null) fix", " keep"]
-    d = spark.createDataFrame([("billing/InvoiceService.cs", "Modified", i, x) for i, x in enumerate(lines)], "path string, status string, line_no int, line string")
+    d = spark.createDataFrame([("shipping/LabelMaker.cs", "Modified", i, x) for i, x in enumerate(lines)], "path string, status string, line_no int, line string")
     s = D.symbol_sets(d).first()
     assert (s["added"], s["modified"], s["removed"]) == (["New"], ["Old", "same"], ["Gone"])
     st = D.stats(d).first()
     assert (st["insertions"], st["deletions"], st["fixes"]) == (3, 2, 1)
     ch = D.stats(d).join(D.symbol_sets(d), "path").withColumn("n_added", F.size("added")).withColumn("g", F.lit(1))
     m = D.draft(ch, "en", "g").first()
-    assert m["subject"] == "feat(invoiceservice): update InvoiceService.cs" and "New" in m["body"]
+    assert m["subject"] == "feat(labelmaker): update LabelMaker.cs" and "New" in m["body"]
 
 
 def test_tree_marks(spark):

@@ -83,30 +83,23 @@ def _writer(folder: str, stride: int, n: int, per_shard: int):
     return run
 
 
-def _narrow(batches):
-    """Ids as 16 bits where the vocabulary allows."""
-    for b in batches:
-        ids = pa.array([np.frombuffer(x, "<u4").astype("<u2").tobytes() for x in b.column("ids").to_pylist()], pa.binary())
-        i = b.schema.get_field_index("ids")
-        yield pa.RecordBatch.from_arrays([*b.columns[:i], ids, *b.columns[i + 1 :]], b.schema.names)
-
-
-def write_shards(pieces: DataFrame, folder: str, *, stride: int = 512, per_shard: int = 4096, key: int = 2024, chunks: int = 4096) -> DataFrame:
-    """Write ``pieces`` (doc_id, piece, length, ids_crc32, ids: uint32 bytes) as shards; one row per sequence.
+def write_shards(pieces: DataFrame, folder: str, *, stride: int = 512, per_shard: int = 4096, key: int = 2024) -> DataFrame:
+    """Write ``pieces`` (doc_id, piece, length, ids_crc32, ids: uint16 bytes) as shards; one row per sequence.
 
     Returns doc_id, piece, slot, shard, length, ids_crc32, byte_offset and
     row_crc32 (of the padded row).  Rows hold ``stride`` little-endian uint16
-    ids, 0 after the sequence's end.  Sequences are numbered by ``chunks`` hash chunks and by
-    (doc_id, piece) within, whatever the cluster; repeated rows follow each other.  An empty table writes no shard.
+    ids, 0 after the sequence's end.  Sequences are written once and numbered as
+    they lie in that table, so numbering moves nothing; the ids move once, to their
+    shard.  Repeated rows are sequences of their own.  An empty table writes no shard.
     """
     ws = Workspace(pieces.sparkSession, "shards")
-    narrow = pieces.mapInArrow(_narrow, pieces.schema).withColumn("chunk", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(chunks)).cast("int"))
-    order = Window.partitionBy("chunk").orderBy("doc_id", "piece")
-    table = ws.save(narrow.withColumn("row", F.row_number().over(order)), "sequences")
-    before = Window.orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    counts = table.groupBy("chunk").count().withColumn("before", F.coalesce(F.sum("count").over(before), F.lit(0)))  # `chunks` rows
+    placed_at = F.monotonically_increasing_id()
+    table = ws.save(pieces.withColumn("part", F.shiftright(placed_at, 33).cast("int")).withColumn("row", placed_at.bitwiseAND(F.lit((1 << 33) - 1))), "sequences", compression="zstd")
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    # One row per input split, written so that Spark knows its size and broadcasts it only where it is small.
+    counts = ws.save(table.groupBy("part").count().withColumn("before", F.coalesce(F.sum("count").over(before), F.lit(0))), "counts")
     n = table.count()
-    numbered = table.join(counts.select("chunk", "before"), "chunk").select("doc_id", "piece", "length", "ids_crc32", "ids", (F.col("before") + F.col("row") - 1).alias("number"))
+    numbered = table.join(counts.select("part", "before"), "part").select("doc_id", "piece", "length", "ids_crc32", "ids", (F.col("before") + F.col("row")).alias("number"))
     schema = "doc_id long, piece int, length long, ids_crc32 long, ids binary, number long, slot long, shard long"
     placed = numbered.mapInArrow(_slotter(max(n, 1), key, per_shard), schema)
     shards = max(1, -(-n // per_shard))

@@ -34,10 +34,10 @@ class Workspace:
         self._n += 1
         return f"{self.path}/{self._n:03d}-{label}"
 
-    def save(self, df: DataFrame, label: str = "t") -> DataFrame:
+    def save(self, df: DataFrame, label: str = "t", **options: str) -> DataFrame:
         """Write ``df`` and return the written table."""
         path = self.new_path(label)
-        df.write.parquet(path)
+        df.write.options(**options).parquet(path)
         saved = self.spark.read.schema(df.schema).parquet(path)
         saved._sparkloom_path = path
         return saved

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Encoded words that a task remembers; the memory is emptied when full.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 400_000
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -83,7 +83,7 @@ class WordEncoder:
         return b"".join([known[w] for w in words])
 
 
-def _cutter(path: str, length: int, with_ids: bool):
+def _cutter(path: str, length: int, with_ids: bool, narrow: bool):
     def run(batches):
         enc = WordEncoder(path)
         for batch in batches:
@@ -101,7 +101,7 @@ def _cutter(path: str, length: int, with_ids: bool):
                         size.append(len(p) // 4)
                         crc.append(zlib.crc32(p))
                         if with_ids:
-                            ids.append(p)
+                            ids.append(np.frombuffer(p, "<u4").astype("<u2").tobytes() if narrow else p)
                 cols = [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(size, pa.int64()), pa.array(crc, pa.int64())]
                 names = ["doc_id", "piece", "start", "length", "ids_crc32"]
                 if with_ids:
@@ -112,16 +112,17 @@ def _cutter(path: str, length: int, with_ids: bool):
     return run
 
 
-def token_pieces(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 2048, path: str | None = None, with_ids: bool = True) -> DataFrame:
+def token_pieces(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 2048, path: str | None = None, with_ids: bool = True, narrow: bool = False) -> DataFrame:
     """Pieces of at most ``length`` token ids: doc_id, piece, start, length, ids_crc32[, ids].
 
     A document's ids are the tokenizer's without special tokens, then id 0, so a
-    null or empty text has the one id 0.  ``ids`` holds little-endian uint32.  A
+    null or empty text has the one id 0.  ``ids`` holds little-endian uint32, or
+    uint16 with ``narrow``, for vocabularies of up to 65,536.  A
     null doc_id stays null; repeated rows give repeated pieces.
     """
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids binary" if with_ids else "")
-    return source.mapInArrow(_cutter(path or tokenizer_path(), length, with_ids), schema)
+    return source.mapInArrow(_cutter(path or tokenizer_path(), length, with_ids, narrow), schema)
 
 
 def as_ids(data: bytes) -> np.ndarray:

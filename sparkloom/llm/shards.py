@@ -12,6 +12,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +21,10 @@ from .groups import bounds, sorted_groups
 from .store import Workspace
 
 ROUNDS = 6
+#: Ids repeat over long distances, so pages of several MB compress better.
+PAGES = {"parquet.page.size": str(4 << 20)}
+#: Tasks that write shards, at most; each takes a range of them.
+MAX_TASKS = 10_000
 
 
 def feistel(x: np.ndarray, n: int, key: int, inverse: bool = False) -> np.ndarray:
@@ -44,11 +49,16 @@ def feistel(x: np.ndarray, n: int, key: int, inverse: bool = False) -> np.ndarra
     return out.astype(np.int64)
 
 
-def _slotter(n: int, key: int, per_shard: int):
+def _slotter(n: int, key: int):
+    """Each sequence's slot, and its ids compressed for the one time that they move."""
+
     def run(batches):
+        pack = zstandard.ZstdCompressor(level=1).compress
         for b in batches:
-            slot = feistel(b.column("number").to_numpy(), n, key)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(slot), pa.array(slot // per_shard)], [*b.schema.names, "slot", "shard"])
+            slot = pa.array(feistel(b.column("number").to_numpy(), n, key))
+            ids = pa.array([pack(i) for i in b.column("ids").to_pylist()], pa.binary())
+            names = ["doc_id", "piece", "length", "ids_crc32"]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), ids, slot], [*names, "ids", "slot"])
 
     return run
 
@@ -59,6 +69,7 @@ def _writer(folder: str, stride: int, n: int, per_shard: int):
     def run(batches):
         from pyarrow import fs
 
+        unpack = zstandard.ZstdDecompressor().decompress
         store, base = fs.FileSystem.from_uri(folder)
         store.create_dir(base, recursive=True)
         for t in sorted_groups(batches, ["shard"]):
@@ -70,7 +81,7 @@ def _writer(folder: str, stride: int, n: int, per_shard: int):
                 data = np.zeros((size, stride), "<u2")
                 rows = slot[a:b] % per_shard
                 for r, ids in zip(rows, part.column("ids").to_pylist()):
-                    p = np.frombuffer(ids, "<u2")
+                    p = np.frombuffer(unpack(ids), "<u2")
                     data[r, : len(p)] = p
                 name = f"{base}/shard-{int(shard[a]):08d}.bin"
                 with store.open_output_stream(f"{name}.{zlib.crc32(data.tobytes()):08x}.part") as f:
@@ -94,16 +105,18 @@ def write_shards(pieces: DataFrame, folder: str, *, stride: int = 512, per_shard
     """
     ws = Workspace(pieces.sparkSession, "shards")
     placed_at = F.monotonically_increasing_id()
-    table = ws.save(pieces.withColumn("part", F.shiftright(placed_at, 33).cast("int")).withColumn("row", placed_at.bitwiseAND(F.lit((1 << 33) - 1))), "sequences", compression="zstd")
+    table = ws.save(pieces.withColumn("part", F.shiftright(placed_at, 33).cast("int")).withColumn("row", placed_at.bitwiseAND(F.lit((1 << 33) - 1))), "sequences", compression="zstd", **PAGES)
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     # One row per input split, written so that Spark knows its size and broadcasts it only where it is small.
     counts = ws.save(table.groupBy("part").count().withColumn("before", F.coalesce(F.sum("count").over(before), F.lit(0))), "counts")
     n = table.count()
     numbered = table.join(counts.select("part", "before"), "part").select("doc_id", "piece", "length", "ids_crc32", "ids", (F.col("before") + F.col("row")).alias("number"))
-    schema = "doc_id long, piece int, length long, ids_crc32 long, ids binary, number long, slot long, shard long"
-    placed = numbered.mapInArrow(_slotter(max(n, 1), key, per_shard), schema)
+    schema = "doc_id long, piece int, length long, ids_crc32 long, ids binary, slot long"
+    placed = numbered.mapInArrow(_slotter(max(n, 1), key), schema).withColumn("shard", F.expr(f"slot div {per_shard}"))
+    # The permutation fills every shard, so equal ranges of shards need no sampling for their bounds.
     shards = max(1, -(-n // per_shard))
-    dealt = placed.repartitionByRange(min(shards, 10_000), "shard").sortWithinPartitions("shard", "slot")
+    each = -(-shards // MAX_TASKS)
+    dealt = placed.repartitionById(-(-shards // each), F.expr(f"int(shard div {each})")).sortWithinPartitions("slot")
     out = "doc_id long, piece int, slot long, shard long, length long, ids_crc32 long, byte_offset long, row_crc32 long"
     return dealt.mapInArrow(_writer(folder, stride, n, per_shard), out)
 

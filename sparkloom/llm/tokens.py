@@ -21,6 +21,18 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+class Memory(dict):
+    """Words and their ids; a word that is not there yet is encoded and kept."""
+
+    def __init__(self, encode):
+        super().__init__()
+        self.encode = encode
+
+    def __missing__(self, word: bytes) -> bytes:
+        ids = self[word] = self.encode(word)
+        return ids
+
+
 class WordEncoder:
     """Ids of a text as little-endian uint32 bytes, word by word with a memory.
 
@@ -47,7 +59,7 @@ class WordEncoder:
         visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in set(visible)]
         self.letters = {b: chr(b) for b in visible} | {b: chr(256 + i) for i, b in enumerate(hidden)}
-        self.words: dict[bytes, bytes] = {}
+        self.words = Memory(self._word)
         self.parts: dict[str, bytes] = {}
 
     def _part(self, piece: str) -> bytes:
@@ -61,26 +73,21 @@ class WordEncoder:
         return ids
 
     def _word(self, word: bytes) -> bytes:
+        if word.isalpha():  # ASCII letters alone are one piece
+            return self._part(word.lower().decode())
         text = word.decode()
-        if self.plain(text) and "<|" not in text:
-            ids = b"".join([self._part(p) for p in self.pieces(text.lower())])
-        else:
-            ids = array.array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-        return ids
+        if not self.plain(text) or "<|" in text:
+            return array.array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        text = text.lower()
+        if text.isalpha():
+            return self._part(text)
+        return b"".join([self._part(p) for p in self.pieces(text)])
 
     def encode(self, text: bytes) -> bytes:
         known = self.words
-        words = text.split()
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            pass
         if len(known) >= CACHE_WORDS:
             known.clear()
-        for w in words:
-            if w not in known:
-                known[w] = self._word(w)
-        return b"".join([known[w] for w in words])
+        return b"".join([known[w] for w in text.split()])
 
 
 def _cutter(path: str, length: int, with_ids: bool, narrow: bool):
@@ -93,6 +100,7 @@ def _cutter(path: str, length: int, with_ids: bool, narrow: bool):
                 rows, piece, start, size, crc, ids = [], [], [], [], [], []
                 for r, t in enumerate(part):
                     data = enc.encode(t.as_py() or b"") + b"\0\0\0\0"
+                    kept, width = (np.frombuffer(data, "<u4").astype("<u2").tobytes(), 2) if narrow else (data, 4)
                     for k, at in enumerate(range(0, len(data), 4 * length)):
                         p = data[at : at + 4 * length]
                         rows.append(lo + r)
@@ -101,7 +109,7 @@ def _cutter(path: str, length: int, with_ids: bool, narrow: bool):
                         size.append(len(p) // 4)
                         crc.append(zlib.crc32(p))
                         if with_ids:
-                            ids.append(np.frombuffer(p, "<u4").astype("<u2").tobytes() if narrow else p)
+                            ids.append(kept[k * width * length : (k + 1) * width * length])
                 cols = [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(size, pa.int64()), pa.array(crc, pa.int64())]
                 names = ["doc_id", "piece", "start", "length", "ids_crc32"]
                 if with_ids:

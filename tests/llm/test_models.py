@@ -82,6 +82,39 @@ def test_toxicity(spark):
     assert toxicity.score_toxicity(docs, labels.where("label = 9")).count() == len(rows)
 
 
+@pytest.mark.parametrize("most", [None, 6])
+def test_toxicity_counts_every_labelled_row(spark, monkeypatch, most):
+    rng = random.Random(1)
+    plain, marks = [f"word{i}" for i in range(40)], [f"{'zq' * 35}{i}" for i in range(4)]
+    rows = []
+    for i in range(600):
+        words = [rng.choice(plain) for _ in range(20)]
+        if i % 2 == 0:
+            words[rng.randrange(20)] = marks[i // 2 % 4]
+        rows.append((i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 2 == 0)) for i in range(500)], "doc_id long, label int")
+    monkeypatch.setattr(toxicity, "MAX_ROWS", 4, raising=False)
+    want = {r["doc_id"]: r["score"] for r in toxicity.score_toxicity(docs, labels).collect()}
+    assert all((want[i] >= 0.7) == (i % 2 == 0) for i in range(500, 600))
+    if most:  # ratios of other words are joined, with equal results
+        monkeypatch.setattr(toxicity, "MAX_WORDS", most)
+        monkeypatch.setattr(toxicity, "MAX_GRAMS", most)
+        got = {r["doc_id"]: r["score"] for r in toxicity.score_toxicity(docs, labels).collect()}
+        assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-9 for i in want)
+
+
+def test_toxicity_contexts_by_brute_force(spark):
+    rows = [(0, "a b a c " + "x" * 99), (0, "a b"), (1, "b b once"), (1, None), (0, "")]
+    want: dict = {}
+    for y, text in rows:
+        own = (text or "").split()
+        for v, w in zip(["", *own], own):
+            want.setdefault(w, (set(), set()))[y].add(v)
+    got = toxicity.count_contexts(spark.createDataFrame(rows, "label int, text string")).collect()
+    assert {r["word"]: (r["c0"], r["c1"]) for r in got} == {w: (len(a), len(b)) for w, (a, b) in want.items()}
+
+
 BASE = [
     (0, 2, 12, re.compile(r"""(?:(?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")),
     (1, 0, 18, re.compile(r"AKIA[A-Z0-9]+")),

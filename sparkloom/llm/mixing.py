@@ -9,6 +9,8 @@ from .store import Workspace
 
 #: Keys are cut into so many ranges per source to find the cut without sorting a source in one task.
 RANGES = 4096
+#: A document's place in its source's order.
+PLACE_COLUMNS = ("key", "doc_id", "size", "row")
 
 
 def word_count(text: Column) -> Column:
@@ -23,6 +25,10 @@ def uniform(seed: int, *cols) -> Column:
     return (F.shiftrightunsigned(F.xxhash64(F.lit(seed), *cols), 12).cast("double") + 0.5) / F.lit(float(2**52))
 
 
+def _place() -> Column:
+    return F.struct(*PLACE_COLUMNS)
+
+
 def source_targets(sizes: DataFrame, *, weights=(3, 1, 2), share: float = 1.5, cap: float = 2.0) -> DataFrame:
     """Targets of sources (source, source_size): weights repeat in code point order, null last.
 
@@ -45,6 +51,46 @@ def source_targets(sizes: DataFrame, *, weights=(3, 1, 2), share: float = 1.5, c
     return one.select("source", "source_size", "weight", F.when(F.col("_fix").isNull(), F.col("_most")).otherwise(F.least(F.col("_most"), F.col("_fix") * F.col("weight"))).alias("target"))
 
 
+def _go_on(chosen: DataFrame, gaps: DataFrame, ws: Workspace) -> tuple[DataFrame, DataFrame]:
+    """Fill ``gaps`` (g_source, gap, at) from the documents after ``at``, in order, passing over those that do not fit.
+
+    A round takes, for each source, the documents that fit its gap up to the first at which
+    their sum does not; one that was passed over never fits again.  Returns spans of places
+    (s_source, lo, hi, room), of which documents of at most ``room`` words are taken, and the last gaps.
+    """
+    run = Window.partitionBy("g_source").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    inner = Window.partitionBy("g_source").orderBy(*PLACE_COLUMNS).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    pool = chosen.where("extra = 0 AND key IS NOT NULL AND size > 0").select("source", "cell", "key", "doc_id", "size", "row")
+    spans, open_gaps, done = None, gaps, []
+    while True:
+        now = open_gaps.where("at IS NOT NULL AND gap > 0")
+        fits = pool.join(now, pool.source.eqNullSafe(now.g_source) & (F.col("size") <= F.col("gap")) & (_place() > F.col("at")))
+        cells = fits.groupBy("g_source", "cell").agg(F.sum("size").alias("words"), F.max("gap").alias("gap"), F.max("at").alias("at"))
+        cells = cells.withColumn("before", F.coalesce(F.sum("words").over(run), F.lit(0)))
+        # The words before the range at the cut, or all where there is none.
+        over = F.col("before") + F.col("words") > F.col("gap")
+        cut = cells.groupBy("g_source").agg(F.max("gap").alias("gap"), F.max("at").alias("at"), F.min(F.when(over, F.col("cell"))).alias("c_cell"), F.sum(F.when(over, 0).otherwise(F.col("words"))).alias("used"))
+        cut = ws.save(cut.withColumnRenamed("g_source", "k_source"), "cut")
+        last = fits.select("g_source", "cell", "key", "doc_id", "size", "row").join(cut, F.col("g_source").eqNullSafe(F.col("k_source")) & (F.col("cell") == F.col("c_cell")))
+        last = last.withColumn("upto", F.col("used") + F.sum("size").over(inner)).groupBy("k_source").agg(
+            F.min(F.when(F.col("upto") > F.col("gap"), _place())).alias("hi"), F.max(F.when(F.col("upto") <= F.col("gap"), F.col("upto"))).alias("most")
+        ).withColumnRenamed("k_source", "l_source")
+        state = cut.join(last, cut.k_source.eqNullSafe(last.l_source), "left")
+        state = ws.save(state.select(F.col("k_source").alias("s_source"), F.col("at").alias("lo"), "hi", F.col("gap").alias("room"), (F.col("gap") - F.coalesce("most", "used")).alias("left")), "round")
+        if state.isEmpty():
+            break
+        span = state.select("s_source", "lo", "hi", "room")
+        spans = span if spans is None else spans.unionByName(span)
+        done.append(state.select(F.col("s_source").alias("g_source"), F.col("left").alias("gap")))
+        open_gaps = state.select(F.col("s_source").alias("g_source"), F.col("left").alias("gap"), F.col("hi").alias("at"))
+    if spans is None:
+        spans = state.select("s_source", "lo", "hi", "room")
+    left = gaps.select("g_source", "gap")
+    for d in done:
+        left = left.unionByName(d)
+    return spans, left.groupBy("g_source").agg(F.min("gap").alias("gap"))
+
+
 def mix_sources(
     docs: DataFrame,
     *,
@@ -62,7 +108,8 @@ def mix_sources(
     whole part is allocated for certain, and the rest p is an inclusion
     probability.  Documents are ranked by Pareto keys, random odds u / (1 - u)
     over inclusion odds p / (1 - p), and the sample takes them in that order
-    while it stays within the words that are missing; the one document whose size best fills what is
+    while it stays within the words that are missing.  One that does not fit is passed over and the
+    next ones that do are taken, until none fits; the one document whose size best fills what is
     then left closes it, where that brings the total nearer.
 
     Sizes are words; a null text has size 0 and is taken with no words.  A null
@@ -72,7 +119,7 @@ def mix_sources(
     others.
     """
     ws = Workspace(docs.sparkSession, "mix")
-    sized = ws.save(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size")), "sized")
+    sized = ws.save(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size")).withColumn("row", F.monotonically_increasing_id()), "sized")
     totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = ws.save(source_targets(totals, weights=weights, share=share, cap=cap), "targets")
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
@@ -82,7 +129,7 @@ def mix_sources(
     plan = plan.withColumn("missing", F.col("target") - F.col("whole") * F.col("source_size"))
     u = uniform(seed, "doc_id")
     odds = (u / (1 - u)) / (F.col("p") / (1 - F.col("p")))
-    keyed = sized.join(plan, sized.source.eqNullSafe(plan.source)).select("doc_id", sized.source, "size", "source_size", "target", "whole", "missing", F.when(F.col("p") > 1e-9, odds / (1 + odds)).alias("key"))
+    keyed = sized.join(plan, sized.source.eqNullSafe(plan.source)).select("row", "doc_id", sized.source, "size", "source_size", "target", "whole", "missing", F.when(F.col("p") > 1e-9, odds / (1 + odds)).alias("key"))
     keyed = keyed.withColumn("cell", F.least(F.floor(F.col("key") * RANGES), F.lit(RANGES - 1)).cast("int"))
 
     # Words before each range of keys, and the range in which the missing words run out.
@@ -92,16 +139,24 @@ def mix_sources(
     cells = ws.save(cells.select(F.col("source").alias("c_source"), F.col("cell").alias("c_cell"), "before", "state"), "cells")
     placed = keyed.join(cells, keyed.source.eqNullSafe(cells.c_source) & (keyed.cell == cells.c_cell), "left").drop("c_source", "c_cell")
     # Only the range at the cut is put in order.
-    inner = Window.partitionBy("source", "cell").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inner = Window.partitionBy("source", "cell").orderBy(*PLACE_COLUMNS).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     edge = placed.where("state = 0").withColumn("_upto", F.col("before") + F.sum("size").over(inner)).withColumn("extra", (F.col("_upto") <= F.col("missing")).cast("long")).drop("_upto")
     rest = placed.where("state IS NULL OR state <> 0").withColumn("extra", (F.coalesce("state", F.lit(-1)) == 1).cast("long"))
-    chosen = ws.save(edge.unionByName(rest).drop("cell", "before", "state"), "chosen")
+    chosen = ws.save(edge.unionByName(rest).drop("before", "state"), "chosen")
+
+    got = chosen.groupBy("source").agg(F.sum(F.col("size") * F.col("extra")).alias("got"), F.max("missing").alias("gap"), F.min(F.when((F.col("extra") == 0) & (F.col("size") > 0) & F.col("key").isNotNull(), _place())).alias("at"))
+    first = ws.save(got.select(F.col("source").alias("g_source"), (F.col("gap") - F.col("got")).alias("gap"), "at"), "gaps")
+    spans, gaps = _go_on(chosen, first, ws)
+    inside = (_place() > F.col("lo")) & F.coalesce(_place() < F.col("hi"), F.lit(True)) & (F.col("size") <= F.col("room"))
+    later = (F.col("extra") == 0) & (F.col("size") > 0) & F.col("key").isNotNull()
+    # A document lies in one span of its source at most.
+    chosen = chosen.join(spans, chosen.source.eqNullSafe(spans.s_source) & later & inside, "left").withColumn("extra", F.col("extra") + F.when(F.col("room").isNotNull(), 1).otherwise(0)).drop("s_source", "lo", "hi", "room")
+    chosen = ws.save(chosen, "filled")
 
     # The closing document of each source.
-    got = chosen.groupBy("source").agg(F.sum(F.col("size") * F.col("extra")).alias("got"), F.max("missing").alias("gap")).select(F.col("source").alias("g_source"), (F.col("gap") - F.col("got")).alias("gap"))
-    spare = chosen.where("extra = 0 AND key IS NOT NULL AND size > 0").join(got, chosen.source.eqNullSafe(got.g_source))
-    closing = spare.where(F.abs(F.col("gap") - F.col("size")) < F.abs("gap")).groupBy("g_source").agg(F.min(F.struct(F.abs(F.col("gap") - F.col("size")).alias("d"), "key", "doc_id")).alias("m"))
-    closing = closing.select(F.col("g_source").alias("c_source"), F.col("m.doc_id").alias("c_doc"), F.lit(1).alias("closes"))
-    out = chosen.join(closing, chosen.source.eqNullSafe(closing.c_source) & (chosen.doc_id == closing.c_doc) & (chosen.extra == 0), "left")
+    spare = chosen.where(later).join(gaps, chosen.source.eqNullSafe(gaps.g_source))
+    closing = spare.where(F.abs(F.col("gap") - F.col("size")) < F.abs("gap")).groupBy("g_source").agg(F.min(F.struct(F.abs(F.col("gap") - F.col("size")).alias("d"), "key", "doc_id", "row")).alias("m"))
+    closing = closing.select(F.col("m.row").alias("c_row"), F.lit(1).alias("closes"))
+    out = chosen.join(closing, chosen.row == closing.c_row, "left")
     copies = F.col("whole") + F.col("extra") + F.coalesce("closes", F.lit(0))
     return out.select("doc_id", "source", "size", "source_size", "target", copies.cast("long").alias("copies"), (F.col("size") * copies).cast("long").alias("taken"))

@@ -146,6 +146,26 @@ def test_mixing(spark):
     assert mixing.mix_sources(docs(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_mixing_goes_on_after_a_long_document(spark, seed):
+    rng = random.Random(seed)
+    sizes = [rng.randrange(3, 30) for _ in range(600)] + [1500, 1700, 1900, 2100] * 4
+    rows = [(i, "w " * n, "a") for i, n in enumerate(sizes)]
+    got = mixing.mix_sources(docs(spark, rows), weights=(1,), share=0.5, cap=2.0, seed=seed).collect()
+    keys = dict(spark.createDataFrame([(i,) for i in range(len(rows))], "doc_id long").select("doc_id", mixing.uniform(seed, "doc_id")).collect())
+    missing, want = sum(sizes) / 2, set()
+    for i in sorted(keys, key=lambda i: (keys[i], i)):  # p is a half, so odds are those of the uniform number
+        if sizes[i] <= missing:
+            want.add(i)
+            missing -= sizes[i]
+    spare = {i: abs(missing - sizes[i]) for i in keys if i not in want}
+    best = min(spare, key=lambda i: (spare[i], keys[i], i))
+    if spare[best] < missing:
+        want.add(best)
+    assert {r["doc_id"] for r in got if r["copies"]} == want
+    assert abs(sum(r["taken"] for r in got) - sum(sizes) / 2) <= 15
+
+
 def test_pareto_samples_hit_inclusion_odds(spark):
     rows = [(i, "w", "a" if i % 2 else "b") for i in range(4000)]
     got = mixing.mix_sources(docs(spark, rows), weights=(1, 1), share=0.5).collect()

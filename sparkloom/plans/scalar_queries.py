@@ -57,6 +57,9 @@ scalar("redact_secrets", lambda path, content, ext: {"redacted": T.redact(F.elem
       '(?i)(?:password|pwd)\s*=\s*[''"]?[^;\s''"]{4,}[''"]?(;server)', '[REDACTED_SECRET]\1', 'g'),
       '(?i)(?:postgres|postgresql|mysql|mongodb|redis)://[^:/\s]+:[^@/\s]+@[^:/\s]+', '[REDACTED_SECRET]', 'g')""",
 })
+# Over whole texts; the queries of the same operators above, with SQL, read a line or the first characters.
+scalar("redact_secrets_text", lambda path, content, ext: {"redacted": T.redact(content)}, None)
+scalar("mermaid_label_text", lambda path, content, ext: {"label": T.mermaid_label(content)}, None)
 scalar("strip_comments_html", lambda path, content, ext: {"html_free": T.token_estimate(comments.strip_html(content)), "left": comments.strip_html(content)}, {"html_free": S.token_estimate("regexp_replace(content, '<!--[\\s\\S]*?-->', '', 'g')"), "left": "regexp_replace(content, '<!--[\\s\\S]*?-->', '', 'g')"})
 _c_sql = r"""regexp_replace(content, '("(?:\\[\s\S]|[^"\\])*(?:"|\\?\z)|''(?:\\[\s\S]|[^''\\])*(?:''|\\?\z)|`(?:\\[\s\S]|[^`\\])*(?:`|\\?\z))|//[^\n]*|/\*(?:[\s\S]*?\*/)', '\1', 'g')"""
 scalar("strip_comments_cstyle", lambda path, content, ext: {"left": comments.strip_c(content)}, {"left": _c_sql})

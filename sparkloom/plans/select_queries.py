@@ -132,6 +132,12 @@ def untracked_diff(spark, sf_dir):
     return D.untracked_diff(B.files(spark, sf_dir).where("doc_id % 5 = 0"))
 
 
+@register("untracked_diff_all")
+def untracked_diff_all(spark, sf_dir):
+    """Every document stands for an untracked file."""
+    return D.untracked_diff(B.files(spark, sf_dir))
+
+
 @register("name_status_parse", "WITH " + B.files_sql() + " SELECT path, CASE doc_id % 4 WHEN 0 THEN 'Added' WHEN 1 THEN 'Deleted' WHEN 2 THEN 'Renamed' ELSE 'Modified' END AS status FROM files")
 def name_status_parse(spark, sf_dir):
     f = B.files(spark, sf_dir)

@@ -116,3 +116,27 @@ def test_messages(spark):
     assert one(spark, "español", T.language_code(F.col("a"))) == "es"
     assert one(spark, "eBay", T.capitalise(F.col("a"))) == "EBay"
     assert one(spark, "System.List<int>[]?", T.simple_type_name(F.col("a"))) == "List"
+
+
+def test_whole_text_queries_by_brute_force(spark, tmp_path):
+    import re
+
+    from sparkloom.functions import tables
+    from sparkloom.plans import registry
+    from sparkloom.sources import bindings as B
+
+    key = "AK" + "IA" + "ABCDEFGHIJKLMNOP"
+    texts = {1: f"first {key} line\nlast", 2: "x" * 300 + ' "quoted" [label]\n', 3: None, 5: "pass" + "word=abcd1234;server=x\nplain"}
+    docs = spark.createDataFrame([(i, t, "en", "src0", 0) for i, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    content = {r["doc_id"]: (r["path"], r["content"]) for r in B.files(spark, str(tmp_path)).collect()}
+    run = lambda name: registry.queries()[name](spark, str(tmp_path)).collect()
+    red = {r["doc_id"]: r["redacted"] for r in run("redact_secrets_text")}
+    for i, (_, text) in content.items():
+        for _, pattern in tables.SECRETS:
+            text = re.sub(pattern, tables.REDACTED, text)
+        assert red[i] == text
+    assert key not in red[1] and key in content[1][1]
+    assert {r["doc_id"]: r["label"] for r in run("mermaid_label_text")} == {i: t.translate(str.maketrans('"[]', "'()")) for i, (_, t) in content.items()}
+    want = {(p, n, "+" + line) for p, t in content.values() for n, line in enumerate(t.split("\n"), 1)}
+    assert {(r["path"], r["line_no"], r["line"]) for r in run("untracked_diff_all")} == want

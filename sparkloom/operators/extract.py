@@ -223,8 +223,9 @@ def go_siblings(files: DataFrame) -> DataFrame:
 
 
 def all_edges(files: DataFrame) -> DataFrame:
-    """Edges of the code graph: rules first, then inheritance, then tokens; the first kind of a pair wins."""
-    return first_wins(rule_edges(files).unionByName(references(files, declarations(files))), "prio")
+    """Edges of the code graph: rules and Go packages first, then inheritance, then tokens; the first kind of a pair wins."""
+    found = rule_edges(files).unionByName(go_siblings(files).withColumn("prio", F.lit(0)))
+    return first_wins(found.unionByName(references(files, declarations(files))), "prio")
 
 
 # --- Python by its own parser ----------------------------------------------

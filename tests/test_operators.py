@@ -50,6 +50,12 @@ def test_declarations_and_first_kind(spark):
     assert ("a/Order.cs", "core/Hub.cs", "Interface") in e and not any(s == "b/None.cs" for s, _, _ in e)
 
 
+def test_go_packages_are_in_the_graph(spark):
+    tree = {"p/a.go": "", "p/b.go": "", "p/c.go": "", "p/c_test.go": "", "q/d.go": "", "q/e.py": ""}
+    want = {(s, d, "Import") for s, d in [("p/a.go", "p/b.go"), ("p/b.go", "p/a.go"), ("p/a.go", "p/c.go"), ("p/c.go", "p/a.go")]}
+    assert pairs(X.all_edges(files(spark, tree))) == want
+
+
 def test_symbols(spark):
     f = files(spark, {"a.ts": "export class A {}\nfunction run(x) {}\nexport const go = (x) => x\nclass A {}"})
     t = X.declared_types(F.col("content"))

@@ -117,13 +117,13 @@ def draft(changes: DataFrame, lang: str = "en", *keys: str) -> DataFrame:
     """(keys, subject, body): a commit message for each group of changed files.
 
     ``changes``: path, status, n_added, fixes, insertions, deletions, added (array).
-    The body lists at most twelve files by path, one line each.
+    The body lists every file by path, one line each.
     """
     verbs = tables.VERBS.get(lang, tables.VERBS["en"])
     verb = F.when(F.col("status") == "Added", verbs[0]).when(F.col("status") == "Deleted", verbs[2]).when(F.col("status") == "Renamed", verbs[3]).otherwise(verbs[1])
     lines = changes.withColumn("bullet", F.concat(F.lit("- "), verb, F.lit(" "), F.col("path"), F.format_string(" (+%d -%d)", F.col("insertions"), F.col("deletions")), F.when(F.size("added") > 0, F.concat(F.lit(": "), F.array_join(F.slice("added", 1, 4), ", "))).otherwise("")))
     nth = F.row_number().over(Window.partitionBy(*keys).orderBy("path"))
-    top = lines.withColumn("_nth", nth).where("_nth <= 12").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_nth", "bullet"))).alias("b"), F.min_by(F.struct(verb.alias("verb"), "path"), "_nth").alias("head"))
+    top = lines.withColumn("_nth", nth).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_nth", "bullet"))).alias("b"), F.min_by(F.struct(verb.alias("verb"), "path"), "_nth").alias("head"))
     n = changes.groupBy(*keys).agg(F.count("*").alias("files"), F.sum("insertions").alias("insertions"), F.sum("deletions").alias("deletions"))
     whole = top.join(n, list(keys)).join(commit_type(changes, *keys), list(keys)).join(scope_votes(changes, *keys), list(keys))
     title = F.concat("type", F.when(F.col("scope").isNotNull(), F.concat(F.lit("("), "scope", F.lit(")"))).otherwise(""), F.lit(": "), F.col("head.verb"), F.lit(" "), T.file_name(F.col("head.path")), F.when(F.col("files") > 1, F.format_string(" %s %d more files", F.lit(verbs[5]), F.col("files") - 1)).otherwise(""))

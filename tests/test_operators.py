@@ -134,6 +134,13 @@ def test_greedy_budget_over_rounds(spark, monkeypatch):
     assert {r["path"] for r in SEL.greedy(c, 900).where("included").collect()} == inc
 
 
+def test_draft_lists_every_file(spark):
+    rows = [("g", f"src/f{i:02d}.cs", "Modified", 0, 0, i, 1, []) for i in range(40)]
+    ch = spark.createDataFrame(rows, "grp string, path string, status string, n_added int, fixes int, insertions int, deletions int, added array<string>")
+    body = D.draft(ch, "en", "grp").first()["body"].split("\n")
+    assert [x.split(" ")[2] for x in body] == [r[1] for r in rows]
+
+
 def test_diff_sets_and_message(spark):
     lines = ["diff --git a b", "@@ -1,2 +1,3 @@ class Old", "+class New {", "-class Gone {", "+function same(a)", "-function same()", "+ if (x == null) fix", " keep"]
     d = spark.createDataFrame([("shipping/LabelMaker.cs", "Modified", i, x) for i, x in enumerate(lines)], "path string, status string, line_no int, line string")

@@ -11,8 +11,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Encoded words that a task remembers; the memory is emptied when full.
-CACHE_WORDS = 400_000
+#: Bytes that a worker's memory of encoded words may take; it is emptied when full.
+CACHE_BYTES = 48 << 20
+#: What an entry takes besides its word and ids: two objects and its place in the table.
+ENTRY_BYTES = 180
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -22,19 +24,21 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 
 class Memory(dict):
-    """Words and their ids; a word that is not there yet is encoded and kept."""
+    """A mapping that is emptied once its keys and values take ``CACHE_BYTES``."""
 
-    def __init__(self, encode):
-        super().__init__()
-        self.encode = encode
+    used = 0
 
-    def __missing__(self, word: bytes) -> bytes:
-        ids = self[word] = self.encode(word)
+    def keep(self, key, ids: bytes) -> bytes:
+        self.used += len(key) + len(ids) + ENTRY_BYTES
+        if self.used > CACHE_BYTES:
+            self.clear()
+            self.used = 0
+        self[key] = ids
         return ids
 
 
-class WordEncoder:
-    """Ids of a text as little-endian uint32 bytes, word by word with a memory.
+class WordEncoder(Memory):
+    """Ids of a text as little-endian uint32 bytes, word by word; it is its own memory of words.
 
     The tokenizer drops white space and never looks across it, so the ids of a
     text are those of its words in turn.  A new word made of printable ASCII and
@@ -48,6 +52,7 @@ class WordEncoder:
     PLAIN = r"[\x21-\x7EÀ-ÖØ-öø-įı-ſ]+"
 
     def __init__(self, path: str):
+        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import regex
         from tokenizers import Tokenizer
@@ -59,48 +64,50 @@ class WordEncoder:
         visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in set(visible)]
         self.letters = {b: chr(b) for b in visible} | {b: chr(256 + i) for i, b in enumerate(hidden)}
-        self.words = Memory(self._word)
-        self.parts: dict[str, bytes] = {}
+        self.parts = Memory()
 
     def _part(self, piece: str) -> bytes:
         ids = self.parts.get(piece)
         if ids is None:
             spelled = piece if piece.isascii() else "".join([self.letters[b] for b in piece.encode()])
-            ids = array.array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
-            if len(self.parts) >= CACHE_WORDS:
-                self.parts.clear()
-            self.parts[piece] = ids
+            ids = self.parts.keep(piece, array.array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes())
         return ids
 
-    def _word(self, word: bytes) -> bytes:
+    def __missing__(self, word: bytes) -> bytes:
         if word.isalpha():  # ASCII letters alone are one piece
-            return self._part(word.lower().decode())
+            return self.keep(word, self._part(word.lower().decode()))
         text = word.decode()
         if not self.plain(text) or "<|" in text:
-            return array.array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+            return self.keep(word, array.array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes())
         text = text.lower()
         if text.isalpha():
-            return self._part(text)
-        return b"".join([self._part(p) for p in self.pieces(text)])
+            return self.keep(word, self._part(text))
+        return self.keep(word, b"".join([self._part(p) for p in self.pieces(text)]))
 
     def encode(self, text: bytes) -> bytes:
-        known = self.words
-        if len(known) >= CACHE_WORDS:
-            known.clear()
-        return b"".join([known[w] for w in text.split()])
+        return b"".join([self[w] for w in text.split()])
+
+
+#: The encoders of this worker process, by tokenizer path: tasks that follow each other share one.
+_ENCODERS: dict[str, WordEncoder] = {}
+
+
+def encoder(path: str) -> WordEncoder:
+    if path not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[path] = WordEncoder(path)
+    return _ENCODERS[path]
 
 
-def _cutter(path: str, length: int, with_ids: bool, narrow: bool):
+def _cutter(path: str, length: int, with_ids: bool):
     def run(batches):
-        enc = WordEncoder(path)
+        enc = encoder(path)
         for batch in batches:
             texts = batch.column(1).cast(pa.large_binary())
             for lo in range(0, batch.num_rows, 256):
-                part = texts.slice(lo, 256)
                 rows, piece, start, size, crc, ids = [], [], [], [], [], []
-                for r, t in enumerate(part):
+                for r, t in enumerate(texts.slice(lo, 256)):
                     data = enc.encode(t.as_py() or b"") + b"\0\0\0\0"
-                    kept, width = (np.frombuffer(data, "<u4").astype("<u2").tobytes(), 2) if narrow else (data, 4)
                     for k, at in enumerate(range(0, len(data), 4 * length)):
                         p = data[at : at + 4 * length]
                         rows.append(lo + r)
@@ -109,7 +116,7 @@ def _cutter(path: str, length: int, with_ids: bool, narrow: bool):
                         size.append(len(p) // 4)
                         crc.append(zlib.crc32(p))
                         if with_ids:
-                            ids.append(kept[k * width * length : (k + 1) * width * length])
+                            ids.append(p)
                 cols = [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(size, pa.int64()), pa.array(crc, pa.int64())]
                 names = ["doc_id", "piece", "start", "length", "ids_crc32"]
                 if with_ids:
@@ -120,17 +127,16 @@ def _cutter(path: str, length: int, with_ids: bool, narrow: bool):
     return run
 
 
-def token_pieces(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 2048, path: str | None = None, with_ids: bool = True, narrow: bool = False) -> DataFrame:
+def token_pieces(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 2048, path: str | None = None, with_ids: bool = True) -> DataFrame:
     """Pieces of at most ``length`` token ids: doc_id, piece, start, length, ids_crc32[, ids].
 
     A document's ids are the tokenizer's without special tokens, then id 0, so a
-    null or empty text has the one id 0.  ``ids`` holds little-endian uint32, or
-    uint16 with ``narrow``, for vocabularies of up to 65,536.  A
-    null doc_id stays null; repeated rows give repeated pieces.
+    null or empty text has the one id 0.  ``ids`` holds little-endian uint32.  A
+    null doc_id stays null; repeated rows give repeated pieces; an empty table gives none.
     """
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids binary" if with_ids else "")
-    return source.mapInArrow(_cutter(path or tokenizer_path(), length, with_ids, narrow), schema)
+    return source.mapInArrow(_cutter(path or tokenizer_path(), length, with_ids), schema)
 
 
 def as_ids(data: bytes) -> np.ndarray:

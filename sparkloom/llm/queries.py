@@ -69,9 +69,8 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_training_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Token shards in training order, 512 ids a row: doc_id, piece, slot, shard, length, ids_crc32, byte_offset, row_crc32."""
-    pieces = tokens.token_pieces(_docs(spark, sf_dir), length=512, narrow=True)
-    return shards.write_shards(pieces, Workspace(spark, "shards").new_path("bin"), stride=512, per_shard=4096)
+    """Token shards in training order, 512 ids a row: doc_id, start, length, slot, shard, byte_offset, offset, ids_crc32, row_crc32."""
+    return shards.write_shards(_docs(spark, sf_dir), Workspace(spark, "shards").new_path("bin"), stride=512)
 
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

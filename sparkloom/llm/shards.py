@@ -1,8 +1,9 @@
 """Training-order shards: a keyed permutation of sequences, written at a fixed stride.
 
-Every sequence has a number.  A Feistel network over the smallest even
-number of bits that holds the count, walked until it falls inside, is a
-permutation of those numbers, computed row by row without any shared state.
+Documents follow each other in sequences of exactly ``stride`` ids, each ended by its id 0,
+so only the last sequence of an input split is padded.  Every sequence has a number.  A
+Feistel network over the smallest even number of bits that holds the count, walked until it
+falls inside, is a permutation of those numbers, computed row by row without any shared state.
 Slot s is row ``s % per_shard`` of shard ``s // per_shard``, so a reader seeks to any slot.
 """
 
@@ -17,14 +18,19 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .blocks import U, mix, stream
-from .groups import bounds, sorted_groups
 from .store import Workspace
+from .tokens import encoder, tokenizer_path
 
 ROUNDS = 6
 #: Ids repeat over long distances, so pages of several MB compress better.
 PAGES = {"parquet.page.size": str(4 << 20)}
 #: Tasks that write shards, at most; each takes a range of them.
 MAX_TASKS = 10_000
+#: Bytes of one shard file unless the caller says otherwise.
+SHARD_BYTES = 8 << 20
+#: Sequences that a task sorts by shard and compresses together before they move.
+BLOCK_ROWS = 16_384
+PARTS = "array<struct<doc_id:bigint,start:bigint,offset:int,length:int,ids_crc32:bigint>>"
 
 
 def feistel(x: np.ndarray, n: int, key: int, inverse: bool = False) -> np.ndarray:
@@ -49,16 +55,74 @@ def feistel(x: np.ndarray, n: int, key: int, inverse: bool = False) -> np.ndarra
     return out.astype(np.int64)
 
 
-def _slotter(n: int, key: int):
-    """Each sequence's slot, and its ids compressed for the one time that they move."""
+def _sequencer(path: str, stride: int):
+    """Sequences of ``stride`` uint16 ids and the parts of documents in each; one stream per task."""
+    kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("start", pa.int64()), ("offset", pa.int32()), ("length", pa.int32()), ("ids_crc32", pa.int64())]))
+
+    def out(rows):
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], kind)], ["ids", "parts"])
+
+    def run(batches):
+        enc = encoder(path)
+        rows, ids, parts, used = [], [], [], 0
+        for batch in batches:
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.large_binary())):
+                data = enc.encode(text.as_py() or b"") + b"\0\0\0\0"
+                start, total = 0, len(data) // 4
+                if np.frombuffer(data, "<u4").max() > 65_535:
+                    raise ValueError("shards hold uint16 ids: the vocabulary is too large")
+                while start < total:
+                    n = min(stride - used, total - start)
+                    piece = data[4 * start : 4 * (start + n)]
+                    ids.append(piece)
+                    parts.append({"doc_id": doc, "start": start, "offset": used, "length": n, "ids_crc32": zlib.crc32(piece)})
+                    start, used = start + n, used + n
+                    if used == stride:
+                        rows.append((np.frombuffer(b"".join(ids), "<u4").astype("<u2").tobytes(), parts))
+                        ids, parts, used = [], [], 0
+                        if len(rows) >= 512:
+                            yield out(rows)
+                            rows = []
+        if used:
+            rows.append((np.frombuffer(b"".join(ids), "<u4").astype("<u2").tobytes() + bytes(2 * (stride - used)), parts))
+        if rows:
+            yield out(rows)
+
+    return run
+
+
+def _slotter(n: int, key: int, per_shard: int):
+    """Blocks of one shard's sequences, compressed for the one time that they move."""
 
     def run(batches):
-        pack = zstandard.ZstdCompressor(level=1).compress
+        pack = zstandard.ZstdCompressor(level=3).compress
+        held, size = [], 0
         for b in batches:
-            slot = pa.array(feistel(b.column("number").to_numpy(), n, key))
-            ids = pa.array([pack(i) for i in b.column("ids").to_pylist()], pa.binary())
-            names = ["doc_id", "piece", "length", "ids_crc32"]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), ids, slot], [*names, "ids", "slot"])
+            held.append(b)
+            size += b.num_rows
+            if size >= BLOCK_ROWS:
+                yield blocks(held, pack)
+                held, size = [], 0
+        if size:
+            yield blocks(held, pack)
+
+    def blocks(held, pack):
+        t = pa.Table.from_batches(held)
+        slot = feistel(t.column("number").to_numpy(), n, key)
+        order = np.argsort(slot)
+        slot = slot[order]
+        ids = t.column("ids").take(pa.array(order)).to_pylist()
+        shard = slot // per_shard
+        cut = np.concatenate([[0], np.flatnonzero(np.diff(shard)) + 1, [len(slot)]])
+        pairs = list(zip(cut[:-1], cut[1:]))
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array([int(shard[a]) for a, _ in pairs], pa.int64()),
+                pa.array([(slot[a:b] % per_shard).astype("<i4").tobytes() for a, b in pairs], pa.binary()),
+                pa.array([pack(b"".join(ids[a:b])) for a, b in pairs], pa.binary()),
+            ],
+            ["shard", "rows", "block"],
+        )
 
     return run
 
@@ -70,59 +134,83 @@ def _writer(folder: str, stride: int, n: int, per_shard: int):
         from pyarrow import fs
 
         unpack = zstandard.ZstdDecompressor().decompress
-        store, base = fs.FileSystem.from_uri(folder)
+        # Spark's name of the same store.
+        store, base = fs.FileSystem.from_uri(folder.replace("s3a://", "s3://", 1))
         store.create_dir(base, recursive=True)
-        for t in sorted_groups(batches, ["shard"]):
-            cut = bounds(t.column("_g").to_numpy())
-            shard, slot = t.column("shard").to_numpy(), t.column("slot").to_numpy()
-            for a, b in zip(cut[:-1], cut[1:]):
-                part = t.slice(a, b - a)
-                size = min(per_shard, n - int(shard[a]) * per_shard)
-                data = np.zeros((size, stride), "<u2")
-                rows = slot[a:b] % per_shard
-                for r, ids in zip(rows, part.column("ids").to_pylist()):
-                    p = np.frombuffer(unpack(ids), "<u2")
-                    data[r, : len(p)] = p
-                name = f"{base}/shard-{int(shard[a]):08d}.bin"
-                with store.open_output_stream(f"{name}.{zlib.crc32(data.tobytes()):08x}.part") as f:
-                    f.write(data.tobytes())
-                store.move(f"{name}.{zlib.crc32(data.tobytes()):08x}.part", name)
-                cols = [part.column(c).combine_chunks() for c in ("doc_id", "piece", "slot", "shard", "length", "ids_crc32")]
-                cols = [c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in cols]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(rows * stride * 2), pa.array([zlib.crc32(d.tobytes()) for d in data[rows]], pa.int64())], ["doc_id", "piece", "slot", "shard", "length", "ids_crc32", "byte_offset", "row_crc32"])
+
+        def close(shard, data):
+            body = data.tobytes()
+            name, mark = f"{base}/shard-{shard:08d}.bin", zlib.crc32(body)
+            with store.open_output_stream(f"{name}.{mark:08x}.part") as f:
+                f.write(body)
+            store.move(f"{name}.{mark:08x}.part", name)
+            crcs = [zlib.crc32(r) for r in data]
+            return pa.RecordBatch.from_arrays([pa.array(range(shard * per_shard, shard * per_shard + len(data)), pa.int64()), pa.array(crcs, pa.int64())], ["slot", "row_crc32"])
+
+        shard, data = None, None
+        for b in batches:
+            for s, rows, block in zip(*(b.column(c).to_pylist() for c in ("shard", "rows", "block"))):
+                if s != shard:
+                    if data is not None:
+                        yield close(shard, data)
+                    shard, data = s, np.zeros((min(per_shard, n - s * per_shard), stride), "<u2")
+                data[np.frombuffer(rows, "<i4")] = np.frombuffer(unpack(block), "<u2").reshape(-1, stride)
+        if data is not None:
+            yield close(shard, data)
 
     return run
 
 
-def write_shards(pieces: DataFrame, folder: str, *, stride: int = 512, per_shard: int = 4096, key: int = 2024) -> DataFrame:
-    """Write ``pieces`` (doc_id, piece, length, ids_crc32, ids: uint16 bytes) as shards; one row per sequence.
+def write_shards(
+    docs: DataFrame, folder: str, *, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, stride: int = 512, shard_bytes: int = SHARD_BYTES, key: int = 2024
+) -> DataFrame:
+    """Write the ids of ``docs`` as shards at once; returns the saved manifest, one row per part of a document.
 
-    Returns doc_id, piece, slot, shard, length, ids_crc32, byte_offset and
-    row_crc32 (of the padded row).  Rows hold ``stride`` little-endian uint16
-    ids, 0 after the sequence's end.  Sequences are written once and numbered as
-    they lie in that table, so numbering moves nothing; the ids move once, to their
-    shard.  Repeated rows are sequences of their own.  An empty table writes no shard.
+    doc_id, start and length tell the part of the document's ids (the tokenizer's, then id 0;
+    a null or empty text is the one id 0), ids_crc32 is that of its little-endian uint32 ids; slot, shard,
+    byte_offset and offset tell where it lies; row_crc32 is the whole row's.  Rows hold ``stride``
+    little-endian uint16 ids, 0 after the end of a split's last sequence; a shard has ``shard_bytes // (2 * stride)``
+    rows.  Sequences are written once and numbered as they lie in that table, so numbering moves
+    nothing; the ids move once, to their shard, and a task holds one shard.  Null ids stay null, repeated rows are documents of their own,
+    other columns are not read.  An empty table writes no shard.
     """
-    ws = Workspace(pieces.sparkSession, "shards")
+    ws = Workspace(docs.sparkSession, "shards")
+    per_shard = max(1, shard_bytes // (2 * stride))
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    cut = source.mapInArrow(_sequencer(path or tokenizer_path(), stride), f"ids binary, parts {PARTS}")
     placed_at = F.monotonically_increasing_id()
-    table = ws.save(pieces.withColumn("part", F.shiftright(placed_at, 33).cast("int")).withColumn("row", placed_at.bitwiseAND(F.lit((1 << 33) - 1))), "sequences", compression="zstd", **PAGES)
+    table = ws.save(cut.withColumn("part", F.shiftright(placed_at, 33).cast("int")).withColumn("row", placed_at.bitwiseAND(F.lit((1 << 33) - 1))), "sequences", compression="zstd", **PAGES)
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     # One row per input split, written so that Spark knows its size and broadcasts it only where it is small.
     counts = ws.save(table.groupBy("part").count().withColumn("before", F.coalesce(F.sum("count").over(before), F.lit(0))), "counts")
     n = table.count()
-    numbered = table.join(counts.select("part", "before"), "part").select("doc_id", "piece", "length", "ids_crc32", "ids", (F.col("before") + F.col("row")).alias("number"))
-    schema = "doc_id long, piece int, length long, ids_crc32 long, ids binary, slot long"
-    placed = numbered.mapInArrow(_slotter(max(n, 1), key), schema).withColumn("shard", F.expr(f"slot div {per_shard}"))
+    numbered = table.join(counts.select("part", "before"), "part").withColumn("number", F.col("before") + F.col("row"))
+    moved = numbered.select("ids", "number").mapInArrow(_slotter(max(n, 1), key, per_shard), "shard long, rows binary, block binary")
     # The permutation fills every shard, so equal ranges of shards need no sampling for their bounds.
     shards = max(1, -(-n // per_shard))
     each = -(-shards // MAX_TASKS)
-    dealt = placed.repartitionById(-(-shards // each), F.expr(f"int(shard div {each})")).sortWithinPartitions("slot")
-    out = "doc_id long, piece int, slot long, shard long, length long, ids_crc32 long, byte_offset long, row_crc32 long"
-    return dealt.mapInArrow(_writer(folder, stride, n, per_shard), out)
+    dealt = moved.repartitionById(-(-shards // each), F.expr(f"int(shard div {each})")).sortWithinPartitions("shard")
+    written = ws.save(dealt.mapInArrow(_writer(folder, stride, n, per_shard), "slot long, row_crc32 long"), "written")
+    slots = numbered.select("parts", "number").mapInArrow(_numbered(max(n, 1), key), f"parts {PARTS}, slot long")
+    rows = slots.join(written, "slot").select("slot", "row_crc32", F.explode("parts").alias("p"))
+    place = F.expr(f"slot % {per_shard}")
+    manifest = rows.select(
+        "p.doc_id", "p.start", "p.length", "slot", F.expr(f"slot div {per_shard}").alias("shard"), (place * (2 * stride)).alias("byte_offset"), "p.offset", "p.ids_crc32", "row_crc32"
+    )
+    return ws.save(manifest, "manifest")
+
+
+def _numbered(n: int, key: int):
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("parts"), pa.array(feistel(b.column("number").to_numpy(), n, key))], ["parts", "slot"])
+
+    return run
 
 
-def read_slots(spark: SparkSession, folder: str, *, stride: int, per_shard: int = 4096, start: int = 0) -> DataFrame:
+def read_slots(spark: SparkSession, folder: str, *, stride: int = 512, shard_bytes: int = SHARD_BYTES, start: int = 0) -> DataFrame:
     """(shard, row, ids) of every written row from slot ``start`` on, by Spark's binary reader."""
+    per_shard = max(1, shard_bytes // (2 * stride))
     files = spark.read.format("binaryFile").option("pathGlobFilter", "shard-*.bin").load(folder)
     name = F.regexp_extract("path", r"shard-(\d+)\.bin", 1).cast("long")
 

@@ -75,6 +75,12 @@ def test_packing_equals_sequential_best_fit():
     assert bins == len(room)
 
 
+def test_packing_null_ids_and_ties(spark):
+    rows = [(None, 0, 5)] * 30 + [(1, 0, 5)] * 3 + [(2, 0, 2048)]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, piece int, length long")).collect()
+    assert len(got) == len(rows) and check_packing(got, packing.Capacity()) == 2
+
+
 def test_packing_empty_and_errors(spark):
     p = spark.createDataFrame([], "doc_id long, piece int, length long")
     assert packing.pack(p).count() == 0
@@ -89,20 +95,47 @@ def test_feistel_is_a_permutation(n):
 
 
 def test_shards_round_trip(spark):
+    from tokenizers import Tokenizer
+
+    tk = Tokenizer.from_file(tokens.tokenizer_path())
     rows = [(i, t, "s") for i, t in enumerate(TEXTS * 6)] + [(3, "again", "s"), (3, "again", "s"), (None, "no id", "s")]
-    pieces = tokens.token_pieces(docs(spark, rows), length=64, narrow=True)
     folder = Workspace(spark, "test").new_path("bin")
-    man = shards.write_shards(pieces, folder, stride=64, per_shard=50).collect()
-    back = {(r["shard"], r["row"]): r["ids"] for r in shards.read_slots(spark, folder, stride=64, per_shard=50).collect()}
-    assert sorted(r["slot"] for r in man) == list(range(len(man))) == list(range(pieces.count())) and len(back) == len(man)
+    size = 50 * 128
+    man = shards.write_shards(docs(spark, rows), folder, stride=64, shard_bytes=size)
+    assert man.count() == man.count()  # the manifest is saved: asking again writes nothing
+    man = man.collect()
+    back = {(r["shard"], r["row"]): r["ids"] for r in shards.read_slots(spark, folder, stride=64, shard_bytes=size).collect()}
+    slots = {r["slot"] for r in man}
+    assert slots == set(range(len(back))) and {s * 50 + r for s, r in back} == slots
+    found = {}
     for r in man:
         row = back[(r["shard"], r["slot"] % 50)]
-        ids = np.frombuffer(row, "<u2").astype("<u4")
-        assert zlib.crc32(ids[: r["length"]].tobytes()) == r["ids_crc32"] and not ids[r["length"] :].any() and zlib.crc32(row) == r["row_crc32"]
+        ids = np.frombuffer(row, "<u2").astype("<u4")[r["offset"] : r["offset"] + r["length"]]
+        assert zlib.crc32(ids.tobytes()) == r["ids_crc32"] and zlib.crc32(row) == r["row_crc32"]
         assert r["byte_offset"] == (r["slot"] % 50) * 128 and r["shard"] == r["slot"] // 50
-    assert shards.read_slots(spark, folder, stride=64, per_shard=50, start=70).count() == len(man) - 70
-    empty = tokens.token_pieces(docs(spark, []), length=64, narrow=True)
-    assert shards.write_shards(empty, Workspace(spark, "test").new_path("bin"), stride=64).count() == 0
+        found.setdefault(r["doc_id"], []).append((r["start"], ids.tolist()))
+    for i, t in [*enumerate(TEXTS * 6), (None, "no id")]:
+        want = [*tk.encode(t or "", add_special_tokens=False).ids, 0]
+        if i != 3:
+            assert [x for _, part in sorted(found[i]) for x in part] == want
+    again = [*tk.encode("again", add_special_tokens=False).ids, 0]
+    assert sum(len(part) for _, part in found[3]) == len(tk.encode(TEXTS[3], add_special_tokens=False).ids) + 1 + 2 * len(again)
+    used = sum(r["length"] for r in man)
+    assert len(back) * 64 - used < 64 * 16  # only the last sequence of a split is padded
+    assert shards.read_slots(spark, folder, stride=64, shard_bytes=size, start=70).count() == len(back) - 70
+    assert shards.write_shards(docs(spark, []), Workspace(spark, "test").new_path("bin"), stride=64).count() == 0
+
+
+def test_one_encoder_per_worker():
+    a = tokens.encoder(tokens.tokenizer_path())
+    assert tokens.encoder(tokens.tokenizer_path()) is a
+    limit, tokens.CACHE_BYTES = tokens.CACHE_BYTES, 4_000
+    try:
+        want = [a.tokenizer.encode(f"some{i} words{i}", add_special_tokens=False).ids for i in range(300)]
+        got = [tokens.as_ids(a.encode(f"some{i} words{i}".encode())).tolist() for i in range(300)]
+        assert got == want and len(a) < 30 and len(a.parts) < 30
+    finally:
+        tokens.CACHE_BYTES = limit
 
 
 def fill(sizes, weights, share, cap):

@@ -1,71 +1,186 @@
 """Exact duplicates through an extendible-hash index on shared files.
 
-The index holds one entry per hash key: the key, its chain number, the largest
-document that holds it and the number of its documents.  Its directory maps the
-leading bits of a key to a bucket file.  It starts with one bucket and doubles
-where needed: a bucket with more entries than fit is split by one more bit
-until each fits.  A bucket is a range of keys, owned by one task that writes its file
-in key order.  Members are then compared with their entry's text byte for byte;
-those that differ had a colliding key and move to the next chain, until none is left.
+A directory maps the leading bits of a text's 64-bit key to a bucket.  It starts with one bucket
+and doubles where needed: a bucket with more rows than fit is split by one more bit until each
+fits.  A bucket is a range of keys.  Its owner task gets the rows of that range in key order, chains
+texts whose keys collide, compares bytes within each chain and writes the bucket's entries.  A
+bucket that no further bit can split (many copies of one text) is dealt to several owners;
+their chain heads, one per text and owner, then meet and are compared byte for byte in turn.
 """
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .groups import bounds, sorted_groups
 from .store import Workspace
 
-#: The directory is never deeper; it bounds what the driver holds (65,536 counts).
-MAX_DEPTH = 16
+#: Leading bits that are counted for the directory at first, and those by which overfull slots are counted anew.
+FIRST_BITS, MORE_BITS = 16, 8
+#: A bucket holds so many rows, or the 65,536th part of the table where that is more: the
+#: directory then has 2 * 65,536 buckets and some more for hot keys at any size of the table.
+LEAST_CAPACITY = 1_000
 
 
 @dataclass(frozen=True)
 class Bucket:
-    """Keys whose leading ``depth`` bits equal ``prefix``."""
+    """Keys whose leading ``depth`` bits equal ``prefix``; ``parts`` owners share its rows."""
 
     prefix: int
     depth: int
-    entries: int
+    rows: int
+    parts: int = 1
 
 
-def directory(counts: dict[int, int], capacity: int, max_depth: int = MAX_DEPTH) -> list[Bucket]:
-    """Local buckets in key order, from entry counts by ``max_depth`` leading bits."""
+def directory(counts: dict[int, int], capacity: int, bits: int, prefix: int = 0, depth: int = 0) -> list[Bucket]:
+    """Buckets in key order below (``prefix``, ``depth``), from row counts by ``bits`` further bits.
+
+    The directory doubles one bit at a time: an overfull bucket becomes two of one more bit.
+    One that is still overfull at the last counted bit stays so.
+    """
     level = dict(counts)
     tree = [level]
-    for _ in range(max_depth):
+    for _ in range(bits):
         up: dict[int, int] = {}
         for k, n in level.items():
             up[k >> 1] = up.get(k >> 1, 0) + n
         level = up
         tree.append(level)
-    tree.reverse()  # tree[d]: entries by d leading bits
+    tree.reverse()  # tree[d]: rows by d leading bits
     done, todo = [], [(0, 0)]
     while todo:
-        prefix, depth = todo.pop()
-        n = tree[depth].get(prefix, 0)
-        if n <= capacity or depth == max_depth:
-            done.append(Bucket(prefix, depth, n))
+        p, d = todo.pop()
+        n = tree[d].get(p, 0)
+        if n <= capacity or d == bits:
+            done.append(Bucket((prefix << d) | p, depth + d, n))
         else:
-            todo += [(2 * prefix, depth + 1), (2 * prefix + 1, depth + 1)]
-    return sorted(done, key=lambda b: b.prefix << (max_depth - b.depth))
+            todo += [(2 * p, d + 1), (2 * p + 1, d + 1)]
+    return sorted(done, key=lambda b: b.prefix << (64 - b.depth))
 
 
-def slot(key: Column, depth: int = MAX_DEPTH) -> Column:
+def slot(key: Column, depth: int) -> Column:
     return F.shiftrightunsigned(key, 64 - depth).cast("int")
 
 
-def write_index(entries: DataFrame, ws: Workspace, capacity: int) -> DataFrame:
-    """Write entries as bucket files in key order; returns them with their bucket."""
-    counts = {r[0]: r[1] for r in entries.groupBy(slot(F.col("key")).alias("s")).count().collect()}  # at most 2**MAX_DEPTH rows
-    buckets = directory(counts, capacity)
-    # Slots to buckets: one entry per bucket, not per slot.
-    table = ws.spark.createDataFrame([(i, b.prefix << (MAX_DEPTH - b.depth), ((b.prefix + 1) << (MAX_DEPTH - b.depth)) - 1) for i, b in enumerate(buckets)], "bucket int, low int, high int")
-    spread = table.select("bucket", F.explode(F.sequence("low", "high")).alias("s"))
-    placed = entries.withColumn("s", slot(F.col("key"))).join(F.broadcast(spread), "s").drop("s")  # 2**MAX_DEPTH rows at most
-    return ws.save(placed.repartition("bucket").sortWithinPartitions("bucket", "key", "chain"), "index")
+def build_directory(keys: DataFrame, capacity: int) -> list[Bucket]:
+    """The directory of a table's ``key``: counts by 16 bits, then by 8 more where a slot is overfull.
+
+    The driver holds counts of slots, not of rows: 65,536 and 256 for each overfull slot, of which
+    there are no more than rows / capacity.
+    """
+    counts = {r[0]: r[1] for r in keys.groupBy(slot(F.col("key"), FIRST_BITS).alias("s")).count().collect()}
+    buckets = directory(counts, capacity, FIRST_BITS)
+    over = [b.prefix for b in buckets if b.rows > capacity]
+    if over:
+        deep = FIRST_BITS + MORE_BITS
+        chosen = keys.where(slot(F.col("key"), FIRST_BITS).isin(over))
+        fine: dict[int, dict[int, int]] = {}
+        for s, n in chosen.groupBy(slot(F.col("key"), deep).alias("s")).count().collect():
+            fine.setdefault(s >> MORE_BITS, {})[s & ((1 << MORE_BITS) - 1)] = n
+        split = []
+        for b in buckets:
+            split += directory(fine.get(b.prefix, {}), capacity, MORE_BITS, b.prefix, b.depth) if b.rows > capacity else [b]
+        buckets = split
+    return [Bucket(b.prefix, b.depth, b.rows, max(1, -(-b.rows // capacity))) for b in buckets]
+
+
+def _finder(buckets: list[Bucket]):
+    """The bucket and part of each row: a search in the directory's first keys, and a hash of the row's place."""
+    low = np.array([b.prefix << (64 - b.depth) for b in buckets], np.uint64)
+    parts = np.array([b.parts for b in buckets], np.int64)
+
+    def run(batches):
+        for b in batches:
+            at = np.searchsorted(low, b.column("key").to_numpy().view(np.uint64), "right") - 1
+            part = b.column("spread").to_numpy() % parts[at]
+            cols = [b.column(c) for c in ("doc_id", "key", "text")]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(at.astype(np.int32)), pa.array(part.astype(np.int32))], ["doc_id", "key", "text", "bucket", "part"])
+
+    return run
+
+
+OWNED = "doc_id long, bucket int, part int, key long, chain int, first boolean, keep_id long, group_size long, text_sha256 string, head string"
+_KINDS = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+
+
+class _Chains:
+    """The chain of texts of one key: rows join the first text that equals theirs byte for byte."""
+
+    def __init__(self):
+        self.heads: list[bytes] = []
+        self.members: list[list] = []
+
+    def add(self, text: bytes, doc) -> None:
+        for i, head in enumerate(self.heads):
+            if head == text:
+                self.members[i].append(doc)
+                return
+        self.heads.append(text)
+        self.members.append([doc])
+
+
+def _largest(ids):
+    return max((i for i in ids if i is not None), default=None)
+
+
+def _owner(shared: np.ndarray):
+    """Entries and rows of each key that this task owns; heads are kept where other owners have the bucket too."""
+
+    def rows_of(place, chains):
+        bucket, part, key = place
+        for c, (head, ids) in enumerate(zip(chains.heads, chains.members)):
+            keep, digest = _largest(ids), hashlib.sha256(head).hexdigest()
+            for i, doc in enumerate(ids):
+                yield doc, bucket, part, key, c, i == 0, keep, len(ids), digest, head.decode() if i == 0 and shared[bucket] else None
+
+    def run(batches):
+        place, chains, out, size = None, None, [], 0
+        for b in batches:
+            columns = [b.column(c).to_pylist() for c in ("bucket", "part", "key", "doc_id")]
+            for *at, doc, text in zip(*columns, b.column("text").cast(pa.large_binary())):
+                if at != place:
+                    if chains is not None:
+                        out += rows_of(place, chains)
+                    place, chains = at, _Chains()
+                    if len(out) >= 4096:
+                        yield batch(out)
+                        out = []
+                chains.add(text.as_py(), doc)
+        if chains is not None:
+            out += rows_of(place, chains)
+        if out:
+            yield batch(out)
+
+    def batch(rows):
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _KINDS)], [x.split()[0] for x in OWNED.split(", ")])
+
+    return run
+
+
+MERGED = "bucket int, part int, key long, chain int, m_keep long, m_size long"
+
+
+def _merger(batches):
+    """Chains of one key over all owners of its bucket: heads are compared byte for byte."""
+    for t in sorted_groups(batches, ["bucket", "key"]):
+        cut = bounds(t.column("_g").to_numpy())
+        col = {c: t.column(c).to_pylist() for c in ("bucket", "part", "key", "chain", "keep_id", "group_size", "head")}
+        out = []
+        for a, b in zip(cut[:-1], cut[1:]):
+            groups: dict[str, list[int]] = {}
+            for i in range(a, b):
+                groups.setdefault(col["head"][i], []).append(i)
+            for rows in groups.values():
+                keep, n = _largest(col["keep_id"][i] for i in rows), sum(col["group_size"][i] for i in rows)
+                out += [(col["bucket"][i], col["part"][i], col["key"][i], col["chain"][i], keep, n) for i in rows]
+        kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], [x.split()[0] for x in MERGED.split(", ")])
 
 
 def exact_duplicates(
@@ -74,7 +189,7 @@ def exact_duplicates(
     id_col: str = "doc_id",
     text_col: str = "text",
     normalise=None,
-    capacity: int = 50_000,
+    capacity: int | None = None,
     key_bits: int = 64,
 ) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
@@ -82,8 +197,9 @@ def exact_duplicates(
     Texts are equal when their bytes are, after ``normalise`` (a function of a
     Column) where given; a null text is empty.  Of equal texts the largest
     doc_id stays.  Rows that repeat a doc_id and its text count in group_size and all
-    stay; a null doc_id is smaller than any.  ``key_bits`` shortens the hash key, for
-    tests of chains.
+    stay; those that repeat a doc_id with other texts are judged apart.  A null doc_id is smaller than any.  Other columns
+    are not read; an empty table gives no rows.  ``capacity`` is the rows of a bucket (see ``LEAST_CAPACITY``);
+    ``key_bits`` shortens the hash key, for tests of chains.
     """
     ws = Workspace(docs.sparkSession, "exact")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
@@ -91,40 +207,25 @@ def exact_duplicates(
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
     key = F.xxhash64("text") if key_bits == 64 else F.shiftleft(F.shiftrightunsigned(F.xxhash64("text"), 64 - key_bits), 64 - key_bits)
     keyed = source.withColumn("key", key)
-    rows = ws.save(keyed.select("doc_id", "key", F.unhex(F.sha2("text", 256)).alias("sha")), "rows")
-
-    summary = rows.groupBy("key").agg(F.max("doc_id").alias("lead"), F.count("*").alias("n"))
-    index = write_index(summary.withColumn("chain", F.lit(0)), ws, capacity)
-
-    # Only keys with several documents need their texts.
-    shared = index.where("n > 1").select("key", "lead")
-    open_ = ws.save(keyed.join(shared, "key").select("key", "doc_id", "text", "lead"), "shared")
-    chains = []
-    chain = 0
-    while True:
-        heads = open_.where(F.col("doc_id").eqNullSafe(F.col("lead"))).select("key", F.col("text").alias("head")).dropDuplicates(["key"])
-        judged = open_.join(heads, "key").select("key", "doc_id", "lead", (F.col("text") == F.col("head")).alias("same"))
-        judged = ws.save(judged.withColumn("chain", F.lit(chain)), "judged")
-        chains.append(judged.where("same").select("key", "doc_id", "lead", "chain"))
-        if judged.where("NOT same").isEmpty():
-            break
-        chain += 1
-        loose = open_.join(heads, "key").where("text <> head").select("key", "doc_id", "text")
-        leads = loose.groupBy("key").agg(F.max("doc_id").alias("lead"))
-        open_ = ws.save(loose.join(leads, "key"), "chained")
-    if not chain:
-        out = rows.join(index.select("key", F.col("lead").alias("keep_id"), F.col("n").alias("group_size")), "key")
-    else:
-        out = _chained(rows, index, chains)
-    return out.select("doc_id", "keep_id", F.col("group_size"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
-
-
-def _chained(rows: DataFrame, index: DataFrame, chains: list[DataFrame]) -> DataFrame:
-    """Rows with their group where a key holds several texts: a row's digest tells its chain."""
-    found = chains[0]
-    for c in chains[1:]:
-        found = found.unionByName(c)
-    sizes = found.groupBy("key", "chain", "lead").agg(F.count("*").alias("group_size"))
-    leads = rows.select("key", F.col("doc_id").alias("lead"), "sha").join(sizes, ["key", "lead"]).select("key", "sha", F.col("lead").alias("keep_id"), "group_size").distinct()
-    alone = index.where("n = 1").select("key", F.col("lead").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
-    return rows.join(alone, "key").unionByName(rows.join(leads, ["key", "sha"]))
+
+    keys = ws.save(keyed.select("key"), "keys")
+    capacity = capacity or max(LEAST_CAPACITY, keys.count() >> FIRST_BITS)
+    buckets = build_directory(keys, capacity)
+    spread = F.shiftrightunsigned(F.xxhash64("doc_id", F.monotonically_increasing_id()), 1)
+    found = keyed.withColumn("spread", spread).mapInArrow(_finder(buckets), "doc_id long, key long, text string, bucket int, part int")
+    shared = np.array([b.parts > 1 for b in buckets])
+    owned = ws.save(found.repartition("bucket", "part").sortWithinPartitions("bucket", "part", "key").mapInArrow(_owner(shared), OWNED), "index")
+    if not shared.any():
+        return _told(owned)
+
+    split = F.col("bucket").isin([i for i, s in enumerate(shared) if s]) if shared.sum() < 500 else F.lit(True)
+    heads = owned.where(F.col("first") & F.col("head").isNotNull()).select("bucket", "part", "key", "chain", "keep_id", "group_size", "head")
+    merged = ws.save(heads.repartition("bucket", "key").sortWithinPartitions("bucket", "key").mapInArrow(_merger, MERGED), "merged")
+    rest = owned.where(split).drop("head").join(merged, ["bucket", "part", "key", "chain"], "left")
+    rest = rest.withColumn("keep_id", F.when(F.col("m_size").isNull(), F.col("keep_id")).otherwise(F.col("m_keep"))).withColumn("group_size", F.coalesce("m_size", "group_size"))
+    told = _told(rest)
+    return told if shared.sum() >= 500 else _told(owned.where(~split)).unionByName(told)
+
+
+def _told(rows: DataFrame) -> DataFrame:
+    return rows.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")

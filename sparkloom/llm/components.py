@@ -32,12 +32,24 @@ class UnionFind:
             self.parent[max(a, b)] = min(a, b)
 
 
+#: Edges that one forest holds; a partition of more gives several forests.
+FOREST_EDGES = 500_000
+
+
 def _local_forest(batches):
-    """Replace a partition's edges by stars around the roots of its own forest."""
-    uf = UnionFind()
+    """Replace a partition's edges by stars around the roots of its own forests."""
+    uf, held = UnionFind(), 0
     for b in batches:
         for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             uf.union(x, y)
+        held += b.num_rows
+        if held >= FOREST_EDGES:
+            yield from _stars(uf)
+            uf, held = UnionFind(), 0
+    yield from _stars(uf)
+
+
+def _stars(uf: UnionFind):
     pairs = [(x, r) for x in list(uf.parent) if (r := uf.find(x)) != x]
     for i in range(0, len(pairs), 50_000):
         part = pairs[i : i + 50_000]

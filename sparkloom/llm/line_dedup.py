@@ -1,11 +1,11 @@
 """Line dedup over levelled sorted runs of line hashes.
 
-A run is a table of (k1, k2, n_docs, top_doc), one row per key, bucketed and
-sorted by key.  Batches come newest (largest documents) first.  A batch's keys
-are merge-joined with each run, bucket by bucket; a key that no run holds is
-new, and its last document is in this batch, while for a known one only the count
-is added.  The batch becomes a run of level 0; a level of ``fanout`` runs is
-merged into one run of the next.
+One pass over the texts writes a row per document: its lines' number, its digest and the
+hashes of its long lines.  A run is a table of (k1, k2, n_docs, top_doc), one row per key,
+bucketed and sorted by key.  Batches come newest (largest documents) first.  A batch's keys
+merge-anti-join the runs, bucket by bucket: what is left is new, and its last document is in
+this batch; of known keys only the count is added.  Both go into a run of level 0; a level of
+``fanout`` runs is merged into one run of the next.
 """
 
 from __future__ import annotations
@@ -34,21 +34,39 @@ def line_key(line: bytes, least: int) -> bytes | None:
     return xxhash.xxh3_128_digest(key.lower())
 
 
-def _extractor(least: int):
+READ = "doc_id long, n_lines long, sha string, keys binary"
+
+
+def _reader(least: int):
+    """Per document: the number of its lines, its digest, and the hashes of its distinct long lines, 16 bytes each."""
+
     def run(batches):
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).cast(pa.large_binary())
-            rows, keys = [], []
-            for r, t in enumerate(texts):
-                own = {k for line in (t.as_py() or b"").split(b"\n") if (k := line_key(line, least)) is not None}
-                rows += [r] * len(own)
-                keys += own
-            k = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(rows, pa.int64())), pa.array(k[:, 0]), pa.array(k[:, 1])], ["doc_id", *KEYS])
+            out = []
+            for t in batch.column(1).cast(pa.large_binary()):
+                text = t.as_py() or b""
+                lines = text.split(b"\n")
+                keys = {k for line in lines if (k := line_key(line, least)) is not None}
+                out.append((len(lines), hashlib.sha256(text).hexdigest(), b"".join(keys)))
+            cols = [pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.string(), pa.binary()))] if out else [pa.array([], k) for k in (pa.int64(), pa.string(), pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *cols], ["doc_id", "n_lines", "sha", "keys"])
 
     return run
 
 
+def _unpacked(batches):
+    for batch in batches:
+        data = batch.column("keys").to_pylist()
+        k = np.frombuffer(b"".join(data), "<i8").reshape(-1, 2)
+        rows = np.repeat(np.arange(len(data)), [len(d) // 16 for d in data])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(rows)), pa.array(k[:, 0]), pa.array(k[:, 1])], ["doc_id", *KEYS])
+
+
+def line_keys(read: DataFrame) -> DataFrame:
+    """(doc_id, k1, k2) of each document's distinct long lines."""
+    return read.where(F.length("keys") > 0).select("doc_id", "keys").mapInArrow(_unpacked, "doc_id long, k1 long, k2 long")
+
+
 def _rebuilder(least: int, with_text: bool):
     def run(batches):
         for batch in batches:
@@ -95,12 +113,15 @@ class LineRuns:
         return [n for level in self.levels for n in level]
 
     def add(self, lines: DataFrame) -> None:
-        batch = lines.groupBy(*KEYS).agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("top_doc"))
-        known = F.lit(False)
-        for i, name in enumerate(self.names()):
-            batch = batch.join(self.spark.table(name).select(*KEYS, F.lit(True).alias(f"in{i}")), KEYS, "left")
-            known = known | F.coalesce(F.col(f"in{i}"), F.lit(False))
-        self._write(batch.select(*KEYS, "n_docs", F.when(~known, F.col("top_doc")).alias("top_doc")), 0)
+        """Add a batch; a document counts once for a key, however many rows repeat it, and a null doc_id never."""
+        batch = lines.groupBy(*KEYS).agg(F.count_distinct("doc_id").alias("n_docs"), F.max("doc_id").alias("top_doc"))
+        fresh = batch
+        for name in self.names():
+            fresh = fresh.join(self.spark.table(name).select(*KEYS), KEYS, "left_anti")
+        if self.names():
+            known = batch.join(fresh.select(*KEYS), KEYS, "left_anti").withColumn("top_doc", F.lit(None).cast("long"))
+            fresh = fresh.unionByName(known)
+        self._write(fresh, 0)
         level = 0
         while len(self.levels[level]) >= self.fanout:
             full, self.levels[level] = self.levels[level], []
@@ -138,7 +159,7 @@ def dedup_lines(
     text_col: str = "text",
     min_chars: int = 40,
     min_docs: int = 5,
-    batches: int = 3,
+    batches: int = 4,
     fanout: int = 2,
     with_text: bool = True,
 ) -> DataFrame:
@@ -148,27 +169,32 @@ def dedup_lines(
     its ends and with A-Z lower-cased.  A key of at least ``min_chars`` code
     points that at least ``min_docs`` documents hold loses all its lines except
     those of the largest doc_id that holds it.  A null or empty text is one empty
-    line.  A row counts as a document, so rows that repeat a doc_id count apart and
-    are cleaned alike.  A row with a null doc_id counts, and keeps its lines.
+    line.  Rows that repeat a doc_id are one document in the count
+    and are cleaned alike.  A row with a null doc_id counts for no key and keeps its lines.
+    Other columns are not read; an empty table gives no rows.
     """
     spark = docs.sparkSession
     ws = Workspace(spark, "lines")
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    extract = _extractor(min_chars)
-    schema = "doc_id long, k1 long, k2 long"
-    runs = LineRuns(spark, fanout)
-    low, high = source.agg(F.min("doc_id"), F.max("doc_id")).first()
+    read = ws.save(source.mapInArrow(_reader(min_chars), READ), "read")
+    low, high = read.agg(F.min("doc_id"), F.max("doc_id")).first()
     if low is None:
-        parts = [source]
+        cuts = [0, 0]
     else:
-        cuts = [low + (high - low + 1) * i // batches for i in range(batches)]
-        parts = [source.where((F.col("doc_id") >= a) & (F.col("doc_id") < b)) for a, b in zip(cuts[1:], [*cuts[2:], high + 1])][::-1]
-        first = source.where(F.col("doc_id").isNull() | (F.col("doc_id") < (cuts[1] if batches > 1 else high + 1)))
-        parts.append(first)
-    for part in parts:
-        runs.add(part.mapInArrow(extract, schema))
-    common = ws.save(runs.merged().where(F.col("n_docs") >= min_docs).select(*KEYS, "top_doc"), "common")
-    runs.clear()
-    gone = source.mapInArrow(extract, schema).join(common, KEYS).where("doc_id < top_doc").groupBy("doc_id").agg(F.collect_set(F.struct(*KEYS)).alias("gone"))
+        cuts = [low + (high - low + 1) * i // batches for i in range(batches)] + [high + 1]
+    runs = LineRuns(spark, fanout)
+    try:
+        for a, b in list(zip(cuts[:-1], cuts[1:]))[::-1]:
+            runs.add(line_keys(read.where((F.col("doc_id") >= a) & (F.col("doc_id") < b))))
+        common = ws.save(runs.merged().where(F.col("n_docs") >= min_docs).select(*KEYS, "top_doc"), "common")
+    finally:
+        runs.clear()
+    # A document's own lines bound the set.
+    gone = line_keys(read).join(common, KEYS).where("doc_id < top_doc").groupBy("doc_id").agg(F.collect_set(F.struct(*KEYS)).alias("gone"))
+    gone = ws.save(gone, "gone")
     out = "doc_id long, n_lines long, n_dropped long, kept_sha256 string" + (", kept_text string" if with_text else "")
-    return source.join(gone, "doc_id", "left").mapInArrow(_rebuilder(min_chars, with_text), out)
+    if with_text:
+        return source.join(gone, "doc_id", "left").mapInArrow(_rebuilder(min_chars, True), out)
+    # Only texts that lose lines are built anew; of all others the first pass knows the digest.
+    whole = read.join(gone.select("doc_id"), "doc_id", "left_anti").select("doc_id", "n_lines", F.lit(0).cast("long").alias("n_dropped"), F.col("sha").alias("kept_sha256"))
+    return source.join(gone, "doc_id").mapInArrow(_rebuilder(min_chars, False), out).unionByName(whole)

@@ -154,21 +154,31 @@ def test_secret_ownership(spark):
     assert got[1] == ("owned:4:29", 1, 0) and got[10] == ("", 0, 0)
 
 
-@pytest.mark.parametrize("dim", [1, 5, 64])
-def test_top_k(spark, monkeypatch, dim):
-    monkeypatch.setattr(topk, "CANDIDATES", 40)
-    monkeypatch.setattr(topk, "QUERIES", 3)
+@pytest.mark.parametrize("dim,dense", [(1, 0.02), (5, 1.0), (64, 0.02)])
+def test_top_k(spark, monkeypatch, dim, dense):
+    for name, value in (("CANDIDATE_BYTES", 40 * 8 * dim), ("QUERY_BYTES", 3 * 8 * dim), ("_PAIRS", 64), ("_DENSE", dense)):
+        monkeypatch.setattr(topk, name, value)
     rng = np.random.default_rng(dim)
     vec = np.round(rng.normal(size=(260, dim)), 1).astype(np.float32)
     rows = [(i, [float(x) for x in v], "c") for i, v in enumerate(vec)]
-    bad = [(1000, None, "c"), (1001, [None] + [1.0] * (dim - 1), "c"), (1002, [float("nan")] * dim, "c"), (1050, [float("inf")] * dim, "c"), (None, [1.0] * dim, "c"), (1004, [9.0] * (dim + 1), "c"), (7, [0.5] * dim, "c")]
-    df = spark.createDataFrame(rows + bad, "vec_id long, embedding array<float>, score string")
-    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in topk.top_k(df, every=50).collect()}
-    ok = [(i, np.floor(256 * np.array(v, np.float32).astype(float)).astype(np.int64)) for i, v, _ in rows + [bad[-1]]]
-    for q, x in [o for o in ok if o[0] % 50 == 0]:
-        scores = sorted(((-int(x @ y), i) for i, y in ok if i != q))[:5]
-        assert [got[(q, k + 1)] for k in range(5)] == [(i, -s) for s, i in scores]
-    assert {q for q, _ in got} == {i for i, _ in ok if i % 50 == 0}
+    bad = [(1000, None, "c"), (1001, [None] + [1.0] * (dim - 1), "c"), (1002, [float("nan")] * dim, "c"), (1050, [float("inf")] * dim, "c"), (None, [1.0] * dim, "c"), (1004, [9.0] * (dim + 1), "c")]
+    again = [(7, [0.5] * dim, "c"), (50, [0.7] * dim, "c"), rows[100], (8, rows[9][1], "c")]
+    df = spark.createDataFrame(rows + bad + again, "vec_id long, embedding array<float>, score string")
+    got = {}
+    for r in topk.top_k(df, every=50).collect():
+        got.setdefault(r["query_id"], {})[r["rank"]] = (r["vec_id"], r["score"])
+    ok = [(i, np.floor(256 * np.array(v, np.float32).astype(float)).astype(np.int64)) for i, v, _ in rows + again]
+    for q in {i for i, _ in ok if i % 50 == 0}:
+        own = [x for i, x in ok if i == q]
+        scores = sorted(((-max(int(x @ y) for x in own), i) for i, y in ok if i != q))[:5]
+        assert got[q] == {k + 1: (i, -s) for k, (s, i) in enumerate(scores)}
+    assert set(got) == {i for i, _ in ok if i % 50 == 0}
+
+
+def test_top_k_reads_doubles(spark):
+    df = spark.createDataFrame([(0, [0.1, 1e39]), (1, [0.1, 0.0]), (2, [0.3, 0.0])], "vec_id long, embedding array<double>")
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in topk.top_k(df).collect()}
+    assert got == {(0, 1): (2, 25 * 76), (0, 2): (1, 25 * 25)}
 
 
 def test_top_k_few_and_large(spark):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,39 +31,67 @@ def _place() -> Column:
     return F.struct(*PLACE_COLUMNS)
 
 
+def _poured(items: DataFrame, by: list[str], total: Column, place: str) -> DataFrame:
+    """Add ``given``: ``total`` dealt among the rows of a group by ``weight``, none over its ``most``.
+
+    What is over goes to the others by weight, until none is above.  That fixpoint is
+    min(most, level * weight) for one level, which lies before the first row, in order of
+    most / weight, that it leaves under its most.
+    """
+    one = items.withColumn("_turn", F.col("most") / F.col("weight"))
+    up = Window.partitionBy(*by).orderBy("_turn", place).rowsBetween(Window.unboundedPreceding, -1)
+    every = Window.partitionBy(*by)
+    one = one.withColumn("_full", F.coalesce(F.sum("most").over(up), F.lit(0.0))).withColumn("_used", F.coalesce(F.sum("weight").over(up), F.lit(0.0)))
+    one = one.withColumn("_level", (total - F.col("_full")) / (F.sum("weight").over(every) - F.col("_used")))
+    # The first row that its level leaves at or under its most fixes the level for all after it.
+    one = one.withColumn("_fix", F.min(F.when(F.col("_level") <= F.col("_turn"), F.struct("_turn", place, "_level"))).over(every)["_level"])
+    given = F.when(F.col("_fix").isNull(), F.col("most")).otherwise(F.least(F.col("most"), F.col("_fix") * F.col("weight")))
+    return one.withColumn("given", given).drop("_turn", "_full", "_used", "_level", "_fix")
+
+
 def source_targets(sizes: DataFrame, *, weights=(3, 1, 2), share: float = 1.5, cap: float = 2.0) -> DataFrame:
     """Targets of sources (source, source_size): weights repeat in code point order, null last.
 
     Targets are ``share`` of all sizes dealt by weight; none exceeds ``cap`` times its
     source's size, and what is over goes to the others by weight, until none is above.
-    That fixpoint is min(cap * size, level * weight) for one level, which lies
-    before the first source, in order of cap * size / weight, that it leaves
-    uncapped.
+    Sources are put in order in one task: a row of some 100 bytes for each source, not for its documents.
     """
     order = Window.orderBy(F.col("source").asc_nulls_last())
     w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.pmod(F.col("_place") - 1, F.lit(len(weights))) + 1).cast("int"))
-    one = sizes.withColumn("_place", F.row_number().over(order)).withColumn("weight", w).withColumn("_most", F.lit(float(cap)) * F.col("source_size"))
-    one = one.withColumn("_turn", F.col("_most") / F.col("weight"))
-    up = Window.orderBy("_turn", "_place").rowsBetween(Window.unboundedPreceding, -1)
-    every = Window.partitionBy()
-    one = one.withColumn("_full", F.coalesce(F.sum("_most").over(up), F.lit(0.0))).withColumn("_used", F.coalesce(F.sum("weight").over(up), F.lit(0.0)))
-    one = one.withColumn("_level", (F.lit(float(share)) * F.sum("source_size").over(every) - F.col("_full")) / (F.sum("weight").over(every) - F.col("_used")))
-    # The first source that its level leaves at or under its cap fixes the level for all after it.
-    one = one.withColumn("_fix", F.min(F.when(F.col("_level") <= F.col("_turn"), F.struct("_turn", "_place", "_level"))).over(every)["_level"])
-    return one.select("source", "source_size", "weight", F.when(F.col("_fix").isNull(), F.col("_most")).otherwise(F.least(F.col("_most"), F.col("_fix") * F.col("weight"))).alias("target"))
+    one = sizes.withColumn("_place", F.row_number().over(order)).withColumn("weight", w).withColumn("most", F.lit(float(cap)) * F.col("source_size"))
+    total = F.lit(float(share)) * F.sum("source_size").over(Window.partitionBy())
+    return _poured(one.withColumn("_total", total), [], F.col("_total"), "_place").select("source", "source_size", "weight", F.col("given").alias("target"))
 
 
-def _go_on(chosen: DataFrame, gaps: DataFrame, ws: Workspace) -> tuple[DataFrame, DataFrame]:
-    """Fill ``gaps`` (g_source, gap, at) from the documents after ``at``, in order, passing over those that do not fit.
+def inclusion_plan(classes: DataFrame, targets: DataFrame, *, cap: float, tilt: float) -> DataFrame:
+    """(source, cls, whole, p, missing): certain copies and inclusion odds of each size class of a source.
 
-    A round takes, for each source, the documents that fit its gap up to the first at which
+    A document of class b is wanted min(cap, level * 2 ** (tilt * b)) times, with the one level at which
+    its source's words come to the target.  The whole part is certain, the rest is p;
+    ``missing`` are the source's words beyond the certain ones.
+    """
+    items = classes.join(targets.select(F.col("source").alias("_s"), "target"), classes.source.eqNullSafe(F.col("_s"))).drop("_s")
+    items = items.withColumn("weight", F.pow(F.lit(2.0), F.lit(float(tilt)) * F.col("cls")) * F.col("words")).withColumn("most", F.lit(float(cap)) * F.col("words"))
+    some = _poured(items.where("words > 0"), ["source"], F.col("target"), "cls")
+    wanted = F.col("given") / F.col("words")
+    # A number a rounding error under a whole one is that one.
+    some = some.withColumn("whole", F.floor(wanted + F.lit(1e-9))).withColumn("p", F.greatest(F.lit(0.0), wanted - F.col("whole")))
+    some = some.withColumn("p", F.when((F.col("p") > 1e-9) & (F.col("whole") + 1 <= F.lit(float(cap))), F.col("p")))
+    missing = F.col("target") - F.sum(F.col("whole") * F.col("words")).over(Window.partitionBy("source"))
+    some = some.select("source", "cls", F.col("whole").cast("long").alias("whole"), "p", missing.alias("missing"))
+    return some.unionByName(items.where("words = 0").select("source", "cls", F.lit(0).cast("long").alias("whole"), F.lit(None).cast("double").alias("p"), F.lit(0.0).alias("missing")))
+
+
+def _sampled(pool: DataFrame, gaps: DataFrame, ws: Workspace) -> tuple[DataFrame, DataFrame]:
+    """Fill ``gaps`` (g_source, gap, at) from the pool's documents in order, passing over those that do not fit.
+
+    A round takes, for each source, the documents after ``at`` that fit its gap up to the first at which
     their sum does not; one that was passed over never fits again.  Returns spans of places
     (s_source, lo, hi, room), of which documents of at most ``room`` words are taken, and the last gaps.
     """
     run = Window.partitionBy("g_source").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     inner = Window.partitionBy("g_source").orderBy(*PLACE_COLUMNS).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    pool = chosen.where("extra = 0 AND key IS NOT NULL AND size > 0").select("source", "cell", "key", "doc_id", "size", "row")
-    spans, open_gaps, done = None, gaps, []
+    spans, open_gaps, left = [], gaps, [gaps.select("g_source", "gap")]
     while True:
         now = open_gaps.where("at IS NOT NULL AND gap > 0")
         fits = pool.join(now, pool.source.eqNullSafe(now.g_source) & (F.col("size") <= F.col("gap")) & (_place() > F.col("at")))
@@ -71,24 +101,21 @@ def _go_on(chosen: DataFrame, gaps: DataFrame, ws: Workspace) -> tuple[DataFrame
         over = F.col("before") + F.col("words") > F.col("gap")
         cut = cells.groupBy("g_source").agg(F.max("gap").alias("gap"), F.max("at").alias("at"), F.min(F.when(over, F.col("cell"))).alias("c_cell"), F.sum(F.when(over, 0).otherwise(F.col("words"))).alias("used"))
         cut = ws.save(cut.withColumnRenamed("g_source", "k_source"), "cut")
-        last = fits.select("g_source", "cell", "key", "doc_id", "size", "row").join(cut, F.col("g_source").eqNullSafe(F.col("k_source")) & (F.col("cell") == F.col("c_cell")))
+        # Only the range at the cut is put in order.
+        last = fits.select("g_source", "cell", *PLACE_COLUMNS).join(cut, F.col("g_source").eqNullSafe(F.col("k_source")) & (F.col("cell") == F.col("c_cell")))
         last = last.withColumn("upto", F.col("used") + F.sum("size").over(inner)).groupBy("k_source").agg(
             F.min(F.when(F.col("upto") > F.col("gap"), _place())).alias("hi"), F.max(F.when(F.col("upto") <= F.col("gap"), F.col("upto"))).alias("most")
         ).withColumnRenamed("k_source", "l_source")
         state = cut.join(last, cut.k_source.eqNullSafe(last.l_source), "left")
         state = ws.save(state.select(F.col("k_source").alias("s_source"), F.col("at").alias("lo"), "hi", F.col("gap").alias("room"), (F.col("gap") - F.coalesce("most", "used")).alias("left")), "round")
         if state.isEmpty():
+            spans = spans or [state.select("s_source", "lo", "hi", "room")]
             break
-        span = state.select("s_source", "lo", "hi", "room")
-        spans = span if spans is None else spans.unionByName(span)
-        done.append(state.select(F.col("s_source").alias("g_source"), F.col("left").alias("gap")))
+        spans.append(state.select("s_source", "lo", "hi", "room"))
+        left.append(state.select(F.col("s_source").alias("g_source"), F.col("left").alias("gap")))
         open_gaps = state.select(F.col("s_source").alias("g_source"), F.col("left").alias("gap"), F.col("hi").alias("at"))
-    if spans is None:
-        spans = state.select("s_source", "lo", "hi", "room")
-    left = gaps.select("g_source", "gap")
-    for d in done:
-        left = left.unionByName(d)
-    return spans, left.groupBy("g_source").agg(F.min("gap").alias("gap"))
+    union = lambda dfs: reduce(DataFrame.unionByName, dfs)
+    return union(spans), union(left).groupBy("g_source").agg(F.min("gap").alias("gap"))
 
 
 def mix_sources(
@@ -100,12 +127,15 @@ def mix_sources(
     weights=(3, 1, 2),
     share: float = 1.5,
     cap: float = 2.0,
+    tilt: float = 0.25,
     seed: int = 17,
+    carry: bool = False,
 ) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, copies, taken.
+    """One row per document: doc_id, source, size, source_size, target, copies, taken; with ``carry`` its own columns in ``doc``, and copies.
 
-    A source with target t and size s wants t / s copies of each document: the
-    whole part is allocated for certain, and the rest p is an inclusion
+    A source's target is met by unequal odds: a document's wanted number of copies grows with
+    2 ** ``tilt`` for each doubling of its size and is at most ``cap`` (see ``inclusion_plan``).  Its whole part is
+    allocated for certain, and the rest p is an inclusion
     probability.  Documents are ranked by Pareto keys, random odds u / (1 - u)
     over inclusion odds p / (1 - p), and the sample takes them in that order
     while it stays within the words that are missing.  One that does not fit is passed over and the
@@ -114,49 +144,43 @@ def mix_sources(
 
     Sizes are words; a null text has size 0 and is taken with no words.  A null
     source is a source, last in order.  Ties of keys go to the smaller id;
-    repeated rows are separate documents with equal keys.  The random numbers
+    repeated rows are separate documents with equal keys, each decided on its own.  The random numbers
     depend on seed and id, so reruns agree.  Needs the columns named, reads no
-    others.
+    others; an empty table gives no rows.
     """
     ws = Workspace(docs.sparkSession, "mix")
-    sized = ws.save(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size")).withColumn("row", F.monotonically_increasing_id()), "sized")
-    totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    targets = ws.save(source_targets(totals, weights=weights, share=share, cap=cap), "targets")
-    ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    # A ratio a rounding error under a whole number is that number.
-    whole = F.floor(ratio + F.lit(1e-9))
-    plan = targets.select("source", "source_size", "target", whole.cast("long").alias("whole"), F.greatest(F.lit(0.0), ratio - whole).alias("p"))
-    plan = plan.withColumn("missing", F.col("target") - F.col("whole") * F.col("source_size"))
+    size = word_count(F.col(text_col))
+    own = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")] if carry else []
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), *own)
+    # Written once with a number for each row, so that repeated rows can be told apart.
+    base = ws.save(base.withColumn("cls", F.floor(F.log2(F.col("size") + 1)).cast("int")).withColumn("row", F.monotonically_increasing_id()), "sized")
+    classes = ws.save(base.groupBy("source", "cls").agg(F.sum("size").alias("words")), "classes")
+    targets = ws.save(source_targets(classes.groupBy("source").agg(F.sum("words").alias("source_size")), weights=weights, share=share, cap=cap), "targets")
+    plan = ws.save(inclusion_plan(classes, targets, cap=cap, tilt=tilt), "plan")
+
     u = uniform(seed, "doc_id")
     odds = (u / (1 - u)) / (F.col("p") / (1 - F.col("p")))
-    keyed = sized.join(plan, sized.source.eqNullSafe(plan.source)).select("row", "doc_id", sized.source, "size", "source_size", "target", "whole", "missing", F.when(F.col("p") > 1e-9, odds / (1 + odds)).alias("key"))
-    keyed = keyed.withColumn("cell", F.least(F.floor(F.col("key") * RANGES), F.lit(RANGES - 1)).cast("int"))
-
-    # Words before each range of keys, and the range in which the missing words run out.
-    cells = keyed.where("key IS NOT NULL").groupBy("source", "cell").agg(F.sum("size").alias("words"), F.max("missing").alias("missing"))
-    run = Window.partitionBy("source").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    cells = cells.withColumn("before", F.coalesce(F.sum("words").over(run), F.lit(0))).withColumn("state", F.when(F.col("before") + F.col("words") <= F.col("missing"), 1).when(F.col("before") < F.col("missing"), 0).otherwise(-1))
-    cells = ws.save(cells.select(F.col("source").alias("c_source"), F.col("cell").alias("c_cell"), "before", "state"), "cells")
-    placed = keyed.join(cells, keyed.source.eqNullSafe(cells.c_source) & (keyed.cell == cells.c_cell), "left").drop("c_source", "c_cell")
-    # Only the range at the cut is put in order.
-    inner = Window.partitionBy("source", "cell").orderBy(*PLACE_COLUMNS).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    edge = placed.where("state = 0").withColumn("_upto", F.col("before") + F.sum("size").over(inner)).withColumn("extra", (F.col("_upto") <= F.col("missing")).cast("long")).drop("_upto")
-    rest = placed.where("state IS NULL OR state <> 0").withColumn("extra", (F.coalesce("state", F.lit(-1)) == 1).cast("long"))
-    chosen = ws.save(edge.unionByName(rest).drop("before", "state"), "chosen")
-
-    got = chosen.groupBy("source").agg(F.sum(F.col("size") * F.col("extra")).alias("got"), F.max("missing").alias("gap"), F.min(F.when((F.col("extra") == 0) & (F.col("size") > 0) & F.col("key").isNotNull(), _place())).alias("at"))
-    first = ws.save(got.select(F.col("source").alias("g_source"), (F.col("gap") - F.col("got")).alias("gap"), "at"), "gaps")
-    spans, gaps = _go_on(chosen, first, ws)
-    inside = (_place() > F.col("lo")) & F.coalesce(_place() < F.col("hi"), F.lit(True)) & (F.col("size") <= F.col("room"))
-    later = (F.col("extra") == 0) & (F.col("size") > 0) & F.col("key").isNotNull()
-    # A document lies in one span of its source at most.
-    chosen = chosen.join(spans, chosen.source.eqNullSafe(spans.s_source) & later & inside, "left").withColumn("extra", F.col("extra") + F.when(F.col("room").isNotNull(), 1).otherwise(0)).drop("s_source", "lo", "hi", "room")
-    chosen = ws.save(chosen, "filled")
+    many = plan.select(F.col("source").alias("p_source"), F.col("cls").alias("p_cls"), "whole", "p")
+    keyed = base.join(many, base.source.eqNullSafe(many.p_source) & (base.cls == many.p_cls)).drop("p_source", "p_cls").withColumn("key", odds / (1 + odds)).drop("p")
+    pool = keyed.where("key IS NOT NULL AND size > 0").select("source", *PLACE_COLUMNS)
+    pool = ws.save(pool.withColumn("cell", F.least(F.floor(F.col("key") * RANGES), F.lit(RANGES - 1)).cast("int")), "pool")
+    start = F.struct(F.lit(-1.0).alias("key"), F.lit(0).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("size"), F.lit(0).cast("long").alias("row"))
+    first = plan.groupBy(F.col("source").alias("g_source")).agg(F.max("missing").alias("gap")).withColumn("at", start)
+    spans, gaps = _sampled(pool, ws.save(first, "gaps"), ws)
+    # One row per source; a source has one span for each round.
+    inside = ws.save(spans.groupBy("s_source").agg(F.collect_list(F.struct("lo", "hi", "room")).alias("spans")), "spans")
 
     # The closing document of each source.
-    spare = chosen.where(later).join(gaps, chosen.source.eqNullSafe(gaps.g_source))
+    within = lambda s: (_place() > s["lo"]) & (s["hi"].isNull() | (_place() < s["hi"])) & (F.col("size") <= s["room"])
+    taken = F.coalesce(F.exists("spans", within), F.lit(False))
+    spare = pool.join(gaps, pool.source.eqNullSafe(gaps.g_source)).join(inside, pool.source.eqNullSafe(inside.s_source), "left").where(~taken)
     closing = spare.where(F.abs(F.col("gap") - F.col("size")) < F.abs("gap")).groupBy("g_source").agg(F.min(F.struct(F.abs(F.col("gap") - F.col("size")).alias("d"), "key", "doc_id", "row")).alias("m"))
-    closing = closing.select(F.col("m.row").alias("c_row"), F.lit(1).alias("closes"))
-    out = chosen.join(closing, chosen.row == closing.c_row, "left")
-    copies = F.col("whole") + F.col("extra") + F.coalesce("closes", F.lit(0))
-    return out.select("doc_id", "source", "size", "source_size", "target", copies.cast("long").alias("copies"), (F.col("size") * copies).cast("long").alias("taken"))
+    closing = closing.select("g_source", F.col("m.row").alias("closes"))
+    told = targets.join(inside, targets.source.eqNullSafe(inside.s_source), "left").join(closing, targets.source.eqNullSafe(closing.g_source), "left")
+    told = ws.save(told.select(F.col("source").alias("t_source"), "source_size", "target", "spans", "closes"), "decisions")
+    out = keyed.join(told, keyed.source.eqNullSafe(told.t_source))
+    extra = F.when(F.col("key").isNotNull() & (F.col("size") > 0) & (taken | F.coalesce(F.col("row") == F.col("closes"), F.lit(False))), 1).otherwise(0)
+    copies = (F.col("whole") + extra).cast("long")
+    if carry:
+        return out.select("doc", copies.alias("copies"))
+    return out.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).cast("long").alias("taken"))

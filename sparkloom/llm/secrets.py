@@ -1,8 +1,8 @@
 """Secret scans with corpus-wide ownership, in built-in functions only.
 
 A candidate is a base match or a long mixed token.  Its value's hash is counted
-over the distinct repositories and owners that hold it: a value that many owners hold
-is a copied example, one that few hold looks live.  Live tokens without any
+over the distinct repositories and owners that hold it: a value that many owners hold, or that
+lies in many repositories, is a copied example; one that few hold looks live.  Live tokens without any
 assignment around them are added to a document's spans.
 """
 
@@ -20,6 +20,8 @@ ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
 TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
 SPAN = "array<struct<start:int,kind:int,end:int,value:bigint>>"
+#: Matches of one text that are laid out together: places are summed up within and then over chunks.
+CHUNK = 512
 
 
 def _spans(text: Column, pattern: str, kind: int, group: int, least: int) -> Column:
@@ -33,15 +35,23 @@ def _spans(text: Column, pattern: str, kind: int, group: int, least: int) -> Col
         F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"),
         F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("value"),
     )
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
+    width = lambda x: x["gap"] + F.coalesce(F.length(x["hit"]), F.lit(0))
 
     def step(acc: Column, x: Column) -> Column:
         begin = acc["at"] + x["gap"]
-        end = begin + F.coalesce(F.length(x["hit"]), F.lit(0))
+        end = acc["at"] + width(x)
         span = F.array(F.struct(begin.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), F.xxhash64(x["value"]).alias("value")))
         return F.struct(end.alias("at"), F.when(F.length(x["value"]) >= least, F.concat(acc["out"], span)).otherwise(acc["out"]).alias("out"))
 
-    return F.when(text.rlike(pattern), F.aggregate(zipped, start, step)["out"]).otherwise(F.array().cast(SPAN))
+    none = F.array().cast(SPAN)
+    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(zipped) - 1) / CHUNK).cast("int")), lambda i: F.slice(zipped, i * CHUNK + 1, F.lit(CHUNK)))
+    starts = F.aggregate(
+        F.transform(chunks, lambda c: F.aggregate(c, F.lit(0), lambda n, x: n + width(x))),
+        F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")),
+        lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")),
+    )["out"]
+    laid = F.zip_with(chunks, starts, lambda c, at: F.aggregate(c, F.struct(at.alias("at"), none.alias("out")), step)["out"])
+    return F.when(text.rlike(pattern), F.flatten(laid)).otherwise(none)
 
 
 def _listed(spans: Column) -> Column:
@@ -57,17 +67,19 @@ def scan_secrets(
     repo_cols: tuple[str, ...] = ("source", "lang"),
     owner_cols: tuple[str, ...] = ("source",),
     copied_owners: int = 3,
+    copied_repos: int = 6,
 ) -> DataFrame:
-    """One row per document: doc_id, n_assign, n_access, n_hex, n_live, n_copied, base_sha256, spans.
+    """One row per document: doc_id, n_assign, n_access, n_hex, n_live, n_copied, base_sha256, spans, owners.
 
     ``spans`` lists kind:start:end by start, then kind, in code points with the end
     exclusive.  Base kinds: an assignment of 12 or more value characters, an
     access key of 18 or more, a hexadecimal run of 16 or more.  ``owned`` adds
     tokens of 20 or more characters with a digit and a letter, not inside a base
-    span, that fewer than ``copied_owners`` owners hold in the corpus.  ``n_live`` and
-    ``n_copied`` count a document's spans by that test.  A null text is empty;
+    span, that fewer than ``copied_owners`` owners hold in fewer than ``copied_repos`` repositories of the corpus.
+    ``n_live`` and ``n_copied`` count a document's spans by that test; ``owners`` lists
+    start:owners:repositories:uses of every span, by start and kind.  A null text is empty;
     null repositories and owners are values of their own.  Rows that repeat a doc_id
-    stay separate rows.  Extra columns are not read.
+    stay separate rows.  Extra columns are not read; an empty table gives no rows.
     """
     ws = Workspace(docs.sparkSession, "secrets")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
@@ -96,9 +108,9 @@ def scan_secrets(
     pairs = spans.groupBy("value", "owner", "repo").agg(F.count("*").alias("n"))
     owners = pairs.groupBy("value", "owner").agg(F.count("*").alias("repos"), F.sum("n").alias("n"))
     owned = owners.groupBy("value").agg(F.count("*").alias("owners"), F.sum("repos").alias("repos"), F.sum("n").alias("uses"))
-    judged = spans.select("row", "value", "s").join(owned, "value").withColumn("live", F.col("owners") < copied_owners)
+    judged = spans.select("row", "value", "s").join(owned, "value").withColumn("live", (F.col("owners") < copied_owners) & (F.col("repos") < copied_repos))
     kept = judged.where("s.kind < 3 OR live")
-    per_row = kept.groupBy("row").agg(F.collect_list("s").alias("all"), F.count_if(F.col("live")).alias("n_live"), F.count_if(~F.col("live")).alias("n_copied"))
+    per_row = kept.groupBy("row").agg(F.collect_list("s").alias("all"), F.collect_list(F.struct("s.start", "s.kind", "owners", "repos", "uses")).alias("held"), F.count_if(F.col("live")).alias("n_live"), F.count_if(~F.col("live")).alias("n_copied"))
     order = lambda a: F.array_sort(a)
     n = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
     return scanned.join(per_row, "row", "left").select(
@@ -110,6 +122,7 @@ def scan_secrets(
         F.coalesce("n_copied", F.lit(0)).alias("n_copied"),
         F.sha2(_listed(order(F.col("base"))).cast("binary"), 256).alias("base_sha256"),
         F.coalesce(_listed(order(F.col("all"))), F.lit("")).alias("spans"),
+        F.coalesce(F.array_join(F.transform(order(F.col("held")), lambda h: F.concat_ws(":", h["start"], h["owners"], h["repos"], h["uses"])), ","), F.lit("")).alias("owners"),
     )
 
 

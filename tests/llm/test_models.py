@@ -52,6 +52,11 @@ def test_language(spark):
     assert all(got[i][0]["lang_pred"] == lang for i, _, lang in train)
     assert [got[i][0]["lang_pred"] for i in (100, 101, 102)] == ["und"] * 3
     assert got[None][0]["lang_pred"] == "de" and 0.3 < got[104][0]["score"] < 0.7 and len(got[103]) == 2
+    runs = {r["doc_id"]: r["runs"] for r in crf.label_words(docs.where("doc_id IN (101, 104)"), docs.where("doc_id < 60").select("doc_id", "text", "lang")).collect()}
+    assert runs[101] == [] and [(r["lang"], r["first_word"], r["end_word"]) for r in runs[104]] == [("de", 0, 30), ("en", 30, 60)]
+    kept = crf.identify_language(docs, docs.where("doc_id < 60").select("doc_id", "text", "lang"), carry=True)
+    assert kept.columns == ["doc", "lang_pred", "score"] and kept.select("doc.*").columns == docs.columns and kept.count() == docs.count()
+    assert crf.identify_language(docs.limit(0), docs.where("doc_id < 60").select("doc_id", "text", "lang")).count() == 0
     none = crf.identify_language(docs, docs.where("doc_id < 0").select("doc_id", "text", "lang"))
     assert {r["lang_pred"] for r in none.collect()} == {"und"}
 
@@ -147,11 +152,42 @@ def test_secrets(spark):
 
 
 def test_secret_ownership(spark):
-    live, copied = "Live9" * 5, "Copy7" * 5
-    rows = [(1, f"see {live} here", "a"), *[(10 + i, f"doc {copied} end", s) for i, s in enumerate("abcd")]]
-    docs = spark.createDataFrame([(*r, "en") for r in rows], "doc_id long, text string, source string, lang string")
-    got = {r["doc_id"]: (r["spans"], r["n_live"], r["n_copied"]) for r in secrets.scan_secrets(docs).collect()}
-    assert got[1] == ("owned:4:29", 1, 0) and got[10] == ("", 0, 0)
+    live, copied, vendored = "Live9" * 5, "Copy7" * 5, "Vend3" * 5
+    rows = [(1, f"see {live} here", "a", "en"), *[(10 + i, f"doc {copied} end", s, "en") for i, s in enumerate("abcd")]]
+    rows += [(30 + i, f"lib {vendored} end", "ab"[i % 2], f"l{i // 2}") for i in range(6)] + [(40, f"x {vendored}", None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    got = {r["doc_id"]: (r["spans"], r["n_live"], r["n_copied"], r["owners"]) for r in secrets.scan_secrets(docs).collect()}
+    assert got[1] == ("owned:4:29", 1, 0, "4:1:1:1") and got[10] == ("", 0, 0, "")
+    # Two owners, but six repositories: widely copied; with the owner null there are three and seven.
+    assert got[30] == ("", 0, 0, "") and got[40] == ("", 0, 0, "")
+    few = {r["doc_id"]: r["owners"] for r in secrets.scan_secrets(docs, copied_owners=9, copied_repos=9).collect()}
+    assert few[30] == "4:3:7:7" and few[10] == "4:4:4:4"
+    assert secrets.scan_secrets(docs.limit(0)).count() == 0
+
+
+def test_secret_ownership_separates_examples_from_live_ones(spark):
+    """Precision and recall on planted values: live ones of one or two owners, examples of many."""
+    rng = random.Random(2)
+    value = lambda: "".join(rng.choice("abcdefghijkmnpqrstuvwxyzABCDEFGH23456789") for _ in range(23)) + "7q"
+    rows, live = [], set()
+    for n in range(60):
+        v, hot = value(), n % 3 == 0
+        owners = rng.sample(range(20), rng.randrange(3, 9) if hot else rng.randrange(1, 3))
+        for o in owners:
+            rows.append((len(rows), f"key {v}", f"s{o}", "en"))
+            if not hot:
+                live.add(len(rows) - 1)
+    got = secrets.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")).collect()
+    assert {r["doc_id"] for r in got if "owned" in r["spans"]} == live
+
+
+def test_secrets_of_one_text_in_many_chunks(spark, monkeypatch):
+    monkeypatch.setattr(secrets, "CHUNK", 4)
+    text = " ".join(f"é{i:020x}" if i % 3 else f"token={'q' * (10 + i % 7)}" for i in range(60))
+    docs = spark.createDataFrame([(1, text, "a", "en")], "doc_id long, text string, source string, lang string")
+    names = ["assign", "access", "hex"]
+    want = ",".join(f"{names[k]}:{a}:{b}" for a, k, b in base_spans(text))
+    assert secrets.scan_secrets(docs).first()["base_sha256"] == hashlib.sha256(want.encode()).hexdigest()
 
 
 @pytest.mark.parametrize("dim,dense", [(1, 0.02), (5, 1.0), (64, 0.02)])

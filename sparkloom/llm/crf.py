@@ -23,8 +23,8 @@ from .store import Workspace
 #: Hash rows of n-gram and lexicon weights.
 GRAMS, LEXICON = 1 << 15, 1 << 16
 SIZES = (1, 2, 3, 4)
-#: Bound of the labelled texts of each language that a model is fitted on.
-MAX_ROWS = 200
+#: Bounds of the labelled texts of each language that a model is fitted on: how many, and their bytes in all.
+MAX_ROWS, MAX_BYTES = 200, 4_000_000
 #: Texts of one training chain, and rounds of training.
 CHAIN, ROUNDS = 8, 25
 #: Words of a block in forward-backward.
@@ -208,8 +208,27 @@ class Tagger:
 
     def shares(self, texts: list[str]) -> np.ndarray:
         """Per text, each label's share of the words; rows of zeros for texts without words."""
+        sizes, p = self.marginals([split_words(t) for t in texts])
+        out = np.zeros((len(texts), len(self.model.labels)))
+        full = np.flatnonzero(sizes)
+        if len(full):
+            offsets = np.concatenate([[0], np.cumsum(sizes[full])])
+            out[full] = np.add.reduceat(p, offsets[:-1], axis=0) / sizes[full][:, None]
+        return out
+
+    def runs(self, text: str) -> list[tuple[int, int, str, float]]:
+        """Stretches (first word, end, label, mean marginal) of words of one likeliest label."""
+        words = split_words(text)
+        _, p = self.marginals([words])
+        if not words:
+            return []
+        best = p.argmax(axis=1)
+        cut = [0, *(np.flatnonzero(np.diff(best)) + 1).tolist(), len(words)]
+        return [(a, b, self.model.labels[best[a]], float(p[a:b, best[a]].mean())) for a, b in zip(cut[:-1], cut[1:])]
+
+    def marginals(self, split: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+        """The number of words of each text, and the label marginals of all words in a row."""
         L = len(self.model.labels)
-        split = [split_words(t) for t in texts]
         if len(self.known) > CACHE_WORDS:
             self.known, self.table = {}, np.zeros((0, L))
         known = self.known
@@ -219,15 +238,13 @@ class Tagger:
             rows = [self.model.emissions(*word_features(new[i : i + 20_000])) for i in range(0, len(new), 20_000)]
             self.table = np.concatenate([self.table, *rows])
             known.update(zip(new, range(base, base + len(new))))
-        out = np.zeros((len(texts), L))
         sizes = np.array([len(ws) for ws in split], np.int64)
         full = np.flatnonzero(sizes)
-        if len(full):
-            ids = np.array([known[w] for ws in split for w in ws], np.int64)
-            offsets = np.concatenate([[0], np.cumsum(sizes[full])])
-            p, _ = forward_backward(self.table[ids], offsets, self.model.transition, self.model.start)
-            out[full] = np.add.reduceat(p, offsets[:-1], axis=0) / sizes[full][:, None]
-        return out
+        if not len(full):
+            return sizes, np.zeros((0, L))
+        ids = np.array([known[w] for ws in split for w in ws], np.int64)
+        offsets = np.concatenate([[0], np.cumsum(sizes[full])])
+        return sizes, forward_backward(self.table[ids], offsets, self.model.transition, self.model.start)[0]
 
 
 def _predictor(model):
@@ -259,34 +276,59 @@ def _predictor(model):
 
 
 def fit(labelled: DataFrame, ws: Workspace):
-    """A broadcast model from ``labelled`` (doc_id, text, lang).
+    """A broadcast model from ``labelled`` (doc_id, text, lang): 32 * MAX_ROWS texts of all languages at most.
 
-    Per language the ``MAX_ROWS`` documents of least hashed doc_id are chosen
-    without their texts, which only the chosen ones then give.
+    Per language the documents of least hashed doc_id are chosen, ``MAX_ROWS`` and ``MAX_BYTES``
+    at most, without their texts, which only the chosen ones then give.
     """
     usable = labelled.where("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL")
     w = Window.partitionBy("lang").orderBy("order", "doc_id")
-    ids = usable.select("doc_id", "lang", F.xxhash64("doc_id").alias("order")).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= MAX_ROWS)
-    ids = ws.save(ids.select("doc_id", "order"), "chosen")
-    some = usable.join(ids, "doc_id").orderBy("order")  # a written table of MAX_ROWS ids of each language
+    ids = usable.select("doc_id", "lang", F.octet_length("text").alias("bytes"), F.xxhash64("doc_id").alias("order")).where(F.col("bytes") <= MAX_BYTES // 8)
+    ids = ids.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= MAX_ROWS)
+    ids = ids.withColumn("_b", F.sum("bytes").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))).where(F.col("_b") <= MAX_BYTES)
+    ids = ws.save(ids.select("doc_id", "order").distinct(), "chosen")
+    some = usable.join(ids, "doc_id").dropDuplicates(["doc_id", "lang", "text"]).orderBy("order", "doc_id", "lang", "text").limit(32 * MAX_ROWS)
     rows = some.select("text", "lang").toArrow()
     return ws.spark.sparkContext.broadcast(train(rows["text"].to_pylist(), rows["lang"].to_pylist()))
 
 
 def identify_language(docs: DataFrame, labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
-    """doc_id (with ``carry`` every column), lang_pred, score for each row, by a model of ``labelled`` (doc_id, text, lang).
+    """doc_id (with ``carry`` a struct ``doc`` of every column), lang_pred, score for each row, by a model of ``labelled`` (doc_id, text, lang).
 
     ``score`` is the share of the text's words expected in ``lang_pred``.  A null
     text, or one without a letter, is ``und`` with score 1, as is every text where
-    nothing is labelled.  Repeated rows get equal results.
+    nothing is labelled.  Repeated rows get equal results; columns of any other name may be there, and an
+    empty table gives no rows.
     """
     ws = Workspace(docs.sparkSession, "crf")
     model = fit(labelled, ws)
-    own = [F.col(f"`{c}`") for c in docs.columns] if carry else [F.col(id_col).cast("long").alias("doc_id")]
+    own = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")] if carry else [F.col(id_col).cast("long").alias("doc_id")]
     source = docs.select(*own, F.col(text_col).cast("string").alias("_text"))
     schema = T.StructType([*source.schema.fields[:-1], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     return source.mapInArrow(_predictor(model), schema)
 
 
+def label_words(docs: DataFrame, labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id and ``runs`` of each row: stretches of words (first_word, end_word, lang, score) of one language.
+
+    Words are numbered from 0 as ``split_words`` gives them; ``score`` is the mean marginal of the
+    stretch.  A null text, one without words, or nothing labelled gives no stretch.
+    """
+    ws = Workspace(docs.sparkSession, "crf")
+    model = fit(labelled, ws)
+    kind = pa.list_(pa.struct([("first_word", pa.int32()), ("end_word", pa.int32()), ("lang", pa.string()), ("score", pa.float64())]))
+
+    def run(batches):
+        tagger = Tagger(model.value)
+        for b in batches:
+            for lo in range(0, b.num_rows, 64):
+                texts = b.column(1).slice(lo, 64).to_pylist()
+                runs = [[dict(zip(("first_word", "end_word", "lang", "score"), r)) for r in tagger.runs(t or "")] if model.value.labels else [] for t in texts]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, 64), pa.array(runs, kind)], ["doc_id", "runs"])
+
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return source.mapInArrow(run, "doc_id long, runs array<struct<first_word:int,end_word:int,lang:string,score:double>>")
+
+
 def fold(id_col: Column, modulus: int) -> Column:
     return F.pmod(F.crc32(id_col.cast("string").cast("binary")), F.lit(modulus))

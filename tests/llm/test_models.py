@@ -246,3 +246,18 @@ def test_pipeline(spark, tmp_path):
     assert set(seen["mix_sources"]) <= set(seen["near_dedup"]) and max(seen["mix_sources"].count(i) for i in set(seen["mix_sources"])) <= 2
     final = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
     assert {r["doc_id"] for r in final} == set(seen["mix_sources"])
+
+
+def test_pipeline_odd_rows(spark, tmp_path):
+    """Clashing names, repeated ids of several texts, null ids, and an empty table."""
+    words = lambda seed: " ".join(random.Random(seed).choice("the house and tree were with this other".split()) + str(seed) for _ in range(30))
+    rows = [(i, words(i), "en", "s", 9.0, 1, "x") for i in range(12)] + [(3, words(7), "en", "s", 9.0, 1, "y"), (None, words(40), None, None, 1.0, 2, "z"), (5, None, "en", "s", 0.0, 3, "n")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, score double, copies int, `doc` string")
+    stages = dict(corpus_pipeline.STAGES)
+    judged = stages["language_id"](spark, docs, "")
+    assert judged.columns == docs.columns and judged.where("text IS NULL").count() == 0
+    assert sorted(((r["doc_id"], r["doc"]) for r in stages["exact_dedup"](spark, docs.where("text IS NOT NULL"), "").collect()), key=str) == sorted([(i, "x") for i in range(12)] + [(None, "z")], key=str)
+    mixed = stages["mix_sources"](spark, docs, "")
+    assert mixed.columns == docs.columns and mixed.where("doc_id = 3").groupBy("doc").count().where("count > 2").count() == 0
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), "").count() == 0, name

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from sparkloom.llm import crf, queries, secrets, topk, toxicity
+from sparkloom.llm.store import Workspace
 
 SF = "/root/testdata/sf0.001"
 
@@ -109,15 +110,87 @@ def test_toxicity_counts_every_labelled_row(spark, monkeypatch, most):
         assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-9 for i in want)
 
 
-def test_toxicity_contexts_by_brute_force(spark):
-    rows = [(0, "a b a c " + "x" * 99), (0, "a b"), (1, "b b once"), (1, None), (0, "")]
-    want: dict = {}
+def test_toxicity_chances_by_brute_force(spark, monkeypatch):
+    """Counts, kept pairs and chances of both classes; the chances after any word add up to 1."""
+    rng = random.Random(3)
+    plain = [f"w{i}" for i in range(12)]
+    rows = [(0, " ".join(rng.choice(plain) for _ in range(rng.randrange(0, 14)))) for _ in range(60)] + [(1, None), (0, "")]
+    rows += [(1, " ".join([*(rng.choice(plain) for _ in range(4)), "go", "away", rng.choice(["now", "w1"])])) for _ in range(20)]
+    pairs, before = {}, {}
     for y, text in rows:
-        own = (text or "").split()
-        for v, w in zip(["", *own], own):
-            want.setdefault(w, (set(), set()))[y].add(v)
-    got = toxicity.count_contexts(spark.createDataFrame(rows, "label int, text string")).collect()
-    assert {r["word"]: (r["c0"], r["c1"]) for r in got} == {w: (len(a), len(b)) for w, (a, b) in want.items()}
+        own = ["", *(text or "").split(), ""]
+        for v, w in zip(own, own[1:]):
+            pairs.setdefault((v, w), [0, 0])[y] += 1
+            before.setdefault(w, (set(), set()))[y].add(v)
+    share = [0.75, 0.25]
+    gain = {k: 2 * sum(n * np.log(n / (sum(c) * share[y])) for y, n in enumerate(c) if n) for k, c in pairs.items()}
+    kept = {k: pairs[k] for k, g in gain.items() if g >= toxicity.GAIN}
+    assert ("go", "away") in kept and 0 < len(kept) < len(pairs)
+    ws = Workspace(spark, "test")
+    words, got = toxicity.count_contexts(spark.createDataFrame(rows, "label int, text string"), 0.25, ws)
+    names = {toxicity.key_of(w): w for w in before}
+    assert {r["word"]: (r["c0"], r["c1"], r["t0"], r["t1"]) for r in words.collect()} == {
+        w: (len(a), len(b), *(sum(c[y] for (_, x), c in pairs.items() if x == w) for y in (0, 1))) for w, (a, b) in before.items()
+    }
+    assert {(names[r["v"]], names[r["w"]]): [r["c0"], r["c1"]] for r in got.collect()} == kept
+    # Unigrams: discounted contexts and the shared uniform base.
+    D, S = toxicity.DISCOUNT, toxicity.SHARED
+    n = [sum(len(b[y]) for b in before.values()) for y in (0, 1)]
+    p = []
+    for y in (0, 1):
+        mass = {w: max(len(b[y]) - D, 0) + S * n[y] / sum(n) for w, b in before.items()}
+        p.append({w: m / sum(mass.values()) for w, m in mass.items()})
+    chances = ws.save(toxicity.word_chances(words))
+    for r in chances.collect():
+        assert abs(r["p0"] - p[0][r["word"]]) < 1e-12 and abs(r["p1"] - p[1][r["word"]]) < 1e-12
+    told, heads = toxicity.pair_chances(got, chances, ws)
+    told = {(names[r["v"]], names[r["w"]]): (r["p0"], r["p1"]) for r in told.collect()}
+    t = [sum(c[y] for c in pairs.values()) for y in (0, 1)]
+    for r in heads.collect():
+        v = names[r["v"]]
+        for y in (0, 1):
+            total = sum(told[(v, w)][y] if (v, w) in told else r[f"b{y}"] * p[y][w] for w in before)
+            assert abs(total - 1) < 1e-9
+            m = [sum(c[z] for (x, _), c in pairs.items() if x == v) + t[z] / sum(t) for z in (0, 1)]
+            own = [w for x, w in kept if x == v]
+            s = S * m[y] / sum(m)
+            z = m[y] + s * len(own)
+            b = (m[y] - sum(max(kept[(v, w)][y] - D, 0) for w in own)) / z
+            assert abs(b - r[f"b{y}"]) < 1e-9
+            assert all(abs((max(kept[(v, w)][y] - D, 0) + s) / z + b * p[y][w] - told[(v, w)][y]) < 1e-9 for w in own)
+    monkeypatch.setattr(toxicity, "MAX_PAIRS", 1)
+    assert toxicity.count_contexts(spark.createDataFrame(rows, "label int, text string"), 0.25, ws)[1].count() <= 1
+
+
+def test_toxicity_reads_pairs_of_words(spark):
+    """Words that both classes use alike, toxic only in one order."""
+    rng = random.Random(6)
+    plain = [f"w{i}" for i in range(30)]
+    rows = []
+    for i in range(900):
+        words = [rng.choice(plain) for _ in range(24)]
+        at = rng.randrange(20)
+        words[at : at + 2] = ["red", "blue"] if i % 3 == 0 else ["blue", "red"]
+        rows.append((i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in toxicity.score_toxicity(docs, spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(700)], "doc_id long, label int")).collect()}
+    assert sum((got[i] >= 0.5) == (i % 3 == 0) for i in range(700, 900)) >= 190
+
+
+def test_toxicity_filter_keeps_every_labelled_row(spark):
+    docs = spark.range(3000).selectExpr("id AS doc_id", "'t' AS text")
+    labels = spark.range(0, 3000, 7).selectExpr("id AS doc_id", "1 AS label")
+    kept = toxicity.maybe_labelled(docs, labels, Workspace(spark, "test"))
+    ids = {r["doc_id"] for r in kept.collect()}
+    assert kept.columns == docs.columns and ids >= set(range(0, 3000, 7)) and len(ids) < 900
+
+
+def test_toxicity_held_out_rows(spark):
+    sf = "/root/testdata/sf0.01"
+    got = queries.op9_toxicity(spark, sf).where("held_out")
+    ok = got.join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").groupBy("toxic").agg(F.avg("predicted").alias("rate"))
+    rate = {r["toxic"]: r["rate"] for r in ok.collect()}
+    assert rate[1] >= 0.5 and rate[0] <= 0.05
 
 
 BASE = [

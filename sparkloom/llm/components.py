@@ -92,5 +92,7 @@ def components(edges: DataFrame, ws: Workspace) -> DataFrame:
     if labels is None:
         return ws.spark.createDataFrame([], "node long, component long")
     plain = labels.select("node", "root").mapInArrow(_recoded(unmix, ["node", "root"]), "node long, root long")
-    least = plain.groupBy("root").agg(F.min("node").alias("component"))
+    plain = ws.save(plain, "plain")
+    # Written, so that the join with it holds no aggregate and a hot root's rows can be dealt anew.
+    least = ws.save(plain.groupBy("root").agg(F.min("node").alias("component")), "least")
     return ws.save(plain.join(least, "root").select("node", "component"), "components")

@@ -278,7 +278,7 @@ def near_duplicates(
     # Completion: buckets that still hold several components.
     named = members.join(comp.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
     named = ws.save(named, "named")
-    asks = ws.save(_dealt(_sides(named).join(sigs, "id"), "bucket", "i", "j").mapInArrow(_neighbours(least, rows), "id long, other long, member long, agree double"), "asks")
+    asks = ws.save(_dealt(_sides(named, ws).join(sigs, "id"), "bucket", "i", "j").mapInArrow(_neighbours(least, rows), "id long, other long, member long, agree double"), "asks")
     asks = ws.save(asks.groupBy("id", "other").agg(F.max(F.struct("agree", "member")).alias("m")).select("id", "other", F.col("m.member").alias("member")), "best")
     if not asks.isEmpty():
         pairs = asks.select(F.col("id").alias("u"), F.col("member").alias("v"))
@@ -295,7 +295,7 @@ def near_duplicates(
 
     # Back to documents through their class; a component's name is its smallest document.
     labelled = classes.select("node", "k1", "k2", "doc").join(comp, "node")
-    least_doc = labelled.groupBy("component").agg(F.min("doc").alias("class_component"))
+    least_doc = ws.save(labelled.groupBy("component").agg(F.min("doc").alias("class_component")), "names")
     label = labelled.join(least_doc, "component").select("k1", "k2", "class_component")
     alone = classes.join(comp, "node", "left_anti").select("k1", "k2", F.col("doc").alias("class_component"))
     out = (
@@ -318,11 +318,11 @@ def _repeated_ids(full: DataFrame, classes: DataFrame, ws: Workspace) -> DataFra
     return ws.save(own.join(first, "id").where("node <> u").select("u", F.col("node").alias("v")), "twins")
 
 
-def _sides(named: DataFrame) -> DataFrame:
+def _sides(named: DataFrame, ws: Workspace) -> DataFrame:
     """Blocks (bucket, i, j) of buckets with several components: part i of the nodes outside the main one, part j of all."""
     sizes = named.groupBy("bucket", "component").agg(F.count("*").alias("n"))
     top = sizes.groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("m"), F.sum("n").alias("n"), F.count("*").alias("kinds")).where("kinds > 1")
-    shape = top.select("bucket", F.col("m.component").alias("main"), F.ceil((F.col("n") - F.col("m.n")) / BLOCK).cast("int").alias("xs"), F.ceil(F.col("n") / BLOCK).cast("int").alias("ys"))
+    shape = ws.save(top.select("bucket", F.col("m.component").alias("main"), F.ceil((F.col("n") - F.col("m.n")) / BLOCK).cast("int").alias("xs"), F.ceil(F.col("n") / BLOCK).cast("int").alias("ys")), "buckets")
     part = lambda n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), n).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     placed = named.join(shape, "bucket")
@@ -340,7 +340,8 @@ def _verify(asks: DataFrame, members: DataFrame, sets: DataFrame, percent: int,
     """
     asked = asks.groupBy("other").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("xs"))
     sized = members.join(asked, members.component == asked.other, "left_semi").groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("ys"))
-    shape = asked.join(sized, asked.other == sized.component).select("component", "xs", "ys")
+    # Written, so that the joins with it hold no aggregate and a hot component's rows can be dealt anew.
+    shape = ws.save(asked.join(sized, asked.other == sized.component).select("component", "xs", "ys"), "shape")
     part = lambda n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), n).cast("int")
     x = asks.withColumnRenamed("other", "component").join(shape, "component").select("component", "id", part(F.col("xs"), 1).alias("i"), F.explode(F.sequence(F.lit(0), F.col("ys") - 1)).alias("j"), F.lit(False).alias("side"))
     y = members.join(shape, "component").select("component", "id", F.explode(F.sequence(F.lit(0), F.col("xs") - 1)).alias("i"), part(F.col("ys"), 2).alias("j"), F.lit(True).alias("side"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.llm import exact_dedup, line_dedup, near_dedup
 from sparkloom.llm.components import UnionFind
+from sparkloom.llm.store import Workspace
 
 SCHEMA = "doc_id long, text string, id string, bucket string, n long"
 
@@ -98,7 +99,7 @@ def test_near_giant_group_and_strangers(spark, monkeypatch):
     """A bucket with a giant component deals its members once for each block of strangers."""
     monkeypatch.setattr(near_dedup, "BLOCK", 4)
     named = spark.createDataFrame([(1, i, 0 if i < 400 else i) for i in range(403)] + [(2, 1, 0), (2, 2, 0)], "bucket long, id long, component long")
-    sides = near_dedup._sides(named)
+    sides = near_dedup._sides(named, Workspace(spark, "test"))
     assert sides.where("side").count() == 403 and sides.where("NOT side").count() == 3 * 101
 
 

@@ -247,12 +247,14 @@ class Tagger:
         return sizes, forward_backward(self.table[ids], offsets, self.model.transition, self.model.start)[0]
 
 
-def _predictor(model):
+def _predictor(model, field: int | None):
+    """Languages of column 1, or of a field of the struct in column 0; column 0 goes along."""
+
     def run(batches):
         tagger = Tagger(model.value)
         names = model.value.labels
         for b in batches:
-            texts = b.column(b.num_columns - 1).to_pylist()
+            texts = (b.column(0).field(field) if field is not None else b.column(1)).cast(pa.large_string()).to_pylist()
             lo = 0
             while lo < len(texts):
                 # Runs of about a million characters bound a task's memory; a longer text is a run of its own.
@@ -268,8 +270,7 @@ def _predictor(model):
                 ok = spoken & (len(names) > 0)
                 pred = [names[i] if o else "und" for i, o in zip(best, ok)]
                 own = b.slice(lo, hi - lo)
-                cols = [own.column(i) for i in range(own.num_columns - 1)]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(pred, pa.string()), pa.array(np.where(ok, score, 1.0))], [*own.schema.names[:-1], "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([own.column(0), pa.array(pred, pa.string()), pa.array(np.where(ok, score, 1.0))], [own.schema.names[0], "lang_pred", "score"])
                 lo = hi
 
     return run
@@ -302,10 +303,12 @@ def identify_language(docs: DataFrame, labelled: DataFrame, *, id_col: str = "do
     """
     ws = Workspace(docs.sparkSession, "crf")
     model = fit(labelled, ws)
-    own = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")] if carry else [F.col(id_col).cast("long").alias("doc_id")]
-    source = docs.select(*own, F.col(text_col).cast("string").alias("_text"))
-    schema = T.StructType([*source.schema.fields[:-1], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return source.mapInArrow(_predictor(model), schema)
+    if carry:
+        source, field = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")), docs.columns.index(text_col)
+    else:
+        source, field = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), None
+    schema = T.StructType([source.schema.fields[0], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return source.mapInArrow(_predictor(model, field), schema)
 
 
 def label_words(docs: DataFrame, labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -110,3 +110,21 @@ LANGUAGE_CODES = {
     "pt": ["pt", "pt-br", "pt-pt", "portuguese", "portugues", "português"], "ru": ["ru", "ru-ru", "russian", "русский"],
     "zu": ["zu", "zu-za", "zulu", "isizulu"], "af": ["af", "af-za", "afrikaans"],
 }
+
+SYSTEM_TYPES = [
+    "string", "int", "bool", "void", "long", "double", "float", "decimal", "char", "byte", "sbyte", "short", "ushort", "uint", "ulong", "nint", "nuint", "object",
+    "Task", "ValueTask", "IEnumerable", "List", "Dictionary", "HashSet", "Action", "Func", "IDisposable", "IAsyncDisposable",
+    "DateTime", "DateTimeOffset", "TimeSpan", "DateOnly", "TimeOnly", "Guid", "CancellationToken", "var", "dynamic",
+]
+LANGUAGE_TASKS = {
+    "es": "Por favor, proporciona todas las explicaciones, revisiones de arquitectura, diagnósticos de errores y comentarios en **Español (Spanish)**, manteniendo los nombres de clases, funciones, variables y rutas de código en su idioma original.",
+    "fr": "Veuillez fournir toutes les explications, analyses architecturales, diagnostics de bogues et commentaires en **Français (French)**, tout en conservant les identifiants de code, noms de classes, fonctions et chemins de fichiers dans leur forme d'origine.",
+    "de": "Bitte verfasse alle Erklärungen, Architektur-Analysen, Fehlerdiagnosen und Kommentare auf **Deutsch (German)**, während Code-Bezeichner, Klassennamen, Funktionen und Dateipfade unverändert im Original bleiben.",
+    "zh": "请使用 **简体中文 (Simplified Chinese)** 提供所有代码解析、架构分析、问题诊断和重构建议；同时请保持代码中的类名、方法名、变量名和文件路径不变。",
+    "ja": "すべての解説、アーキテクチャ分析、バグ診断、および提案は **日本語 (Japanese)** で記述してください。ただし、コード内のクラス名、関数名、変数名、およびファイルパスは元のまま維持してください。",
+    "pt": "Por favor, forneça todas as explicações, análises de arquitetura, diagnósticos de bugs e recomendações em **Português (Portuguese)**, mantendo todos os identificadores de código, nomes de classes, métodos e caminhos de arquivos no original.",
+    "ru": "Пожалуйста, предоставляйте все объяснения, архитектурный анализ, диагностику ошибок и рекомендации на **Русском языке (Russian)**, сохраняя имена классов, методов, переменных и пути к файлам в исходном виде.",
+    "zu": "Sicela unikeze zonke izincazelo, ukuhlaziywa kwesakhiwoikhozi (architecture), ukuxilongwa kwamaphutha (bugs), nezincomo ngolimi lwesi-**isiZulu**, kodwa ugcine amagama amakilasi (classes), imisebenzi (functions/methods), nezindlela zamafayela (file paths) zinjengoba zinjalo kukhodi.",
+    "af": "Verskaf asseblief alle verduidelikings, argitektuur-analises, foutdiagnoses en aanbevelings in **Afrikaans**, terwyl alle kode-identifiseerders, klasname, funksies en lêerpaaie onveranderd in hul oorspronklike vorm behou word.",
+    "en": "Provide all explanations and analysis in English.",
+}

@@ -165,6 +165,21 @@ def language_display(text: Column) -> Column:
     return lookup(language_code(text), tables.LANGUAGE_NAMES, tables.LANGUAGE_NAMES["en"])
 
 
+def language_task(text: Column) -> Column:
+    """What a model is told about the language of its answer."""
+    return lookup(language_code(text), tables.LANGUAGE_TASKS, tables.LANGUAGE_TASKS["en"])
+
+
+def is_system_type(name: Column) -> Column:
+    """Whether a type's bare name is one of the platform's own."""
+    return simple_type_name(name).isin(tables.SYSTEM_TYPES)
+
+
+def is_local_import(spec: Column) -> Column:
+    """Whether an import's specifier is a path from the file itself."""
+    return spec.rlike(r"^\.\.?[/\\]")
+
+
 def commit_verb(lang: Column, which: int) -> Column:
     return lookup(lang, {k: v[which] for k, v in tables.VERBS.items()}, tables.VERBS["en"][which])
 

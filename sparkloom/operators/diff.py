@@ -97,6 +97,13 @@ def name_list(lines: DataFrame) -> DataFrame:
     return lines.select(p.alias("path")).where("path <> ''").distinct()
 
 
+def untracked(found: DataFrame, tracked: DataFrame) -> DataFrame:
+    """Paths of ``found`` that no row of ``tracked`` has, case aside."""
+    known = tracked.select(F.upper(T.normalise_path(F.col("path"))).alias("_key")).distinct()
+    own = found.select(T.normalise_path(F.col("path")).alias("path")).distinct()
+    return own.join(known, F.upper("path") == F.col("_key"), "left_anti")
+
+
 def untracked_diff(files: DataFrame) -> DataFrame:
     """(path, line_no, line): every line of an untracked file as added."""
     return files.select("path", F.posexplode(F.split("content", "\n", -1)).alias("pos", "text")).select("path", (F.col("pos") + 1).alias("line_no"), F.concat(F.lit("+"), "text").alias("line"))

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions import tables
 from sparkloom.functions.text import WORD, extension, file_name, stem
 
+from .languages import COMPANIONS, DECLARED, HELPERS, JS, JS_EXTS, KINDS, RULES, SIBLING_EXTS, Rule
+
+PATHS = ("path", "sibling", "dots", "module", "mod")
+
 #: Declaration and inheritance patterns.  Loops over modifiers are
 #: possessive, so a long run of white space stays off the stack.
 TYPE_DECL = r"(?m)^(?:\s|public|private|protected|internal|export|default|abstract|sealed|static|partial|open|data)*+(?:class|interface|struct|enum|record|trait|type)\s+([A-Za-z_][A-Za-z0-9_]*)"
@@ -83,71 +85,6 @@ def first_wins(edges: DataFrame, *order: str) -> DataFrame:
 # --- language rules -------------------------------------------------------
 
 
-@dataclass(frozen=True)
-class Rule:
-    """A pattern whose group names a target by stem, path or dotted name."""
-
-    exts: tuple[str, ...]
-    rel: str
-    pattern: str
-    group: int = 1
-    how: str = "stem"  # stem: last name of the match; path: a relative specifier
-    targets: tuple[str, ...] = ()  # extensions of targets; the rule's own where empty
-
-
-JS = (".js", ".jsx", ".ts", ".tsx", ".mjs", ".cjs", ".vue")
-CPP = (".c", ".h", ".cc", ".cpp", ".cxx", ".hpp", ".hxx")
-RULES = [
-    Rule(JS, "Import", r"(?:import|export)\s+(?:[^'\"\n]*?\s+from\s+)?['\"]([^'\"]+)['\"]", how="path"),
-    Rule(JS, "Import", r"require\(\s*['\"]([^'\"]+)['\"]\s*\)", how="path"),
-    Rule(JS, "DynamicImport", r"import\(\s*['\"]([^'\"]+)['\"]\s*\)", how="path"),
-    Rule(JS, "ComponentUsage", r"<([A-Z][A-Za-z0-9_]*)[\s/>]"),
-    Rule(JS, "Template", r"templateUrl\s*:\s*['\"]([^'\"]+)['\"]", how="path"),
-    Rule(JS, "Style", r"styleUrls?\s*:\s*\[?\s*['\"]([^'\"]+)['\"]", how="path"),
-    Rule(JS, "Decorator", r"@([A-Z][A-Za-z0-9_]*)\s*\("),
-    Rule(JS, "Interface", r"implements\s+([A-Za-z_][A-Za-z0-9_]*)"),
-    Rule((".scss", ".css", ".sass"), "StyleReference", r"@(?:import|use|forward)\s+['\"]([^'\"]+)['\"]", how="path"),
-    Rule((".html", ".htm", ".vue"), "ScriptReference", r"<script[^>]*\bsrc=['\"]([^'\"]+)['\"]", how="path"),
-    Rule((".html", ".htm", ".vue"), "StyleReference", r"<link[^>]*\bhref=['\"]([^'\"]+)['\"]", how="path"),
-    Rule((".py",), "Import", r"(?m)^\s*from\s+\.*([A-Za-z_][A-Za-z0-9_.]*)\s+import"),
-    Rule((".py",), "Import", r"(?m)^\s*import\s+([A-Za-z_][A-Za-z0-9_.]*)"),
-    Rule((".py",), "BaseType", r"(?m)^class\s+\w+\s*\(\s*([A-Za-z_][A-Za-z0-9_.]*)"),
-    Rule((".py",), "Decorator", r"(?m)^\s*@([A-Za-z_][A-Za-z0-9_.]*)"),
-    Rule((".java",), "Import", r"(?m)^\s*import\s+(?:static\s+)?([A-Za-z_][A-Za-z0-9_.]*?)(?:\.\*)?\s*;"),
-    Rule((".java",), "Interface", r"implements\s+([A-Za-z_][A-Za-z0-9_]*)"),
-    Rule((".java",), "BaseType", r"extends\s+([A-Za-z_][A-Za-z0-9_]*)"),
-    Rule((".java",), "Annotation", r"(?m)^\s*@([A-Z][A-Za-z0-9_]*)"),
-    Rule((".go",), "Import", r"\"[^\"\n]*?([A-Za-z_][A-Za-z0-9_]*)\""),
-    Rule((".rs",), "Import", r"(?m)^\s*(?:pub\s+)?mod\s+([a-z_][a-z0-9_]*)\s*;"),
-    Rule((".rs",), "Import", r"(?m)^\s*(?:pub\s+)?use\s+(?:crate|self|super)::([a-z_][a-z0-9_]*)"),
-    Rule((".rs",), "Interface", r"impl(?:<[^>]*>)?\s+([A-Za-z_][A-Za-z0-9_]*)\s+for"),
-    Rule((".kt", ".kts"), "Import", r"(?m)^\s*import\s+([A-Za-z_][A-Za-z0-9_.]*)"),
-    Rule((".kt", ".kts"), "BaseType", r"class\s+\w+[^:\n{]*:\s*([A-Za-z_][A-Za-z0-9_]*)"),
-    Rule((".php",), "Import", r"(?m)^\s*use\s+([A-Za-z_\\][A-Za-z0-9_\\]*)\s*;"),
-    Rule((".php",), "BaseType", r"extends\s+([A-Za-z_][A-Za-z0-9_]*)"),
-    Rule((".php",), "Interface", r"implements\s+([A-Za-z_][A-Za-z0-9_]*)"),
-    Rule((".php",), "Attribute", r"#\[\s*([A-Za-z_][A-Za-z0-9_]*)"),
-    Rule((".dart",), "Import", r"import\s+['\"](?:package:)?([^'\"]+)['\"]", how="path"),
-    Rule((".dart",), "CodeBehind", r"part\s+(?:of\s+)?['\"]([^'\"]+)['\"]", how="path"),
-    Rule((".dart",), "BaseType", r"extends\s+([A-Za-z_][A-Za-z0-9_]*)"),
-    Rule((".dart",), "EventType", r"\bon<([A-Za-z_][A-Za-z0-9_]*)>"),
-    Rule(CPP, "Import", r"(?m)^\s*#include\s+\"([^\"]+)\"", how="path", targets=CPP),
-    Rule(CPP, "BaseType", r"(?:class|struct)\s+\w+\s*:\s*(?:public|private|protected)?\s*([A-Za-z_][A-Za-z0-9_]*)", targets=CPP),
-    Rule((".cs",), "Attribute", r"(?m)^\s*\[([A-Z][A-Za-z0-9_]*)"),
-    Rule((".cs",), "ObjectCreation", r"new\s+([A-Z][A-Za-z0-9_]*)\s*[(<{]"),
-    Rule((".cs",), "GenericArgument", r"<([A-Z][A-Za-z0-9_]*)>"),
-    Rule((".razor", ".cshtml"), "Service", r"(?m)^@inject\s+([A-Za-z_][A-Za-z0-9_]*)", targets=(".cs",)),
-    Rule((".razor", ".cshtml"), "ComponentUsage", r"<([A-Z][A-Za-z0-9_]*)[\s/>]", targets=(".razor",)),
-]
-#: Files that belong to one with the same stem: owner's extension, what follows the stem, kind.
-COMPANIONS = [
-    (".razor", ".razor.cs", "CodeBehind"), (".razor", ".razor.css", "Style"), (".razor", ".razor.js", "ScriptReference"),
-    (".cpp", ".h", "CodeBehind"), (".h", ".cpp", "CodeBehind"), (".cc", ".h", "CodeBehind"), (".c", ".h", "CodeBehind"),
-    (".jsx", ".css", "StyleReference"), (".tsx", ".css", "StyleReference"), (".jsx", ".module.css", "StyleReference"), (".tsx", ".module.scss", "StyleReference"),
-]
-JS_EXTS = [".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", ".vue", ".json", ".css", ".scss", ".html", ".sass"]
-
-
 def join_path(folder: Column, spec: Column) -> Column:
     """A relative specifier from a folder, with ``.`` and ``..`` resolved."""
     parts = F.filter(F.split(F.concat_ws("/", folder, spec), "/"), lambda p: ~p.isin("", "."))
@@ -160,20 +97,53 @@ def folder(path: Column) -> Column:
     return F.regexp_replace(path, r"/?[^/]*\z", "")
 
 
-def path_candidates(base: Column) -> Column:
-    """Where a specifier may point, in order: itself, with extensions, a partial, an index file."""
+def path_candidates(how: Column, own: Column, spec: Column) -> Column:
+    """Where a specifier may point, in order, by how it is read.
+
+    ``path``: itself, with extensions, a partial, an index file.  ``sibling``: a component beside the
+    file.  ``dots``: a relative Python module, a folder up for each dot after the first.  ``module``: a Python
+    module beside the file or from the root.  ``mod``: a Rust module.
+    """
+    base = join_path(own, spec)
     lead, leaf = F.regexp_extract(base, r"^(.*/)?[^/]*\z", 1), file_name(base)
     exts = [F.concat(base, F.lit(e)) for e in JS_EXTS + [".dart", ".h", ".hpp"]]
     partial = [F.concat(lead, F.lit("_"), leaf, F.lit(e)) for e in (".scss", ".sass", "")]
     index = [F.concat(base, F.lit("/index"), F.lit(e)) for e in JS_EXTS[:4]]
-    return F.array(base, *exts, *partial, *index)
+    dotted = lambda s: F.replace(s, F.lit("."), F.lit("/"))
+    dots = F.length(F.regexp_extract(spec, r"^\.*", 0))
+    above = join_path(own, F.concat(F.repeat(F.lit("../"), dots - 1), dotted(F.regexp_replace(spec, r"^\.+", ""))))
+    local = join_path(own, dotted(spec))
+    return (
+        F.when(how == "path", F.array(base, *exts, *partial, *index))
+        .when(how == "sibling", F.array(*[F.concat(base, F.lit(e)) for e in SIBLING_EXTS]))
+        .when(how == "dots", F.array(F.concat(above, F.lit(".py")), F.concat(above, F.lit("/__init__.py"))))
+        .when(how == "module", F.array(*[F.concat(x, F.lit(e)) for x in (local, dotted(spec)) for e in (".py", "/__init__.py")]))
+        .when(how == "mod", F.array(F.concat(base, F.lit(".rs")), F.concat(base, F.lit("/mod.rs"))))
+    )
+
+
+def name_parts(how: Column, spec: Column) -> Column:
+    """The segments of a name in the order in which they are looked up: from the right, or (``left``) from the left."""
+    parts = F.filter(F.split(spec, r"[.\\:]+"), lambda p: ~p.isin("", "crate", "super", "self"))
+    return F.when(how == "left", parts).otherwise(F.reverse(parts))
 
 
 _MATCHES = "array<struct<spec:string,rel:string,how:string,targets:array<string>>>"
 
 
-def _match(rule: Rule, targets: Column):
-    return lambda hit: F.struct(hit.alias("spec"), F.lit(rule.rel).alias("rel"), F.lit(rule.how).alias("how"), targets.alias("targets"))
+def _hits(rule: Rule) -> Column:
+    hits = F.regexp_extract_all("content", F.lit(rule.pattern), F.lit(rule.group))
+    if rule.each:
+        hits = F.flatten(F.transform(hits, lambda h: F.regexp_extract_all(h, F.lit(rule.each), F.lit(1))))
+    targets = F.array(*[F.lit(e) for e in (rule.targets or rule.exts)])
+
+    def match(hit: Column) -> Column:
+        rel = F.lit(rule.rel)
+        for pattern, other in rule.rel_if:
+            rel = F.when(hit.rlike(pattern), F.lit(other)).otherwise(rel)
+        return F.struct(hit.alias("spec"), rel.alias("rel"), F.lit(rule.how).alias("how"), targets.alias("targets"))
+
+    return F.transform(F.filter(hits, lambda h: (h != "") & ~h.isin(*rule.skip)) if rule.skip else F.filter(hits, lambda h: h != ""), match)
 
 
 def rule_edges(files: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
@@ -184,19 +154,15 @@ def rule_edges(files: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
     """
     rules = RULES if rules is None else rules
     known = files.select("path", extension(F.col("path")).alias("ext"), stem(F.col("path")).alias("stem"))
-    found = []
-    for r in rules:
-        hits = F.regexp_extract_all("content", F.lit(r.pattern), F.lit(r.group))
-        targets = F.array(*[F.lit(e) for e in (r.targets or r.exts)])
-        found.append(F.when(F.col("ext").isin(list(r.exts)), F.transform(hits, _match(r, targets))).otherwise(F.array().cast(_MATCHES)))
+    found = [F.when(F.col("ext").isin(list(r.exts)), _hits(r)).otherwise(F.array().cast(_MATCHES)) for r in rules]
     text = files.select("path", extension(F.col("path")).alias("ext"), "content")
     matches = text.select("path", F.explode(F.array_distinct(F.concat(*found))).alias("m")).select("path", "m.*")
 
-    by_path = matches.where("how = 'path'").select("path", "rel", "spec", F.posexplode(path_candidates(join_path(folder(F.col("path")), F.col("spec")))).alias("pos", "candidate"))
+    by_path = matches.where(F.col("how").isin(*PATHS)).select("path", "rel", "how", "spec", F.posexplode(path_candidates(F.col("how"), folder(F.col("path")), F.col("spec"))).alias("pos", "candidate"))
     exact = known.select(F.upper("path").alias("key"), F.col("path").alias("dst"))
-    hit = by_path.join(exact, F.upper("candidate") == F.col("key")).groupBy("path", "rel", "spec").agg(F.min_by("dst", F.struct("pos", "dst")).alias("dst"))
-    # A name: its segments from right to left until one is a file's stem; same folder first.
-    named = matches.where("how = 'stem'").select("path", "rel", "spec", "targets", F.posexplode(F.reverse(F.filter(F.split("spec", r"[.\\]"), lambda p: p != ""))).alias("pos", "part"))
+    hit = by_path.join(exact, F.upper("candidate") == F.col("key")).groupBy("path", "rel", "how", "spec").agg(F.min_by("dst", F.struct("pos", "dst")).alias("dst"))
+    # A name: its segments in turn until one is a file's stem; same folder first.
+    named = matches.where(~F.col("how").isin(*PATHS)).select("path", "rel", "spec", "targets", F.posexplode(name_parts(F.col("how"), F.col("spec"))).alias("pos", "part"))
     stems = known.select(F.upper("stem").alias("key"), F.col("ext").alias("dext"), F.col("path").alias("dst"))
     near = F.when(folder(F.col("path")) == folder(F.col("dst")), 0).otherwise(1)
     by_name = named.join(stems, (F.upper("part") == F.col("key")) & F.array_contains("targets", F.col("dext"))).where("path <> dst")
@@ -210,21 +176,105 @@ def rule_edges(files: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
     return out.unionByName(companions).where("src <> dst").distinct().withColumn("prio", F.lit(0))
 
 
-def go_siblings(files: DataFrame) -> DataFrame:
-    """Every non-test Go file of a folder imports its package siblings, in linear rows.
+def _of(files: DataFrame, *exts: str) -> DataFrame:
+    return files.where(extension(F.col("path")).isin(*exts)).select("path", folder(F.col("path")).alias("dir"), "content")
+
+
+def _words(text: Column, pattern: str) -> Column:
+    """Distinct whole runs of word characters that match a pattern."""
+    runs = F.array_distinct(F.regexp_extract_all(text, F.lit(f"[{WORD}]+"), F.lit(0)))
+    return F.filter(runs, lambda t: t.rlike(pattern))
+
+
+def _edge(df: DataFrame, rel: Column) -> DataFrame:
+    return df.where("path <> dst").select(F.col("path").alias("src"), "dst", rel.alias("rel")).distinct()
+
+
+def prototype_edges(files: DataFrame) -> DataFrame:
+    """JS and TS files to the extension or polyfill files that define a method which they call."""
+    js = _of(files, *JS)
+    named = F.lower(file_name(F.col("path")))
+    more = js.where((named.contains("extension") | named.contains("polyfill")) & F.col("path").rlike(r"(?i)\.[tj]s\z"))
+    own = F.regexp_extract_all("content", F.lit(r"\.prototype\.([A-Za-z0-9_]+)\s*="), F.lit(1))
+    declared = F.when(F.col("content").rlike(r"declare\s+global"), F.regexp_extract_all("content", F.lit(r"([a-zA-Z0-9_]+)\s*\([^)]*\)\s*:"), F.lit(1))).otherwise(F.array().cast("array<string>"))
+    defined = more.select(F.col("path").alias("dst"), F.explode(F.array_distinct(F.concat(own, declared))).alias("name"))
+    calls = js.select("path", F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(r"\.([a-zA-Z0-9_]+)\s*\("), F.lit(1)))).alias("name"))
+    return _edge(calls.join(defined, "name"), F.lit("ExtensionMethod"))
+
+
+def python_helpers(files: DataFrame) -> DataFrame:
+    """Python files to the helper modules of their folder whose functions or classes they name."""
+    py = _of(files, ".py")
+    helpers = py.where(F.lower(file_name(F.col("path"))).isin(*HELPERS))
+    names = helpers.select("dir", F.col("path").alias("dst"), F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(r"(?m)^\s*(?:def|class)\s+([A-Za-z0-9_]+)"), F.lit(1)))).alias("name"))
+    near = py.join(helpers.select("dir").distinct(), "dir", "left_semi")
+    uses = near.select("path", "dir", F.explode(_words(F.col("content"), r"^[A-Za-z0-9_]+\z")).alias("name"))
+    return _edge(uses.join(names, ["dir", "name"]), F.lit("ExtensionMethod"))
+
+
+def java_mentions(files: DataFrame) -> DataFrame:
+    """Java files to the types of their package that they name, and to the implementations (XImpl) of any type X that they name."""
+    java = _of(files, ".java")
+    types = java.select("dir", stem(F.col("path")).alias("name"), F.col("path").alias("dst"))
+    named = java.select("path", "dir", F.explode(_words(F.col("content"), r"^[A-Za-z_][A-Za-z0-9_]*\z")).alias("name"))
+    near = _edge(named.join(types, ["dir", "name"]), F.when(F.col("name").rlike("Extensions?$"), "ExtensionMethod").otherwise("Interface"))
+    impls = types.where(F.col("name").endswith("Impl")).select(F.expr("upper(substring(name, 1, length(name) - 4))").alias("key"), "dst")
+    far = named.where(F.col("name").rlike("^[A-Z]..*")).join(impls, F.upper("name") == F.col("key"))
+    return near.unionByName(_edge(far, F.lit("Implementation")))
 
-    Siblings meet through their package's first file: each file links with it both
-    ways, so reachability is that of all pairs.
+
+def implementations(files: DataFrame) -> DataFrame:
+    """C# files that name an interface to the files that implement it, and those that name an event to its handlers.
+
+    Two indexes by name (interface or event, file) join the names that a file holds.
     """
-    go = files.select("path", folder(F.col("path")).alias("dir")).where(F.col("path").endswith(".go") & ~F.col("path").endswith("_test.go"))
+    cs = _of(files, ".cs", ".razor", ".cshtml")
+    bases = cs.select(F.col("path").alias("dst"), F.explode(base_names(F.col("content"))).alias("name")).where(is_interface(F.col("name")))
+    handled = F.regexp_extract_all("content", F.lit(r"I?(?:Notification|Request|Event|Command|Query|Message)?(?:Handler|Consumer)\s*<\s*([A-Za-z_][A-Za-z0-9_]*)"), F.lit(1))
+    handlers = cs.select(F.col("path").alias("dst"), F.explode(F.array_distinct(handled)).alias("name"))
+    named = cs.select("path", F.explode(pascal_tokens(F.col("content"))).alias("name"))
+    found = named.join(bases, "name").select("path", "dst", F.lit("Implementation").alias("rel")).unionByName(named.join(handlers, "name").select("path", "dst", F.lit("EventType").alias("rel")))
+    return _edge(found, F.col("rel"))
+
+
+def go_packages(files: DataFrame) -> DataFrame:
+    """Non-test Go files of a folder import each other, and the packages that they name by a path, in linear rows.
+
+    A package stands for its files through its first one: siblings link with it both
+    ways and importers link to it, so reachability is that of all pairs.
+    """
+    go = _of(files, ".go").where(~F.col("path").endswith("_test.go"))
     lead = go.groupBy("dir").agg(F.min("path").alias("lead"))
-    pairs = go.join(lead, "dir").where("path <> lead")
-    return pairs.select(F.col("path").alias("src"), F.col("lead").alias("dst"), F.lit("Import").alias("rel")).unionByName(pairs.select(F.col("lead").alias("src"), F.col("path").alias("dst"), F.lit("Import").alias("rel")))
+    pairs = go.join(lead, "dir").select("path", F.col("lead").alias("dst"))
+    both = pairs.unionByName(pairs.select(F.col("dst").alias("path"), F.col("path").alias("dst")))
+    blocks = F.regexp_extract_all("content", F.lit(r"import\s*(\([^)]*\)|['\"][^'\"\n]+['\"])"), F.lit(1))
+    specs = F.flatten(F.transform(blocks, lambda b: F.regexp_extract_all(b, F.lit(r"['\"](?:[^'\"\n]*/)?([^/'\"\n]+)['\"]"), F.lit(1))))
+    wanted = go.select("path", F.explode(F.array_distinct(specs)).alias("name"))
+    named = lead.select(F.lower(file_name(F.col("dir"))).alias("key"), F.col("lead").alias("dst"))
+    imports = wanted.join(named, F.lower("name") == F.col("key"))
+    rel = F.when(F.lower("name").rlike("ext|helper|util"), "ExtensionMethod").otherwise("Import")
+    return _edge(both, F.lit("Import")).unionByName(_edge(imports, rel)).distinct()
+
+
+def declared_nodes(files: DataFrame) -> DataFrame:
+    """(path, id, kind, name, ord): types and functions that files declare, by their language, in order; each has an Export edge from its file."""
+    ext, empty = extension(F.col("path")), F.array().cast("array<struct<kind:string,name:string,family:string>>")
+    found = []
+    for d in DECLARED:
+        word = F.regexp_extract_all("content", F.lit(d.pattern), F.lit(d.word)) if d.word else F.transform(F.regexp_extract_all("content", F.lit(d.pattern), F.lit(d.name)), lambda _: F.lit("function"))
+        names = F.arrays_zip(word.alias("w"), F.regexp_extract_all("content", F.lit(d.pattern), F.lit(d.name)).alias("n"))
+        kind = lambda w: F.coalesce(F.element_at(F.create_map(*[F.lit(x) for x in KINDS]), w), F.lit("Class"))
+        family = "func" if not d.word else "type"
+        found.append(F.when(ext.isin(*d.exts), F.transform(names, lambda z: F.struct(kind(z["w"]).alias("kind"), z["n"].alias("name"), F.lit(family).alias("family")))).otherwise(empty))  # noqa: B023
+    rows = files.select("path", F.posexplode(F.array_distinct(F.concat(*found))).alias("ord", "d"))
+    return rows.select("path", F.concat(F.col("d.family"), F.lit(":"), "path", F.lit("#"), F.col("d.name")).alias("id"), F.col("d.kind").alias("kind"), F.col("d.name").alias("name"), "ord")
 
 
 def all_edges(files: DataFrame) -> DataFrame:
-    """Edges of the code graph: rules and Go packages first, then inheritance, then tokens; the first kind of a pair wins."""
-    found = rule_edges(files).unionByName(go_siblings(files).withColumn("prio", F.lit(0)))
+    """Edges of the code graph: rules, packages and indexes first, then inheritance, then tokens; the first kind of a pair wins."""
+    found = rule_edges(files)
+    for part in (go_packages, prototype_edges, python_helpers, java_mentions, implementations):
+        found = found.unionByName(part(files).withColumn("prio", F.lit(0)))
     return first_wins(found.unionByName(references(files, declarations(files))), "prio")
 
 

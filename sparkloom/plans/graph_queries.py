@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions import tables
@@ -154,10 +155,15 @@ def mermaid_nodes(spark, sf_dir):
 
 def _mermaid_top(spark, sf_dir):
     order = [F.desc("page_rank"), F.desc(F.col("in_degree") + F.col("out_degree")), F.upper("path")]
-    top = _metrics(spark, sf_dir).where("in_degree + out_degree > 0").orderBy(*order).limit(24)
-    from pyspark.sql import Window
+    return ranked_few(G.materialise(_metrics(spark, sf_dir)), order)
 
-    return top.withColumn("place", F.row_number().over(Window.orderBy(*order)))
+
+def ranked_few(metrics, order):
+    """The first 24 nodes with a link, or the first 15 of all where none has one, with their place."""
+    top = metrics.where("in_degree + out_degree > 0").orderBy(*order).limit(24)
+    if top.isEmpty():
+        top = metrics.orderBy(*order).limit(15)
+    return top.withColumn("place", F.row_number().over(Window.orderBy(*order)))  # 24 rows at most
 
 
 @register("mermaid_edges", _MERMAID + " SELECT a.path AS source, b.path AS target FROM e JOIN top a ON e.src = a.id JOIN top b ON e.dst = b.id ORDER BY a.place, b.place LIMIT 45")

@@ -23,7 +23,7 @@ def register(name: str, sql: str | None = None):
     return add
 
 
-MODULES = ("scalar_queries", "extract_queries", "graph_queries", "select_queries", "render_queries")
+MODULES = ("scalar_queries", "extract_queries", "language_queries", "graph_queries", "select_queries", "render_queries")
 
 
 def _load() -> None:

@@ -19,7 +19,7 @@ from .registry import register
 @register("dependency_tree")
 def dependency_tree(spark, sf_dir):
     nodes = B.files(spark, sf_dir).select(F.col("doc_id").alias("id"), "path", (F.col("doc_id") % 9 == 0).alias("modified")).withColumnRenamed("path", "label")
-    return render.dependency_tree(nodes, B.edges(spark, sf_dir), nodes.where("id = 0"))
+    return render.dependency_tree(nodes, B.edges(spark, sf_dir), nodes.where("id IN (0, 1)"))
 
 
 @register("context_markdown")
@@ -39,16 +39,25 @@ def knowledge_markdown(spark, sf_dir):
     return render.knowledge_markdown(gods, clusters, GQ.cycles(spark, sf_dir))
 
 
-@register("mermaid_chart")
+_CHART = GQ._MERMAID + """, few AS (SELECT *, split_part(path, '/', 2) || '/' || split_part(path, '/', 3) AS cluster FROM top), c AS (SELECT upper(cluster) AS ck, min(place) AS first, min_by(cluster, place) AS name FROM few GROUP BY 1),
+ n AS (SELECT *, row_number() OVER (ORDER BY first) AS nth FROM c), drawn AS (SELECT a.place AS pa, b.place AS pb FROM e JOIN few a ON e.src = a.id JOIN few b ON e.dst = b.id ORDER BY pa, pb LIMIT 45),
+ pad AS (SELECT 1)
+ SELECT '0' AS ord, 'flowchart LR' AS line UNION ALL SELECT '1' || lpad(nth::VARCHAR, 4, '0') || '0000', '    subgraph C' || nth || '["' || translate(name, '"[]', '''()') || '"]' FROM n
+ UNION ALL SELECT '1' || lpad(nth::VARCHAR, 4, '0') || '9999', '    end' FROM n
+ UNION ALL SELECT '1' || lpad(nth::VARCHAR, 4, '0') || lpad(place::VARCHAR, 4, '0'), '        N' || place || '["' || translate(split_part(path, '/', -1) || CASE WHEN place <= 10 THEN ' ★' ELSE '' END, '"[]', '''()') || '"]' FROM few JOIN n ON upper(cluster) = ck
+ UNION ALL SELECT '2' || lpad(pa::VARCHAR, 4, '0') || lpad(pb::VARCHAR, 4, '0'), '    N' || pa || ' --> N' || pb FROM drawn"""
+
+
+@register("mermaid_chart", _CHART)
 def mermaid_chart(spark, sf_dir):
-    top = G.materialise(GQ._mermaid_top(spark, sf_dir).select("id", "path", "place", (F.col("place") <= 10).alias("god"), F.lit(False).alias("modified")))
-    return render.mermaid(top, G.distinct_edges(B.edges(spark, sf_dir)))
+    top = GQ._mermaid_top(spark, sf_dir).select("id", "path", "place", (F.col("place") <= 10).alias("god"), F.lit(False).alias("modified"), T.cluster_name(F.col("path")).alias("cluster"))
+    return render.mermaid(G.materialise(top), G.distinct_edges(B.edges(spark, sf_dir)))
 
 
 @register("file_json", "WITH " + B.files_sql() + " SELECT doc_id, CAST(to_json({'docId': doc_id, 'path': path, 'ext': ext}) AS VARCHAR) AS json FROM files")
 def file_json(spark, sf_dir):
     f = B.files(spark, sf_dir).select("doc_id", "path", "ext")
-    return f.select("doc_id", F.to_json(F.struct(F.col("doc_id").alias("docId"), "path", "ext")).alias("json"))
+    return f.select("doc_id", render.as_json(f, "doc_id", "path", "ext").alias("json"))
 
 
 @register("candidate_reasons", None)

@@ -107,3 +107,30 @@ def secret_findings(spark, sf_dir):
 @register("secret_counts_by_category", _LINES_SQL + "SELECT category, count(*) AS findings, count(DISTINCT doc_id) AS files FROM found WHERE category IS NOT NULL GROUP BY category")
 def secret_counts(spark, sf_dir):
     return findings(B.files(spark, sf_dir)).groupBy("category").agg(F.count("*").alias("findings"), F.countDistinct("doc_id").alias("files"))
+
+
+_TASKS = {"es": "Español", "fr": "Français", "de": "Deutsch", "zh": "简体中文", "ja": "日本語", "pt": "Português", "ru": "Русском", "zu": "isiZulu", "af": "Afrikaans", "en": "English"}
+
+
+@register("language_task", "SELECT doc_id, CASE doc_id % 11 " + " ".join(f"WHEN {i} THEN {S.text(v)}" for i, v in enumerate(_TASKS.values())) + " ELSE 'English' END AS named FROM documents")
+def language_task(spark, sf_dir):
+    """The language that each instruction names."""
+    codes = F.array(*[F.lit(c) for c in [*_TASKS, "xx"]])
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
+    told = docs.select("doc_id", T.language_task(F.element_at(codes, (F.col("doc_id") % 11 + 1).cast("int"))).alias("t"))
+    return told.select("doc_id", F.regexp_extract("t", "(" + "|".join(_TASKS.values()) + ")", 1).alias("named"))
+
+
+@register("system_types", """SELECT doc_id, doc_id % 4 IN (0, 2) AS system FROM documents""")
+def system_types(spark, sf_dir):
+    """Bare names of types, generic and qualified, told apart from the platform's."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
+    names = F.array(F.lit("System.Collections.List<Order>"), F.lit("Billing.Order<int>"), F.lit("int[]?"), F.lit("Task1"))
+    return docs.select("doc_id", T.is_system_type(F.element_at(names, (F.col("doc_id") % 4 + 1).cast("int"))).alias("system"))
+
+
+@register("local_imports", "SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN true WHEN 1 THEN true WHEN 2 THEN true ELSE false END AS local FROM documents")
+def local_imports(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
+    specs = F.array(*[F.lit(x) for x in ("./a", "../b/c", "..\\d", "react", "/abs", ".hidden")])
+    return docs.select("doc_id", T.is_local_import(F.element_at(specs, (F.col("doc_id") % 6 + 1).cast("int"))).alias("local"))

@@ -163,3 +163,11 @@ def history_top15(spark, sf_dir):
     e = spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("user_id", "event_type").agg(F.max("ts").alias("seen"))
     w = Window.partitionBy("user_id").orderBy(F.desc("seen"), "event_type")
     return e.withColumn("_n", F.row_number().over(w)).where("_n <= 15").drop("_n")
+
+
+@register("untracked_paths", "WITH " + B.files_sql() + " SELECT path FROM files WHERE doc_id % 2 = 0 AND doc_id % 3 <> 0")
+def untracked_paths(spark, sf_dir):
+    """Even documents' files, of which every third one is tracked, in another case and with backslashes."""
+    f = B.files(spark, sf_dir).select("doc_id", "path")
+    tracked = f.where("doc_id % 3 = 0").select(F.upper(F.replace("path", F.lit("/"), F.lit("\\"))).alias("path"))
+    return D.untracked(f.where("doc_id % 2 = 0"), tracked)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from sparkloom.operators import diff as D
 from sparkloom.operators import extract as X
 from sparkloom.operators import graph as G
-from sparkloom.operators import score
+from sparkloom.operators import roots, score
 from sparkloom.operators import select as SEL
 from sparkloom.plans import render
 from sparkloom.sources import readers
@@ -196,3 +196,78 @@ def test_registry_without_session_names():
     names = registry.queries()
     assert "god_nodes" in names and set(registry.oracle_sql()) <= set(names)
     assert all(a != b for a, b in itertools.combinations(names, 2))
+
+
+def edge_set(df):
+    return {(r["src"], r["dst"], r["rel"]) for r in df.collect()}
+
+
+def test_lists_of_names_lose_none(spark):
+    files = [
+        ("w/A.ts", "class A implements B, C {}\nstyleUrls: ['./a.css', './b.scss']\n@Use({ x: Dd })"), ("w/B.ts", ""), ("w/C.ts", ""), ("w/Dd.ts", ""), ("w/a.css", ""), ("w/b.scss", ""),
+        ("p/m.py", "from . import x\nclass K(base.Thing, LogMixin):\n    pass"), ("p/__init__.py", ""), ("p/base/Thing.py", ""), ("p/LogMixin.py", ""), ("p/extras.py", ""), ("p/n.py", "import extras"),
+        ("r/lib.rs", "mod deep;\n#[derive(Clone, Shape)]\nstruct S;"), ("r/deep/mod.rs", ""), ("r/shape.rs", ""),
+    ]
+    df = spark.createDataFrame(files, "path string, content string")
+    assert edge_set(X.rule_edges(df)) == {
+        ("w/A.ts", "w/B.ts", "Interface"), ("w/A.ts", "w/C.ts", "Interface"), ("w/A.ts", "w/a.css", "Style"), ("w/A.ts", "w/b.scss", "Style"), ("w/A.ts", "w/Dd.ts", "Decorator"),
+        ("p/m.py", "p/__init__.py", "Import"), ("p/m.py", "p/base/Thing.py", "BaseType"), ("p/m.py", "p/LogMixin.py", "ExtensionMethod"), ("p/n.py", "p/extras.py", "ExtensionMethod"),
+        ("r/lib.rs", "r/deep/mod.rs", "Import"), ("r/lib.rs", "r/shape.rs", "Attribute"),
+    }
+    assert X.rule_edges(df.limit(0)).count() == 0
+
+
+def test_indexes_of_implementations_handlers_and_prototypes(spark):
+    files = [
+        ("c/IRepo.cs", "public interface IRepo { }"), ("c/Repo.cs", "public class Repo : IRepo { }"), ("c/Use.cs", "class Use { Use(IRepo r) { Send(new Paid()); } }"),
+        ("c/Paid.cs", "class Paid { }"), ("c/PaidHandler.cs", "class PaidHandler : INotificationHandler<Paid> { }"),
+        ("c/Marked.cs", "[Map(typeof(Paid))]\nclass Marked { }"),
+        ("w/text.extensions.ts", "String.prototype.shout = f\ndeclare global { interface X { calm(a): string } }"), ("w/a.ts", "s.shout()"), ("w/b.ts", "s.calm(1)"), ("w/c.ts", "s.other()"),
+    ]
+    df = spark.createDataFrame(files, "path string, content string")
+    assert edge_set(X.implementations(df)) == {("c/IRepo.cs", "c/Repo.cs", "Implementation"), ("c/Use.cs", "c/Repo.cs", "Implementation"), ("c/Use.cs", "c/PaidHandler.cs", "EventType"), ("c/Paid.cs", "c/PaidHandler.cs", "EventType"), ("c/Marked.cs", "c/PaidHandler.cs", "EventType")}
+    assert edge_set(X.prototype_edges(df)) == {("w/a.ts", "w/text.extensions.ts", "ExtensionMethod"), ("w/b.ts", "w/text.extensions.ts", "ExtensionMethod")}
+    assert ("c/Marked.cs", "c/Paid.cs", "Attribute") in edge_set(X.rule_edges(df))
+    all_ = X.all_edges(df)
+    assert all_.groupBy("src", "dst").count().where("count > 1").count() == 0 and ("c/Use.cs", "c/Repo.cs", "Implementation") in edge_set(all_)
+
+
+def test_tree_of_any_depth_against_recursion(spark):
+    rng = random.Random(5)
+    n = 40
+    links = sorted({(rng.randrange(n), rng.randrange(n)) for _ in range(70)} | {(i, i + 1) for i in range(20)})
+    nodes = spark.createDataFrame([(i, f"n{i:02d}", i % 7 == 0) for i in range(n)], "id long, label string, modified boolean")
+    e = spark.createDataFrame([(a, b, "Import", "High") for a, b in links], "src long, dst long, rel string, confidence string")
+    want, shown = [], set()
+
+    def open_(node, depth, path):
+        for _, b in [x for x in links if x[0] == node]:
+            mark = " (circular)" if b in path else " (already shown)" if b in shown else ""
+            want.append("  " * depth + f"- n{b:02d} [import, high]" + (" [MODIFIED]" if b % 7 == 0 else "") + mark)
+            if not mark:
+                shown.add(b)
+                open_(b, depth + 1, [*path, b])
+
+    for root in (0, 3):
+        want.append(f"- n{root:02d}" + (" [MODIFIED]" if root % 7 == 0 else ""))
+        shown.add(root)
+        open_(root, 1, [root])
+    got = render.dependency_tree(nodes, e, nodes.where("id IN (0, 3)")).orderBy("ord").collect()
+    assert [r["line"] for r in got] == want and max(r["depth"] for r in got) > 10
+    ws = lambda df: df.withColumn("ws", F.lit("a")).unionByName(df.withColumn("ws", F.lit("b")))
+    both = render.dependency_tree(ws(nodes), ws(e), ws(nodes.where("id IN (0, 3)")), "ws").orderBy("workspace", "ord").collect()
+    assert [r["line"] for r in both] == want * 2
+
+
+def test_roots(spark):
+    nodes = spark.createDataFrame(
+        [("a/order_svc.ts", "t1", "Class", "Other", 0), ("a/order_svc.ts", "t2", "Class", "OrderSvc", 1), ("a/two.ts", "t3", "Class", "X", 0), ("a/two.ts", "t4", "Function", "Y", 1), ("a/p.razor", "t5", "Class", "P", 0), ("a/t.ts", "t6", "Type", "T", 0)],
+        "path string, id string, kind string, name string, ord int",
+    )
+    files = spark.createDataFrame([(p,) for p in ("a/order_svc.ts", "a/two.ts", "a/p.razor", "a/t.ts", "a/none.md")], "path string")
+    got = {r["path"]: r for r in roots.resolve_roots(files, nodes).collect()}
+    assert got["a/order_svc.ts"]["root_id"] == "t2" and got["a/p.razor"]["root_id"] == "file:a/p.razor" and got["a/none.md"]["root_id"] == "file:a/none.md" and got["a/t.ts"]["candidates"] == 0
+    assert got["a/two.ts"]["multi"] and got["a/two.ts"]["root_id"] == "file:a/two.ts"
+    assert {r["id"] for r in roots.root_nodes(roots.resolve_roots(files, nodes), nodes).where("path = 'a/two.ts'").collect()} == {"file:a/two.ts", "t3", "t4"}
+    asked = {r["path"]: r for r in roots.resolve_roots(files, nodes, " Y ").collect()}
+    assert asked["a/two.ts"]["root_id"] == "t4" and asked["a/t.ts"]["error"] == "RootSymbolNotFound" and asked["a/t.ts"]["root_id"] is None

@@ -113,3 +113,25 @@ def graph_source(path: Column, include_tests: bool = False) -> Column:
     upper = F.upper(path)
     ok = extension(path).isin(tables.SOURCE_EXTS) & ~any_of([upper.endswith(s.upper()) for s in tables.GRAPH_SKIPPED_SUFFIXES])
     return ok if include_tests else ok & ~is_test_path(path)
+
+
+def containment_error(path: Column) -> Column:
+    """Why a path relative to a workspace must not be read: OutsideWorkspace, GitInternal, or null.
+
+    ``.`` and ``..`` are resolved first; a null path has no error.
+    """
+    parts = F.filter(F.split(F.translate(path, "\\", "/"), "/"), lambda p: ~p.isin("", "."))
+    # A path is outside as soon as a step up finds no folder above it but the workspace itself.
+    step = lambda kept, p: F.when(p != "..", F.concat(kept, F.array(p))).when((F.size(kept) > 0) & (F.element_at(kept, -1) != ".."), F.slice(kept, 1, F.size(kept) - 1)).otherwise(F.concat(kept, F.array(p)))
+    clean = F.aggregate(parts, F.array().cast("array<string>"), step)
+    outside = path.rlike(r"^([/\\]|[A-Za-z]:)") | F.coalesce(F.get(clean, F.lit(0)) == "..", F.lit(False))
+    return F.when(outside, "OutsideWorkspace").when(F.exists(clean, lambda p: F.lower(p) == ".git"), "GitInternal")
+
+
+def is_visible(view: str, search: str, path: Column, symbols: Column, god: Column, modified: Column, in_cycle: Column, cluster: Column) -> Column:
+    """Whether a view of the graph shows a node: ``all``, ``god``, ``modified``, ``cycle`` or ``cluster:name``, and a search in its path and symbols."""
+    shown = {"god": god, "modified": modified, "cycle": in_cycle}.get(view, F.lit(True))
+    if view.startswith("cluster:"):
+        shown = cluster == view.removeprefix("cluster:")
+    q = search.lower()
+    return shown if not q else shown & (F.lower(path).contains(q) | F.coalesce(F.exists(symbols, lambda s: F.lower(s).contains(q)), F.lit(False)))

@@ -55,7 +55,7 @@ def contained(path: str, root: str) -> str:
     if r not in (clean, *clean.parents):
         raise ValueError(f"{path} is outside {root}")
     rel = clean.relative_to(r)
-    if ".git" in rel.parts:
+    if ".git" in (x.lower() for x in rel.parts):
         raise ValueError(f"{path} is inside .git")
     return str(rel)
 

@@ -6,6 +6,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -127,7 +128,24 @@ def test_toxicity_chances_by_brute_force(spark, monkeypatch):
     kept = {k: pairs[k] for k, g in gain.items() if g >= toxicity.GAIN}
     assert ("go", "away") in kept and 0 < len(kept) < len(pairs)
     ws = Workspace(spark, "test")
-    words, got = toxicity.count_contexts(spark.createDataFrame(rows, "label int, text string"), 0.25, ws)
+    # Words that make up enough of a sample are dealt to several tasks.
+    table = spark.createDataFrame(rows, "label int, text string")
+    often = {w: sum(sum(c) for (_, x), c in pairs.items() if x == w) for w in before}
+    monkeypatch.setattr(toxicity, "HOT_PART", 0.05)
+    hot = toxicity.hot_words(table)
+    assert set(hot.tolist()) == {toxicity.key_of(w) for w, k in often.items() if k >= 0.05 * sum(often.values())} and 0 < len(hot) < len(before)
+    words, got = toxicity.count_contexts(table, 0.25, ws, hot)
+    # Blocks that end amid the rows add up to the same counts; only hot words have a salt.
+    monkeypatch.setattr(toxicity, "PAIR_BLOCK", 50)
+    batch = pa.RecordBatch.from_pylist([{"label": y, "text": t} for y, t in rows], pa.schema([("label", pa.int32()), ("text", pa.string())]))
+    added: dict[tuple[int, int], list[int]] = {}
+    blocks = list(toxicity._pairs(hot)([batch]))
+    for r in (r for b in blocks for r in b.to_pylist()):
+        total = added.setdefault((r["v"], r["w"]), [0, 0])
+        total[0] += r["c0"]
+        total[1] += r["c1"]
+        assert r["s"] == (r["v"] % toxicity.SALTS if r["w"] in hot.tolist() else 0)
+    assert len(blocks) > 1 and added == {(toxicity.key_of(v), toxicity.key_of(w)): c for (v, w), c in pairs.items()}
     names = {toxicity.key_of(w): w for w in before}
     assert {r["word"]: (r["c0"], r["c1"], r["t0"], r["t1"]) for r in words.collect()} == {
         w: (len(a), len(b), *(sum(c[y] for (_, x), c in pairs.items() if x == w) for y in (0, 1))) for w, (a, b) in before.items()

@@ -131,8 +131,8 @@ def name_parts(how: Column, spec: Column) -> Column:
 _MATCHES = "array<struct<spec:string,rel:string,how:string,targets:array<string>>>"
 
 
-def _hits(rule: Rule) -> Column:
-    hits = F.regexp_extract_all("content", F.lit(rule.pattern), F.lit(rule.group))
+def _hits(rule: Rule, content: Column | str = "content") -> Column:
+    hits = F.regexp_extract_all(content, F.lit(rule.pattern), F.lit(rule.group))
     if rule.each:
         hits = F.flatten(F.transform(hits, lambda h: F.regexp_extract_all(h, F.lit(rule.each), F.lit(1))))
     targets = F.array(*[F.lit(e) for e in (rule.targets or rule.exts)])
@@ -146,34 +146,65 @@ def _hits(rule: Rule) -> Column:
     return F.transform(F.filter(hits, lambda h: (h != "") & ~h.isin(*rule.skip)) if rule.skip else F.filter(hits, lambda h: h != ""), match)
 
 
-def rule_edges(files: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
-    """(src, dst, rel, prio) of all rules and companions over a table of files.
+MATCH = "path string, spec string, rel string, how string, targets array<string>"
 
-    One pass collects the matches of every rule that fits a file's extension; names
-    and candidate paths then join ``files`` once each.
-    """
+
+def rule_matches(files: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
+    """What the texts of (path, content) name, by the rules that fit each file's extension: (path, spec, rel, how, targets), in one pass."""
     rules = RULES if rules is None else rules
-    known = files.select("path", extension(F.col("path")).alias("ext"), stem(F.col("path")).alias("stem"))
     found = [F.when(F.col("ext").isin(list(r.exts)), _hits(r)).otherwise(F.array().cast(_MATCHES)) for r in rules]
     text = files.select("path", extension(F.col("path")).alias("ext"), "content")
-    matches = text.select("path", F.explode(F.array_distinct(F.concat(*found))).alias("m")).select("path", "m.*")
+    return text.select("path", F.explode(F.array_distinct(F.concat(*found))).alias("m")).select("path", "m.*")
+
+
+def file_index(files: DataFrame) -> DataFrame:
+    """(path, ext, stem) of files: what names are looked up in; no text is read."""
+    return files.select("path", extension(F.col("path")).alias("ext"), stem(F.col("path")).alias("stem"))
 
+
+def links(matches: DataFrame, known: DataFrame) -> DataFrame:
+    """(path, spec, rel, how, dst): each match's best file among ``known`` (path, ext, stem); matches without one are left out.
+
+    Candidate paths and the segments of names join ``known`` once each.
+    """
     by_path = matches.where(F.col("how").isin(*PATHS)).select("path", "rel", "how", "spec", F.posexplode(path_candidates(F.col("how"), folder(F.col("path")), F.col("spec"))).alias("pos", "candidate"))
     exact = known.select(F.upper("path").alias("key"), F.col("path").alias("dst"))
-    hit = by_path.join(exact, F.upper("candidate") == F.col("key")).groupBy("path", "rel", "how", "spec").agg(F.min_by("dst", F.struct("pos", "dst")).alias("dst"))
+    hit = by_path.join(exact, F.upper("candidate") == F.col("key")).groupBy("path", "spec", "rel", "how").agg(F.min_by("dst", F.struct("pos", "dst")).alias("dst"))
     # A name: its segments in turn until one is a file's stem; same folder first.
-    named = matches.where(~F.col("how").isin(*PATHS)).select("path", "rel", "spec", "targets", F.posexplode(name_parts(F.col("how"), F.col("spec"))).alias("pos", "part"))
+    named = matches.where(~F.col("how").isin(*PATHS)).select("path", "rel", "how", "spec", "targets", F.posexplode(name_parts(F.col("how"), F.col("spec"))).alias("pos", "part"))
     stems = known.select(F.upper("stem").alias("key"), F.col("ext").alias("dext"), F.col("path").alias("dst"))
     near = F.when(folder(F.col("path")) == folder(F.col("dst")), 0).otherwise(1)
     by_name = named.join(stems, (F.upper("part") == F.col("key")) & F.array_contains("targets", F.col("dext"))).where("path <> dst")
-    by_name = by_name.groupBy("path", "rel", "spec").agg(F.min_by("dst", F.struct("pos", near.alias("near"), "dst")).alias("dst"))
-    out = hit.select(F.col("path").alias("src"), "dst", "rel").unionByName(by_name.select(F.col("path").alias("src"), "dst", "rel"))
+    by_name = by_name.groupBy("path", "spec", "rel", "how").agg(F.min_by("dst", F.struct("pos", near.alias("near"), "dst")).alias("dst"))
+    return hit.unionByName(by_name)
+
 
+def lookup_keys(matches: DataFrame) -> DataFrame:
+    """(path, spec, rel, how, key): what each match is looked up by, in upper case: "/" and a path, or a stem."""
+    by_path = F.transform(path_candidates(F.col("how"), folder(F.col("path")), F.col("spec")), lambda c: F.concat(F.lit("/"), F.upper(c)))
+    by_name = F.transform(name_parts(F.col("how"), F.col("spec")), lambda n: F.upper(n))
+    return matches.select("path", "spec", "rel", "how", F.explode(F.array_distinct(F.when(F.col("how").isin(*PATHS), by_path).otherwise(by_name))).alias("key"))
+
+
+def resolved(matches: DataFrame, known: DataFrame) -> DataFrame:
+    """(src, dst, rel) of ``links``."""
+    return links(matches, known).select(F.col("path").alias("src"), "dst", "rel")
+
+
+def companions(own: DataFrame, known: DataFrame) -> DataFrame:
+    """(src, dst, rel): files of ``known`` that belong to one of ``own`` by name; both are (path, ext, stem)."""
     pairs = F.array(*[F.struct(F.lit(a).alias("own"), F.lit(b).alias("more"), F.lit(c).alias("rel")) for a, b, c in COMPANIONS])
-    owners = known.select("path", "ext", F.explode(pairs).alias("c")).where("ext = c.own")
+    owners = own.select("path", "ext", F.explode(pairs).alias("c")).where("ext = c.own")
     owners = owners.select("path", F.col("c.rel").alias("rel"), F.upper(F.concat(F.regexp_replace("path", r"\.[^./]*\z", ""), F.col("c.more"))).alias("want"))
-    companions = owners.join(exact, F.col("want") == F.col("key")).select(F.col("path").alias("src"), "dst", "rel")
-    return out.unionByName(companions).where("src <> dst").distinct().withColumn("prio", F.lit(0))
+    exact = known.select(F.upper("path").alias("key"), F.col("path").alias("dst"))
+    return owners.join(exact, F.col("want") == F.col("key")).select(F.col("path").alias("src"), "dst", "rel")
+
+
+def rule_edges(files: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
+    """(src, dst, rel, prio) of all rules and companions over a table of files."""
+    known = file_index(files)
+    out = resolved(rule_matches(files, rules), known).unionByName(companions(known, known))
+    return out.where("src <> dst").distinct().withColumn("prio", F.lit(0))
 
 
 def _of(files: DataFrame, *exts: str) -> DataFrame:

@@ -92,7 +92,7 @@ def strong_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
     Colouring: nodes without sources or targets among the rest are trimmed; each
     remaining node takes the largest node that reaches it as its colour, and a colour's owner
-    with those that reach it within the colour are one component.
+    with those that reach it within the colour are one component.  No nodes give no rows.
     """
     left = materialise(nodes.select("id").distinct())
     e = materialise(distinct_edges(edges).join(left.select(F.col("id").alias("src")), "src", "left_semi").join(left.select(F.col("id").alias("dst")), "dst", "left_semi"))
@@ -109,7 +109,7 @@ def strong_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             if not left.isEmpty():
                 continue
         if left.isEmpty():
-            return done
+            return left.select("id", F.col("id").alias("scc")) if done is None else done
         colours = _spread(left.select("id", F.col("id").alias("value")), e, backward=False).withColumnRenamed("value", "colour")
         colours = materialise(colours)
         inside = e.join(colours.select(F.col("id").alias("src"), F.col("colour").alias("c1")), "src").join(colours.select(F.col("id").alias("dst"), F.col("colour").alias("c2")), "dst").where("c1 = c2").select("src", "dst")

@@ -9,6 +9,8 @@ from sparkloom.functions import comments
 from sparkloom.functions import text as T
 from sparkloom.sources.shared import materialise
 
+from .ranges import placed
+
 OVERHEAD, LEAST_BUDGET = 500, 100
 #: Candidates of one workspace that a round of the greedy selection looks at.
 ROUND = 4096
@@ -53,8 +55,9 @@ def greedy(candidates: DataFrame, budget: int, overhead: int = OVERHEAD) -> Data
     state = roots.groupBy("workspace").agg(F.sum("tokens").alias("acc"), F.collect_set("path").alias("inc"))
     state = materialise(state)
     order = [F.desc("is_companion"), F.asc("depth"), F.desc("importance"), F.upper("path")]
-    left = candidates.where("NOT is_root").select("workspace", "path", "tokens", "parents", F.row_number().over(Window.partitionBy("workspace").orderBy(*order)).alias("turn"))
-    left = materialise(left)
+    # One order over all workspaces, by ranges: a workspace of any size is dealt over tasks.
+    keyed = materialise(candidates.where("NOT is_root").select("workspace", "path", "tokens", "parents", "is_companion", "depth", "importance"))
+    left = materialise(placed(keyed, [F.asc("workspace"), *order]).select("workspace", "path", "tokens", "parents", F.col("place").alias("turn")))
     taken = [state.select("workspace", F.explode("inc").alias("path"))]
     while True:
         fits = left.join(state.select("workspace", "acc"), "workspace", "left").where(F.col("tokens") + F.coalesce("acc", F.lit(0)) <= room)

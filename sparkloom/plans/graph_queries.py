@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sparkloom.functions import tables
 from sparkloom.functions import text as T
 from sparkloom.operators import graph as G
+from sparkloom.operators import ranges as R
 from sparkloom.operators import score
 from sparkloom.sources import bindings as B
 
@@ -51,10 +52,20 @@ def orphans(spark, sf_dir):
     return G.degrees(_nodes(spark, sf_dir), B.edges(spark, sf_dir).where("ord = 2")).where("in_degree = 0 AND out_degree = 0").select("id")
 
 
-@register("adjacency", W + " SELECT src AS id, array_to_string(list_sort(list(dst::VARCHAR)), ',') AS targets FROM e GROUP BY src")
+def _pages_sql(key: str, value: str, name: str) -> str:
+    return f""", p AS (SELECT {key} AS id, {value} AS v, ((row_number() OVER (PARTITION BY {key} ORDER BY {value}) - 1) // {R.PAGE})::INT AS page FROM e)
+ SELECT id, page, string_agg(v::VARCHAR, ',' ORDER BY v) AS {name} FROM p GROUP BY id, page"""
+
+
+def _pages(spark, sf_dir, key, value, name):
+    pages = R.paged(G.distinct_edges(B.edges(spark, sf_dir)), key, value)
+    return pages.select(F.col(key).alias("id"), "page", F.array_join(F.col("values").cast("array<string>"), ",").alias(name))
+
+
+@register("adjacency", W + _pages_sql("src", "dst", "targets"))
 def adjacency(spark, sf_dir):
-    e = G.distinct_edges(B.edges(spark, sf_dir))
-    return e.groupBy(F.col("src").alias("id")).agg(F.array_join(F.array_sort(F.collect_list(F.col("dst").cast("string"))), ",").alias("targets"))
+    """The targets of each node, in pages."""
+    return _pages(spark, sf_dir, "src", "dst", "targets")
 
 
 @register("bfs_depth", W + _bfs_sql("id = 0") + " SELECT id, depth FROM bfs")
@@ -220,10 +231,10 @@ def file_rollup(spark, sf_dir):
     return score.by_file(scored)
 
 
-@register("parents_by_file", W + " SELECT dst AS id, array_to_string(list_sort(list(src::VARCHAR)), ',') AS parents FROM e GROUP BY dst")
+@register("parents_by_file", W + _pages_sql("dst", "src", "parents"))
 def parents_by_file(spark, sf_dir):
-    e = G.distinct_edges(B.edges(spark, sf_dir))
-    return e.groupBy(F.col("dst").alias("id")).agg(F.array_join(F.array_sort(F.collect_list(F.col("src").cast("string"))), ",").alias("parents"))
+    """The sources of each node, in pages: a hub has as many as it needs."""
+    return _pages(spark, sf_dir, "dst", "src", "parents")
 
 
 @register("relationship_weights", W + f" SELECT rel, confidence, count(*) AS edges, max({_case('rel', tables.WEIGHTS, 50)})::INT AS weight, max({_case('confidence', tables.CONFIDENCE, 1.0)})::DOUBLE AS factor FROM edges GROUP BY rel, confidence")

@@ -34,44 +34,55 @@ def _rules(spark, sf_dir, lang, *more):
 _JS = lambda t: f"j % 29 <> 0 AND {t} % 29 <> 0"
 
 
-@register("js_edges", "WITH " + C.numbers_sql() + f", plain AS ({_edges(0, ('t1', 'Import', _JS('t1')), ('t2', 'Import', _JS('t2')), ('t1', 'DynamicImport', _JS('t1')), ('t3', 'ComponentUsage', _JS('t3') + ' AND t3 % 13 = j % 13'), ('t2', 'Decorator', _JS('t2')), ('t1', 'Interface', _JS('t1')), ('t2', 'Interface', _JS('t2')))[len('WITH ' + C.numbers_sql()):]})"
+_PY = lambda t: f"j >= 5 AND {t} >= 5 AND {t} % 5 = j % 5"
+_JA = lambda t: f"{t} % 31 <> 7"
+#: What the rules of each language find in file j: target, kind, condition.
+RULE_EDGES = [
+    [("t1", "Import", _JS("t1")), ("t2", "Import", _JS("t2")), ("t1", "DynamicImport", _JS("t1")), ("t3", "ComponentUsage", _JS("t3") + " AND t3 % 13 = j % 13"), ("t2", "Decorator", _JS("t2")), ("t1", "Interface", _JS("t1")), ("t2", "Interface", _JS("t2"))],
+    [("t3", "Import", _PY("t3")), ("t1", "Import", "j >= 5 AND t1 >= 5"), ("t2", "Import", "j >= 5 AND t2 >= 5"), ("t3", "BaseType", _PY("t3")), ("t4", "Decorator", _PY("t4")), ("t3", "EventType", _PY("t3"))],
+    [("t1", "Import", _JA("t1")), ("t2", "ExtensionMethod", _JA("t2")), ("t1", "Interface", _JA("t1")), ("t3", "Interface", _JA("t3")), ("t4", "MethodCall", _JA("t4")),
+     ("t5", "Annotation", _JA("t5")), ("t1", "Annotation", _JA("t1")), ("t2", "EventType", _JA("t2")), ("t2", "Annotation", _JA("t2"))],
+    [("t1", "Import", "true"), ("t2", "Import", "true"), ("t3", "Implementation", "true"), ("t4", "Implementation", "true"), ("t5", "Attribute", "true")],
+    [("t1", "Import", "true"), ("t2", "ExtensionMethod", "true"), ("t3", "Implementation", "true"), ("t4", "Implementation", "true")],
+    [("t1", "Import", "true"), ("t5", "Attribute", "true"), ("t1", "Attribute", "true"), ("t2", "BaseType", "true"), ("t3", "Implementation", "true"), ("t4", "Implementation", "true")],
+    [],
+    [("t1 - t1 % 2 + 1", "Import", "t1 - t1 % 2 + 1 < m"), ("j + 1 - 2 * (j % 2)", "CodeBehind", "j + 1 - 2 * (j % 2) < m"),
+     ("t2 - t2 % 2 + CASE WHEN t2 - t2 % 2 = j - j % 2 THEN 1 - j % 2 ELSE 0 END", "BaseType", "t2 - t2 % 2 + CASE WHEN t2 - t2 % 2 = j - j % 2 THEN 1 - j % 2 ELSE 0 END < m")],
+]
+
+
+@register("js_edges", "WITH " + C.numbers_sql() + f", plain AS ({_edges(0, *RULE_EDGES[0])[len('WITH ' + C.numbers_sql()):]})"
           + f" SELECT * FROM plain UNION ALL SELECT DISTINCT {C.path_sql(0, 'a.j')}, {C.path_sql(0, 'b.j')}, 'ExtensionMethod' FROM k a JOIN k b ON a.j % 7 = b.j % 7 WHERE a.lang = 0 AND b.lang = 0 AND a.j % 29 <> 0 AND b.j % 29 = 0")
 def js_edges(spark, sf_dir):
     return _rules(spark, sf_dir, 0, X.prototype_edges)
 
 
-_PY = lambda t: f"j >= 5 AND {t} >= 5 AND {t} % 5 = j % 5"
-
-
-@register("python_edges", _edges(1, ("t3", "Import", _PY("t3")), ("t1", "Import", "j >= 5 AND t1 >= 5"), ("t2", "Import", "j >= 5 AND t2 >= 5"), ("t3", "BaseType", _PY("t3")), ("t4", "Decorator", _PY("t4")), ("t3", "EventType", _PY("t3")), ("j % 5", "ExtensionMethod", "j >= 5")))
+@register("python_edges", _edges(1, *RULE_EDGES[1], ("j % 5", "ExtensionMethod", "j >= 5")))
 def python_edges(spark, sf_dir):
     return _rules(spark, sf_dir, 1, X.python_helpers)
 
 
-_JA = lambda t: f"{t} % 31 <> 7"
 _MENTIONS = ["j", "t1", "t2", "t3", "t4", "t5"]
 
 
-@register("java_edges", _edges(2,
-    ("t1", "Import", _JA("t1")), ("t2", "ExtensionMethod", _JA("t2")), ("t1", "Interface", _JA("t1")), ("t3", "Interface", _JA("t3")), ("t4", "MethodCall", _JA("t4")),
-    ("t5", "Annotation", _JA("t5")), ("t1", "Annotation", _JA("t1")), ("t2", "EventType", _JA("t2")), ("t2", "Annotation", _JA("t2")),
+@register("java_edges", _edges(2, *RULE_EDGES[2],
     *[(t, "Interface", _JA(t) + f" AND {t} % 6 = j % 6") for t in _MENTIONS], *[(f"{t} + 1", "Implementation", f"({t} + 1) % 31 = 7 AND {t} + 1 < m") for t in _MENTIONS],
 ))
 def java_edges(spark, sf_dir):
     return _rules(spark, sf_dir, 2, X.java_mentions)
 
 
-@register("rust_edges", _edges(3, ("t1", "Import", "true"), ("t2", "Import", "true"), ("t3", "Implementation", "true"), ("t4", "Implementation", "true"), ("t5", "Attribute", "true")))
+@register("rust_edges", _edges(3, *RULE_EDGES[3]))
 def rust_edges(spark, sf_dir):
     return _rules(spark, sf_dir, 3)
 
 
-@register("kotlin_edges", _edges(4, ("t1", "Import", "true"), ("t2", "ExtensionMethod", "true"), ("t3", "Implementation", "true"), ("t4", "Implementation", "true")))
+@register("kotlin_edges", _edges(4, *RULE_EDGES[4]))
 def kotlin_edges(spark, sf_dir):
     return _rules(spark, sf_dir, 4)
 
 
-@register("php_edges", _edges(5, ("t1", "Import", "true"), ("t5", "Attribute", "true"), ("t1", "Attribute", "true"), ("t2", "BaseType", "true"), ("t3", "Implementation", "true"), ("t4", "Implementation", "true")))
+@register("php_edges", _edges(5, *RULE_EDGES[5]))
 def php_edges(spark, sf_dir):
     return _rules(spark, sf_dir, 5)
 
@@ -84,8 +95,7 @@ def go_edges(spark, sf_dir):
     return _rules(spark, sf_dir, 6, X.go_packages)
 
 
-@register("cpp_edges", _edges(7, ("t1 - t1 % 2 + 1", "Import", "t1 - t1 % 2 + 1 < m"), ("j + 1 - 2 * (j % 2)", "CodeBehind", "j + 1 - 2 * (j % 2) < m"),
-    ("t2 - t2 % 2 + CASE WHEN t2 - t2 % 2 = j - j % 2 THEN 1 - j % 2 ELSE 0 END", "BaseType", "t2 - t2 % 2 + CASE WHEN t2 - t2 % 2 = j - j % 2 THEN 1 - j % 2 ELSE 0 END < m")))
+@register("cpp_edges", _edges(7, *RULE_EDGES[7]))
 def cpp_edges(spark, sf_dir):
     return _rules(spark, sf_dir, 7)
 

@@ -23,7 +23,7 @@ def register(name: str, sql: str | None = None):
     return add
 
 
-MODULES = ("scalar_queries", "extract_queries", "language_queries", "graph_queries", "select_queries", "render_queries", "candidate_queries")
+MODULES = ("source_queries", "factor_queries", "adapter_queries", "csharp_queries", "scalar_queries", "extract_queries", "language_queries", "graph_queries", "select_queries", "render_queries", "candidate_queries")
 
 
 def _load() -> None:

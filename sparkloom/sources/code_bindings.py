@@ -82,6 +82,19 @@ def code_files(spark: SparkSession, sf_dir: str, lang: int | None = None) -> Dat
     return out if lang is None else out.where(f"doc_id % 8 = {lang}")
 
 
+#: The number of the file of the next language that file j links, and the way up from a language's folders.
+LINK, LINKED = "(j * 3 + 1) % m", "j % 2 = 0"
+UP = ["../../", "../../", "../../", "../", "../", "../", "../../", "../"]
+
+
+def linked_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """code_files with a line ``@see path`` in every other file, which names a file of the next language."""
+    see = _CASE([f"'{UP[k]}' || {path_sql((k + 1) % len(PATHS), LINK)}" for k in range(len(PATHS))])
+    line = f"CASE WHEN {LINKED} THEN '@see ' || {see} || {NL} ELSE '' END"
+    sql = f"SELECT doc_id, path, code || {NL} || line || coalesce(text, '') AS content FROM (SELECT doc_id, text, {_CASE(PATHS)} AS path, {_CASE(CODE)} AS code, {line} AS line FROM ({NUMBERS}) k) f"
+    return spark.sql(sql, documents=spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def numbers_sql() -> str:
     """The numbers of files, for oracle SQL."""
     return "k AS (" + NUMBERS.format(documents="documents") + ")"
@@ -92,3 +105,27 @@ def path_sql(lang: int, number: str) -> str:
     import re
 
     return re.sub(r"\bj\b(?!')", f"({number})", PATHS[lang])
+
+
+#: One C# file for each document; file j names t1 .. t5 and t9 in strings and comments only.  With n files.
+CSHARP_NUMBERS = """
+SELECT doc_id, j, m, (j * 7 + 3) % m AS t1, (j * 5 + 1) % m AS t2, (j + 13) % m AS t3, (j + 10) % m AS t4, (j * 3 + 2) % m AS t5, (j * 11 + 6) % m AS t9, text
+FROM (SELECT doc_id, text, doc_id AS j, n AS m FROM {documents}, (SELECT count(*) AS n FROM {documents}) c) d
+WHERE j < m AND doc_id >= 0
+"""
+CSHARP_CODE = _lines(
+    "#region T{{t9}}", "using System;", "using Short = App.N{{t1 % 7}}.T{{t1}};", "namespace App.N{{j % 7}};", "// class T{{t9}} is here", "[A{{t2}}(typeof(T{{t5}}))]",
+    "public partial class T{{j}}<K> : B{{t3}}, IF{{t4}} where K : T{{t4}}", "{", "    private readonly T{{t4}} _held = null; // new T{{t9}}()", '    private string _text = "new T{{t9}}() \\" T{{t9}}.Run()";',
+    "    public T{{t3}}? Next { get; set; } = null;", "    public T{{j}}(IF{{t1}} first, G{{t2}}<int, string> second = null) { _held = (T{{t4}})first; }",
+    "    public async Task<T{{t5}}[]> Find(ref T{{t1}} key, string name)", "    {", "        T{{t2}} local = null; if (key is T{{t3}} other) { other.Go{{t2}}(typeof(T{{t4}})); }",
+    "        try { var made = new T{{t5}}(name) { Id = 1 }; S{{t1}}.Run(made); Console.Write(S{{t3}}.Name); }", "        catch (E{{t3}} e) when (e.Inner != null) { throw; }",
+    "        foreach (G{{t1}}<T{{t2}}> x in made) { yield return (x as T{{t5}})?.Id; }", "    }", "    public string Show(int id) => S{{t5}}.Show(id);", "}",
+    "public interface IF{{j}} { T{{t2}} One(); }", "public struct G{{j}}<V> { } public class B{{j}} { } public class E{{j}} { }", "public sealed class A{{j}}Attribute { }",
+    "public static class S{{j}} { public static int Go{{j}}(this object self, Type t) => 0; }", "public record M{{j}}Event(int Id);", "public class H{{j}} { public void Handle(M{{t1}}Event e) { Send(new M{{t2}}Event(1)); } }", "/*",
+)
+
+
+def csharp_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """csharp_files(doc_id, path, content): a C# file for each document, its own text in a comment at the end."""
+    sql = f"SELECT doc_id, 'cs/n' || (j % 7) || '/T' || j || '.cs' AS path, {CSHARP_CODE} || {NL} || replace(coalesce(text, ''), '*/', '') || '*/' AS content FROM ({CSHARP_NUMBERS}) k"
+    return spark.sql(sql, documents=spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import subprocess
 from pathlib import PurePosixPath
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +10,8 @@ from pyspark.sql import functions as F
 from sparkloom.functions import filters, tables
 from sparkloom.functions.text import extension, file_name, stem
 
+from . import git
+
 #: Files and folders that mark a repository, and those that mark a project.
 REPO_MARKS = {".git", "go.work"}
 REPO_SUFFIXES = (".sln", ".slnx")
@@ -73,33 +74,9 @@ def discover(paths: DataFrame) -> DataFrame:
     return paths.select("path").join(near, "path", "left").select("path", F.col("m.root").alias("root"), F.when(F.col("m.rank") == 0, "repository").when(F.col("m.rank") == 1, "project").alias("kind"))
 
 
-#: Arguments of ``git diff`` for each scope.
-SCOPES = {"all": ["HEAD"], "staged": ["--cached"], "unstaged": []}
-
-
-def git(folder: str, *args: str, seconds: int = 15) -> str:
-    """Output of a git command, or an empty string where it fails."""
-    try:
-        done = subprocess.run(["git", "-C", folder, *args], capture_output=True, text=True, timeout=seconds)
-    except (OSError, subprocess.TimeoutExpired):
-        return ""
-    return done.stdout if done.returncode == 0 else ""
-
-
 def git_changes(spark: SparkSession, folder: str, scope: str = "all", target: str | None = None, count: int = 1) -> tuple[DataFrame, DataFrame]:
-    """(changes(line), diff_lines(path, status, line_no, line)) of a repository on the driver's disk.
-
-    Scopes: all, staged, unstaged, branch (against ``target``), last (``count`` commits).
-    """
-    args = [f"{target}...HEAD"] if scope == "branch" else [f"HEAD~{count}..HEAD"] if scope == "last" else SCOPES[scope]
-    names = git(folder, "diff", "--name-status", *args).splitlines()
-    if not names and scope == "branch":
-        args = [f"{target}..HEAD"]
-        names = git(folder, "diff", "--name-status", *args).splitlines()
-    rows = []
-    for line in names:
-        parts = line.split("\t")
-        status = {"A": "Added", "D": "Deleted", "R": "Renamed"}.get(parts[0][:1], "Modified")
-        rows += [(parts[-1], status, i + 1, x) for i, x in enumerate(git(folder, "diff", *args, "--", parts[-1]).splitlines())]
-    changes = spark.createDataFrame([(n,) for n in names], "line string")
-    return changes, spark.createDataFrame(rows, "path string, status string, line_no int, line string")
+    """(changes(line), diff_lines(path, status, line_no, line)) of a repository; see ``git.plan`` for the scopes."""
+    rows = git.changes(spark, folder, scope, target=target, count=count)
+    letter = F.when(F.col("status") == "Added", "A").when(F.col("status") == "Deleted", "D").when(F.col("status") == "Renamed", "R").otherwise("M")
+    heads = rows.where("line_no = 1").select(F.concat_ws("\t", letter, "path").alias("line"))
+    return heads, rows.select("path", "status", "line_no", "line")

@@ -11,8 +11,9 @@ from . import tables
 
 #: What .NET calls a word character; \w and \b differ between engines and are not used.
 WORD = r"\p{L}\p{Mn}\p{Nd}\p{Pc}"
-#: Disjoint patterns whose matches together number the tokens of a text.
-TOKEN_PARTS = [r"[a-z]+", r"[0-9]+", rf"[^\s{WORD}]", r"[A-Z]{2,}[a-z]", rf"[A-Z]+(?:[^{WORD}]|\z)"]
+#: The tokens of a text: runs of small letters, runs of digits, single signs, and runs of capitals that end before a small letter (two or more)
+#: or before no word character.  A run is tried at its start only, so a text of nothing but capitals takes one pass.
+TOKEN = rf"[a-z]+|[0-9]+|[^\s{WORD}]|(?<![A-Z])[A-Z]++(?:(?<=[A-Z]{{2}})(?=[a-z])|(?![{WORD}]))"
 
 
 def lookup(key: Column, mapping: dict[str, str], default: str | None) -> Column:
@@ -26,13 +27,14 @@ def any_of(conditions: list[Column]) -> Column:
 
 
 def token_matches(text: Column) -> Column:
-    return sum((F.regexp_count(text, F.lit(p)) for p in TOKEN_PARTS[1:]), F.regexp_count(text, F.lit(TOKEN_PARTS[0])))
+    return F.regexp_count(text, F.lit(TOKEN))
 
 
 def token_estimate(text: Column) -> Column:
     """Approximate tokens: ceil(1.05 * matches), or by length where nothing matches; 0 for null or empty."""
-    n = token_matches(text)
-    count = F.when(n > 0, F.ceil(n * F.lit(1.05))).otherwise(F.ceil(F.length(text) / F.lit(3.7)))
+    by_length = F.ceil(F.length(text) / F.lit(3.7))
+    # A lambda over the count, which is used twice and taken once.
+    count = F.element_at(F.transform(F.array(token_matches(text)), lambda n: F.when(n > 0, F.ceil(n * F.lit(1.05))).otherwise(by_length)), 1)
     return F.when(F.length(text) > 0, F.greatest(F.lit(1), count)).otherwise(F.lit(0)).cast("long")
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.functions import tables
-from sparkloom.functions.text import extension, stem
+from sparkloom.functions.text import any_of, extension, stem
 from sparkloom.sources.shared import materialise
 
 from .languages import CSHARP, RAZOR
@@ -118,47 +118,65 @@ def _facts(fact: str, rel: str | None, names: Column, when: Column | None = None
     return made if when is None else F.when(when, made).otherwise(F.array().cast(_FACT))
 
 
+_NONE = "array<string>"
+
+
+def _if(text: Column, signs: tuple[str, ...], found: Column) -> Column:
+    """What a pattern finds, where the text holds one of the signs without which it finds nothing: most pieces are passed over so."""
+    return F.when(any_of([text.contains(x) for x in signs]), found).otherwise(F.array().cast(_NONE))
+
+
+def _read(row: Column) -> Column:
+    """A piece with what the patterns of members take from it, each tried once and on pieces in its place only."""
+    code, member = row["code"], row["place"] == "member"
+    at = lambda pattern, group, cond: F.when(cond, F.regexp_extract(code, pattern, group)).otherwise("")
+    call = member & code.contains("(")
+    fields = [row[c].alias(c) for c in ("owner", "place", "ends", "code", "bare", "attrs")]
+    return F.struct(*fields, at(CONSTRUCTOR, 1, call).alias("c1"), at(METHOD, 0, call).alias("m0"), code.rlike(USING).alias("using"))
+
+
 def _found(row: Column) -> Column:
     """The facts of one piece."""
-    owner, place, ends, code, bare, attrs = (row[c] for c in ("owner", "place", "ends", "code", "bare", "attrs"))
-    member, is_type, using = place == "member", place == "type", code.rlike(USING)
-    method = F.regexp_extract(code, METHOD, 1)
-    makes = member & (F.regexp_extract(code, CONSTRUCTOR, 1) == owner)
-    acts = member & ~makes & (method != "") & ~F.regexp_extract(code, METHOD, 0).contains("=")
+    owner, place, ends, code, bare, attrs, m0, using = (row[c] for c in ("owner", "place", "ends", "code", "bare", "attrs", "m0", "using"))
+    member, is_type = place == "member", place == "type"
+    makes = member & (row["c1"] != "") & (row["c1"] == owner)
+    acts = member & ~makes & (m0 != "") & ~m0.contains("=")
     has = member & ~makes & ~acts & ((ends == "{") | code.contains("=>")) & code.rlike(PROPERTY)
     holds = member & ~makes & ~acts & ~has & code.rlike(FIELD)
-    params = _simple(_all(F.when(makes, F.regexp_extract(code, CONSTRUCTOR, 2)).otherwise(F.regexp_extract(code, METHOD, 3)), PARAMETER))
-    primary = F.regexp_extract(code, DECLARES + rf"(?:\s*+{_ANGLE})?\s*+{_PARAMS}", 2)
-    bases = _simple(_all(F.regexp_extract(code, BASES, 3), rf"(?:^|,)\s*+({TYPE})"))
+    method = F.when(acts, F.regexp_extract(m0, METHOD, 1))
+    own_params = F.when(makes, F.regexp_extract(code, CONSTRUCTOR, 2)).when(acts, F.regexp_extract(m0, METHOD, 3)).when(is_type & code.contains("("), F.regexp_extract(code, DECLARES + rf"(?:\s*+{_ANGLE})?\s*+{_PARAMS}", 2)).otherwise("")
+    params = _if(own_params, (" ",), _simple(_all(own_params, PARAMETER)))
+    bases = F.when(is_type & code.contains(":"), _simple(_all(F.regexp_extract(code, BASES, 3), rf"(?:^|,)\s*+({TYPE})"))).otherwise(F.array().cast(_NONE))
     contracts, classes = F.filter(bases, lambda b: b.rlike(r"^I\p{Lu}")), F.filter(bases, lambda b: ~b.rlike(r"^I\p{Lu}"))
     plain = F.when(is_type, F.regexp_replace(bare, DECLARES, " ")).otherwise(F.regexp_replace(bare, NAMED, "$1"))
+    held = F.when(holds, F.array(F.regexp_extract(code, FIELD, 1))).when(place == "code", _all(bare, LOCAL)).otherwise(F.array().cast(_NONE))
+    tried = lambda pattern, *signs: _if(bare, signs, _all(bare, pattern))
     any_code = ~using
     return F.concat(
         _facts("import", "Import", _simple(_all(code, USING)), using),
         _facts("declares", None, F.array(owner), is_type),
         _facts("partial", "PartialDeclaration", F.array(owner), is_type & bare.rlike(_WORD + r"partial\s")),
-        _facts("ref", "BaseType", classes, is_type),
-        _facts("ref", "Interface", contracts, is_type),
+        _facts("ref", "BaseType", classes),
+        _facts("ref", "Interface", contracts),
         _facts("implements", None, bases, is_type & code.rlike(_WORD + r"(?:class|record|struct)\s")),
-        _facts("ref", "ConstructorDependency", _simple(_all(primary, PARAMETER)), is_type),
-        _facts("ref", "ConstructorDependency", params, makes),
+        _facts("ref", "ConstructorDependency", params, is_type | makes),
         _facts("ref", "ReturnType", _simple(F.array(method)), acts & ~method.isin("void", "Task")),
         _facts("ref", "ParameterType", params, acts),
-        _facts("extends", None, F.array(F.regexp_extract(code, METHOD, 2)), acts & F.regexp_extract(code, METHOD, 0).rlike(_WORD + r"static\s") & F.regexp_extract(code, METHOD, 3).rlike(r"^\s*+(?:\[[^\]]*+\]\s*+)*+this\s")),
+        _facts("extends", None, F.array(F.regexp_extract(m0, METHOD, 2)), acts & own_params.rlike(r"^\s*+(?:\[[^\]]*+\]\s*+)*+this\s") & m0.rlike(_WORD + r"static\s")),
         _facts("ref", "PropertyType", _simple(F.array(F.regexp_extract(code, PROPERTY, 1))), has),
         _facts("ref", "FieldType", _simple(F.array(F.regexp_extract(code, FIELD, 1))), holds),
-        _facts("ref", "LocalType", _simple(F.concat(F.when(holds, F.array(F.regexp_extract(code, FIELD, 1))).when(place == "code", _all(bare, LOCAL)).otherwise(F.array().cast("array<string>")), _all(bare, LOOPED), _all(bare, TESTED), _all(bare, TYPEOF))), any_code),
-        _facts("attribute", "Attribute", F.flatten(F.transform(_each(F.array(attrs)), lambda a: F.array(a, F.concat(a, F.lit("Attribute"))))), is_type | member),
-        _facts("ref", "MethodCall", _each(_all(bare, CALLED)), any_code),
-        _facts("ref", "FieldType", F.concat(_each(_all(bare, READ)), _each(_all(bare, MAYBE))), any_code),
-        _facts("ref", "ObjectCreation", _simple(_all(bare, CREATED)), any_code),
-        _facts("ref", "GenericArgument", _each(_all(bare, ARGUMENTS)), any_code),
-        _facts("ref", "ConversionType", _simple(_all(bare, CAST)), any_code),
-        _facts("ref", "ExceptionType", _simple(_all(bare, CAUGHT)), any_code),
-        _facts("ref", "GenericConstraint", _each(_all(bare, CONSTRAINT)), any_code),
+        _facts("ref", "LocalType", _simple(F.concat(held, tried(LOOPED, "for", "using", "fixed"), tried(TESTED, "is", "as"), tried(TYPEOF, "typeof", "default"))), any_code),
+        _facts("attribute", "Attribute", F.flatten(F.transform(_each(F.array(attrs)), lambda a: F.array(a, F.concat(a, F.lit("Attribute"))))), (is_type | member) & (attrs != "")),
+        _facts("ref", "MethodCall", _each(_if(bare, (".",), tried(CALLED, "("))), any_code),
+        _facts("ref", "FieldType", F.concat(_each(tried(READ, ".")), _each(tried(MAYBE, "?."))), any_code),
+        _facts("ref", "ObjectCreation", _simple(tried(CREATED, "new")), any_code),
+        _facts("ref", "GenericArgument", _each(tried(ARGUMENTS, "<")), any_code),
+        _facts("ref", "ConversionType", _simple(tried(CAST, ")")), any_code),
+        _facts("ref", "ExceptionType", _simple(tried(CAUGHT, "catch")), any_code),
+        _facts("ref", "GenericConstraint", _each(tried(CONSTRAINT, "where")), any_code),
         _facts("net", "FieldType", F.filter(_all(plain, rf"{_BEFORE}({ID})(?!\s*+<)"), lambda n: owner.isNull() | (n != owner)), any_code),
-        _facts("call", "ExtensionMethod", _all(bare, INVOKED), any_code),
-        _facts("handles", None, F.concat(_all(code, HANDLES), _all(code, RECEIVES)), any_code),
+        _facts("call", "ExtensionMethod", _if(bare, (".",), tried(INVOKED, "(")), any_code),
+        _facts("handles", None, F.concat(_if(code, ("Handle", "Consumer"), _all(code, HANDLES)), _if(code, ("Event", "Command", "Notification", "Message"), _all(code, RECEIVES))), any_code),
     )
 
 
@@ -176,7 +194,7 @@ def facts(files: DataFrame) -> DataFrame:
     rows = rows.select("path", F.explode(kept).alias("x")).select("path", "x.*")
     rows = rows.withColumn("bare", F.regexp_replace("code", _ATTRS, "")).withColumn("attrs", F.regexp_extract("code", _ATTRS, 0))
     # As a lambda over one row's fields: generated code for all patterns at once would be over the JVM's limit of a method.
-    found = F.flatten(F.transform(F.array(F.struct("owner", "place", "ends", "code", "bare", "attrs")), _found))
+    found = F.flatten(F.transform(F.transform(F.array(F.struct("owner", "place", "ends", "code", "bare", "attrs")), _read), _found))
     out = rows.select("path", "owner", F.explode(F.array_distinct(found)).alias("f")).select("path", "owner", "f.*")
     return out.where((F.col("name") != "") & ~F.col("name").isin(tables.SYSTEM_TYPES)).distinct()
 

@@ -120,18 +120,81 @@ def snippets(diffs: DataFrame, each: int = 2000, total: int = 12000) -> DataFram
     return cut.withColumn("_before", before).where(F.col("_before") < total).select("workspace", "path", "snippet")
 
 
+def summaries(lines: DataFrame) -> DataFrame:
+    """(path, status, insertions, deletions, fixes, added, modified, removed, n_added): ``stats`` and ``symbol_sets`` of each file in one pass over the lines."""
+    p = parsed(lines)
+    n = lambda c: F.sum(F.when(c, 1).otherwise(0))
+    kinds = [F.max(F.col("kind") == k).alias(k) for k in ("add", "del", "hunk")]
+    by_symbol = p.groupBy("path", "status", "symbol").agg(n(F.col("kind") == "add").alias("i"), n(F.col("kind") == "del").alias("d"), n(F.col("fix")).alias("f"), *kinds)
+    known = F.col("symbol").isNotNull()
+    pick = lambda c: F.array_sort(F.collect_list(F.when(known & c, F.col("symbol"))))
+    add, gone, hunk = F.col("add"), F.col("del"), F.col("hunk")
+    out = by_symbol.groupBy("path", "status").agg(
+        F.sum("i").alias("insertions"), F.sum("d").alias("deletions"), F.sum("f").alias("fixes"), pick(add & ~gone).alias("added"), pick((add & gone) | (hunk & ~add)).alias("modified"), pick(gone & ~add).alias("removed")
+    )
+    return out.withColumn("n_added", F.size("added"))
+
+
+def _listed(symbols: Column, most: int) -> Column:
+    return F.array_join(F.slice(symbols, 1, most), ", ")
+
+
 def draft(changes: DataFrame, lang: str = "en", *keys: str) -> DataFrame:
-    """(keys, subject, body): a commit message for each group of changed files.
+    """(keys, path, bullet): a line of a commit message's body for each changed file; a body is its group's lines by path.
 
-    ``changes``: path, status, n_added, fixes, insertions, deletions, added (array).
-    The body lists every file by path, one line each.
+    ``changes``: as ``summaries`` gives, with the keys of a group.  A line tells what happened to the file, up to
+    four added, four modified and three removed symbols, and the lines that came and went.
     """
     verbs = tables.VERBS.get(lang, tables.VERBS["en"])
-    verb = F.when(F.col("status") == "Added", verbs[0]).when(F.col("status") == "Deleted", verbs[2]).when(F.col("status") == "Renamed", verbs[3]).otherwise(verbs[1])
-    lines = changes.withColumn("bullet", F.concat(F.lit("- "), verb, F.lit(" "), F.col("path"), F.format_string(" (+%d -%d)", F.col("insertions"), F.col("deletions")), F.when(F.size("added") > 0, F.concat(F.lit(": "), F.array_join(F.slice("added", 1, 4), ", "))).otherwise("")))
-    nth = F.row_number().over(Window.partitionBy(*keys).orderBy("path"))
-    top = lines.withColumn("_nth", nth).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_nth", "bullet"))).alias("b"), F.min_by(F.struct(verb.alias("verb"), "path"), "_nth").alias("head"))
-    n = changes.groupBy(*keys).agg(F.count("*").alias("files"), F.sum("insertions").alias("insertions"), F.sum("deletions").alias("deletions"))
-    whole = top.join(n, list(keys)).join(commit_type(changes, *keys), list(keys)).join(scope_votes(changes, *keys), list(keys))
-    title = F.concat("type", F.when(F.col("scope").isNotNull(), F.concat(F.lit("("), "scope", F.lit(")"))).otherwise(""), F.lit(": "), F.col("head.verb"), F.lit(" "), T.file_name(F.col("head.path")), F.when(F.col("files") > 1, F.format_string(" %s %d more files", F.lit(verbs[5]), F.col("files") - 1)).otherwise(""))
-    return whole.select(*keys, T.subject(title).alias("subject"), F.array_join(F.transform("b", lambda x: x["bullet"]), "\n").alias("body"), "files", "insertions", "deletions")
+    first_up = lambda v: v[:1].upper() + v[1:]
+    status = F.col("status")
+    verb = F.when(status == "Added", first_up(verbs[0])).when(status == "Deleted", first_up(verbs[2])).when(status == "Renamed", first_up(verbs[3])).otherwise(first_up(verbs[1]))
+    told = lambda c, v, most: F.when(F.size(c) > 0, F.concat(F.lit(f"{verbs[v]} "), _listed(F.col(c), most)))
+    details = F.concat_ws("; ", told("added", 0, 4), told("modified", 1, 4), told("removed", 2, 3))
+    count = F.when((F.col("insertions") > 0) | (F.col("deletions") > 0), F.format_string(" (+%d/-%d)", "insertions", "deletions")).otherwise("")
+    named = F.when(details != "", F.concat(T.file_name(F.col("path")), F.lit(": "), details)).otherwise(F.col("path"))
+    return changes.select(*keys, "path", F.concat(F.lit("- "), verb, F.lit(" "), named, count).alias("bullet"))
+
+
+def _first_two(rows: DataFrame, name: str, *keys: str) -> DataFrame:
+    """(keys, name): the first two distinct values of each group of (keys, value, at), by ``at``.
+
+    A rank of at most two is kept in each task before groups meet.
+    """
+    met = rows.groupBy(*keys, "value").agg(F.min("at").alias("at"))
+    few = met.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy("at", "value"))).where("_n <= 2")
+    return few.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_n", "value"))).alias("_f")).select(*keys, F.transform("_f", lambda x: x["value"]).alias(name))
+
+
+def subjects(changes: DataFrame, lang: str = "en", *keys: str) -> DataFrame:
+    """(keys, subject, files, insertions, deletions): the first line of each group's commit message, 76 characters at most.
+
+    A single file is told by its first two added or modified symbols.  Of several, the first two added files (or
+    symbols, where none was added), the first two modified files and the first two deleted ones make up to two parts.
+    """
+    add, update, remove, _, within, conj = tables.VERBS.get(lang, tables.VERBS["en"])
+    one = lambda status: changes.where(F.col("status") == status).select(*keys, T.stem(F.col("path")).alias("value"), F.struct("path", F.lit(0).alias("pos")).alias("at"))
+    symbols = lambda c: changes.select(*keys, "path", F.posexplode(c).alias("pos", "value")).select(*keys, "value", F.struct("path", "pos").alias("at"))
+    g = changes.groupBy(*keys).agg(F.count("*").alias("files"), F.sum("insertions").alias("insertions"), F.sum("deletions").alias("deletions"), F.min_by(F.struct("path", "status", "added", "modified"), "path").alias("head"))
+    for name, rows in (("new", one("Added")), ("old", one("Modified")), ("gone", one("Deleted")), ("sym", symbols("added")), ("mod", symbols("modified"))):
+        g = g.join(_first_two(rows, name, *keys), list(keys), "left")
+    g = g.join(commit_type(changes, *keys), list(keys)).join(scope_votes(changes, *keys), list(keys))
+    head, file = F.col("head"), T.file_name(F.col("head.path"))
+    with_symbols = lambda v, c: F.concat(F.lit(f"{v} "), _listed(head[c], 2), F.lit(f" {within} "), file)
+    has = lambda c: F.size(head[c]) > 0
+    single = (
+        F.when((head["status"] == "Added") & has("added"), F.concat(F.lit(f"{add} "), file, F.lit(" ("), _listed(head["added"], 2), F.lit(")")))
+        .when(head["status"] == "Added", F.concat(F.lit(f"{add} "), file))
+        .when(head["status"] == "Deleted", F.concat(F.lit(f"{remove} "), file))
+        .when(has("added"), with_symbols(add, "added"))
+        .when(has("modified"), with_symbols(update, "modified"))
+        .otherwise(F.concat(F.lit(f"{update} "), file))
+    )
+    part = lambda v, c: F.concat(F.lit(f"{v} "), F.array_join(F.col(c), ", "))
+    first = F.coalesce(part(add, "new"), part(add, "sym"))
+    second = F.coalesce(part(update, "old"), F.when(first.isNull(), part(update, "mod")))
+    third = F.when(first.isNull() | second.isNull(), part(remove, "gone"))
+    several = F.concat_ws(f" {conj} ", first, second, third)
+    action = F.when(F.col("files") == 1, single).when(several != "", several).otherwise(F.format_string(f"{update} %d files", "files"))
+    title = F.concat("type", F.when(F.col("scope").isNotNull(), F.concat(F.lit("("), "scope", F.lit(")"))).otherwise(""), F.lit(": "), action)
+    return g.select(*keys, T.subject(title).alias("subject"), "files", "insertions", "deletions")

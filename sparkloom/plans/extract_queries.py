@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from sparkloom.functions import filters, tables
 from sparkloom.functions import text as T
 from sparkloom.operators import extract as X
+from sparkloom.operators import factors as FA
 from sparkloom.sources import bindings as B
 
 from . import sql as S
@@ -62,20 +63,17 @@ def decl_index(spark, sf_dir):
 
 @register("type_refs", FILES + DECL + REFS + " SELECT src, dst, rel FROM refs WHERE prio = 2")
 def type_refs(spark, sf_dir):
-    files = B.files(spark, sf_dir)
-    return X.references(files, X.declarations(files)).where("prio = 2").select("src", "dst", "rel").distinct()
+    return FA.expand(FA.factors(B.files(spark, sf_dir))).where("prio = 2").select("src", "dst", "rel").distinct()
 
 
 @register("inheritance_refs", FILES + DECL + REFS + " SELECT src, dst, rel FROM refs WHERE prio = 1")
 def inheritance_refs(spark, sf_dir):
-    files = B.files(spark, sf_dir)
-    return X.references(files, X.declarations(files)).where("prio = 1").select("src", "dst", "rel").distinct()
+    return FA.expand(FA.factors(B.files(spark, sf_dir))).where("prio = 1").select("src", "dst", "rel").distinct()
 
 
 @register("edge_first_wins", FILES + DECL + REFS + " SELECT src, dst, min_by(rel, prio || rel) AS rel FROM refs GROUP BY src, dst")
 def edge_first_wins(spark, sf_dir):
-    files = B.files(spark, sf_dir)
-    return X.first_wins(X.references(files, X.declarations(files)), "prio")
+    return X.first_wins(FA.expand(FA.factors(B.files(spark, sf_dir))), "prio")
 
 
 @register("code_graph_edges")

@@ -141,3 +141,30 @@ def root_expansion(spark, sf_dir):
     files = C.code_files(spark, sf_dir)
     nodes = G.materialise(X.declared_nodes(files))
     return R.root_nodes(R.resolve_roots(files, nodes), nodes).groupBy("path").agg(F.count("*").alias("roots"))
+
+
+def _web(*parts: tuple[int, int, str, str, str]) -> str:
+    """(src, dst, rel) of files j: (kind, target's kind, target, relationship, condition) each."""
+    rows = [f"SELECT {C.web_path(kind, 'j')} AS src, {C.web_path(to, target)} AS dst, '{rel}' AS rel FROM k WHERE lang = {kind} AND {where}" for kind, to, target, rel, where in parts]
+    return "WITH " + C.web_sql() + f" SELECT DISTINCT src, dst, rel FROM ({' UNION ALL '.join(rows)}) e WHERE src <> dst"
+
+
+def _web_edges(spark, sf_dir, *kinds):
+    return X.rule_edges(G.materialise(C.web_files(spark, sf_dir, *kinds))).select("src", "dst", "rel")
+
+
+@register("web_edges", _web((0, 1, "j", "Template", "true"), (0, 2, "t1", "Style", "true"), (0, 2, "t2", "Style", "true"), (1, 0, "t1", "ScriptReference", "true"), (1, 2, "t2", "StyleReference", "true"),
+                            (2, 2, "t1", "StyleReference", "true"), (2, 2, "t2", "StyleReference", "true")))
+def web_edges(spark, sf_dir):
+    """Components with their templates and styles, pages with scripts and styles, styles with partials."""
+    return _web_edges(spark, sf_dir, 0, 1, 2)
+
+
+@register("dart_edges", _web((3, 3, "t1", "Import", "true"), (3, 3, "t2", "CodeBehind", "true"), (3, 3, "t3", "BaseType", "true"), (3, 3, "t4", "EventType", "true")))
+def dart_edges(spark, sf_dir):
+    return _web_edges(spark, sf_dir, 3)
+
+
+@register("razor_edges", _web((4, 4, "j + 1", "CodeBehind", "j % 4 = 0 AND j + 1 < m"), (4, 4, "t1 - t1 % 2", "ComponentUsage", "j % 2 = 0"), (4, 4, "t2 - t2 % 4 + 3", "Service", "j % 2 = 0 AND t2 - t2 % 4 + 3 < m")))
+def razor_edges(spark, sf_dir):
+    return _web_edges(spark, sf_dir, 4)

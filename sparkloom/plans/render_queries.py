@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sparkloom.functions import filters
+from sparkloom.functions import filters, tables
 from sparkloom.functions import text as T
 from sparkloom.operators import graph as G
 from sparkloom.operators import select as SEL
@@ -13,6 +13,7 @@ from sparkloom.sources import bindings as B
 from . import graph_queries as GQ
 from . import render
 from . import select_queries as SQ
+from . import sql as SQL
 from .registry import register
 
 
@@ -30,6 +31,32 @@ def context_markdown(spark, sf_dir):
     return render.context_markdown(chosen.join(text, "doc_id"))
 
 
+def _chars(s: str) -> str:
+    return SQL.text(s).replace("\n", "' || chr(10) || '")
+
+
+_FENCE = "repeat('`', greatest(3, 1 + coalesce(list_max(list_transform(regexp_extract_all(body, '`+'), lambda r: length(r))), 0))::INT)"
+_DOCUMENT = SQ._GREEDY + f""", d AS (SELECT sel.workspace, sel.path, included, is_root, depth, importance, tokens, doc_id % 6 = 0 AS modified, {SQL.redacted("content")} AS body, files.ext AS ext FROM sel JOIN files USING (doc_id)),
+ per AS (SELECT workspace, min(path) FILTER (is_root) AS root, count(*) FILTER (NOT included) AS n_out, count(*) FILTER (included) AS n_in, coalesce(sum(tokens) FILTER (is_root), 0) > {SEL.available(SQ.BUDGET)} AS alone FROM d GROUP BY workspace)
+ SELECT workspace, 0 AS part, '' AS ord, {_chars(render.opening())} || {_chars("## Target Scope" + chr(10) * 2)} || coalesce('- Root: `' || root || '`' || chr(10), '') || '- Workspace: `' || workspace || '`' || chr(10) || {_chars("- Response Language: " + tables.LANGUAGE_NAMES["en"] + chr(10))}
+   || CASE WHEN n_out > 0 THEN '- Excluded dependencies: ' || n_out || ' files (see Excluded Files section below)' || chr(10) ELSE '' END || chr(10) AS text FROM per
+ UNION ALL SELECT workspace, 1, '', {_chars("## Analysis Warnings" + chr(10) * 2 + "- " + render.ROOT_WARNING % SQ.BUDGET + chr(10) * 2)} FROM per WHERE alone
+ UNION ALL SELECT workspace, 4, '', {_chars("## Included Files" + chr(10) * 2)} FROM per
+ UNION ALL SELECT workspace, 4, '1' || path, '- `' || path || '`' || CASE WHEN modified THEN ' *(Modified)*' ELSE '' END || chr(10) FROM d WHERE included
+ UNION ALL SELECT workspace, 5, '', {_chars(chr(10) + "## Excluded Files" + chr(10) * 2 + render.EXCLUDED_HEAD)} FROM per WHERE n_out > 0
+ UNION ALL SELECT workspace, 5, '1' || path, '| `' || path || '` | TokenBudget | ' || depth || ' | ' || importance || ' | Yes |' || chr(10) FROM d WHERE NOT included
+ UNION ALL SELECT workspace, 6, '', {_chars(chr(10) + "## Source Files" + chr(10) * 2)} FROM per WHERE n_in > 0
+ UNION ALL SELECT workspace, 6, '1' || path, '### File: `' || path || CASE WHEN modified THEN '` (Modified)' ELSE '`' END || chr(10) || chr(10) || {_FENCE} || CASE WHEN is_root THEN 'text' ELSE {SQL.mapped("ext", tables.FENCE_BY_EXT, "text")} END || chr(10) || body || chr(10) || {_FENCE} || chr(10) || chr(10) FROM d WHERE included"""
+
+
+@register("context_document", _DOCUMENT)
+def context_document(spark, sf_dir):
+    """The whole context document of every source under a budget, as ordered parts."""
+    chosen = SEL.greedy(SQ._candidates(spark, sf_dir), SQ.BUDGET).withColumn("modified", F.col("doc_id") % 6 == 0)
+    text = B.files(spark, sf_dir).select("doc_id", "content")
+    return render.context_document(chosen.join(text, "doc_id"), SQ.BUDGET)
+
+
 @register("knowledge_markdown")
 def knowledge_markdown(spark, sf_dir):
     m = G.materialise(GQ._metrics(spark, sf_dir))

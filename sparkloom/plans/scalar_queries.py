@@ -37,7 +37,8 @@ scalar("fence_lang", lambda path, content, ext: {"fence": T.fence_language(ext),
 scalar("safe_fence_len", lambda path, content, ext: {"fence_length": T.fence_length(content).cast("long")}, {"fence_length": "greatest(3, 1 + coalesce(list_max(list_transform(regexp_extract_all(content, '`+'), lambda r: length(r))), 0))::BIGINT"})
 scalar("cluster_name", lambda path, content, ext: {"cluster": T.cluster_name(path)}, {"cluster": S.cluster("path")})
 scalar("kebab_output_name", lambda path, content, ext: {"output": T.output_name(path)}, {"output": r"lower(translate(regexp_replace(regexp_replace(" + S.name("path") + r", '\.[^.]*$', ''), '([a-z0-9])([A-Z])', '\1-\2', 'g'), '_.', '--')) || '-context.md'"})
-scalar("mermaid_label", lambda path, content, ext: {"label": T.mermaid_label(F.substring(content, 1, 200))}, {"label": "translate(substr(content, 1, 200), '\"[]', '''()')"})
+for _name in ("mermaid_label", "mermaid_label_text"):
+    scalar(_name, lambda path, content, ext: {"label": T.mermaid_label(content)}, {"label": "translate(content, '\"[]', '''()')"})
 scalar("normalise_path", lambda path, content, ext: {"norm": T.normalise_path(F.replace(path, F.lit("/"), F.lit("\\")))}, {"norm": "path"})
 scalar("strip_file_prefix", lambda path, content, ext: {"bare": T.strip_file_prefix(F.concat(F.lit("file:"), path))}, {"bare": "path"})
 scalar("capitalise_first", lambda path, content, ext: {"capital": T.capitalise(F.col("name"))}, {"capital": "upper(substr(name, 1, 1)) || substr(name, 2)"})
@@ -50,16 +51,8 @@ scalar("output_language", lambda path, content, ext: {"code": T.language_code(_l
 _mode = lambda: F.element_at(F.array(*[F.lit(x) for x in ("Staged", "Unstaged", "Branch", "LastN", "SingleFile", "All")]), (F.col("doc_id") % 6 + 1).cast("int"))
 scalar("scope_description", lambda path, content, ext: {"scope": T.scope_description(_mode(), F.lit("main"))}, {"scope": "list_value('Staged Changes (--git-staged)', 'Unstaged Working Tree Changes (--git-unstaged)', 'Branch Compare against ''main''', 'Last main Commits', 'Single File Diff', 'All Uncommitted Changes')[(doc_id % 6 + 1)::INT]"})
 scalar("simple_type_name", lambda path, content, ext: {"simple": T.simple_type_name(F.concat(F.lit("A.B.Type"), F.col("doc_id").cast("string"), F.lit("<int>[]?")))}, {"simple": "'Type' || doc_id"})
-scalar("redact_secrets", lambda path, content, ext: {"redacted": T.redact(F.element_at(F.split(content, "\n"), -2))}, {
-    "redacted": r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(string_split(content, chr(10))[-2],
-      '-----BEGIN (?:RSA |EC |DSA |OPENSSH )?PRIVATE KEY-----', '[REDACTED_SECRET]', 'g'), 'AKIA[0-9A-Z]{16}', '[REDACTED_SECRET]', 'g'),
-      '(?i)(?:api[_-]?key|apikey|secret[_-]?key|auth[_-]?token)\s*[:=]\s*[''"][A-Za-z0-9_\-]{16,128}[''"]', '[REDACTED_SECRET]', 'g'),
-      '(?i)(?:password|pwd)\s*=\s*[''"]?[^;\s''"]{4,}[''"]?(;server)', '[REDACTED_SECRET]\1', 'g'),
-      '(?i)(?:postgres|postgresql|mysql|mongodb|redis)://[^:/\s]+:[^@/\s]+@[^:/\s]+', '[REDACTED_SECRET]', 'g')""",
-})
-# Over whole texts; the queries of the same operators above, with SQL, read a line or the first characters.
-scalar("redact_secrets_text", lambda path, content, ext: {"redacted": T.redact(content)}, None)
-scalar("mermaid_label_text", lambda path, content, ext: {"label": T.mermaid_label(content)}, None)
+for _name in ("redact_secrets", "redact_secrets_text"):
+    scalar(_name, lambda path, content, ext: {"redacted": T.redact(content)}, {"redacted": S.redacted("content")})
 scalar("strip_comments_html", lambda path, content, ext: {"html_free": T.token_estimate(comments.strip_html(content)), "left": comments.strip_html(content)}, {"html_free": S.token_estimate("regexp_replace(content, '<!--[\\s\\S]*?-->', '', 'g')"), "left": "regexp_replace(content, '<!--[\\s\\S]*?-->', '', 'g')"})
 _c_sql = r"""regexp_replace(content, '("(?:\\[\s\S]|[^"\\])*(?:"|\\?\z)|''(?:\\[\s\S]|[^''\\])*(?:''|\\?\z)|`(?:\\[\s\S]|[^`\\])*(?:`|\\?\z))|//[^\n]*|/\*(?:[\s\S]*?\*/)', '\1', 'g')"""
 scalar("strip_comments_cstyle", lambda path, content, ext: {"left": comments.strip_c(content)}, {"left": _c_sql})

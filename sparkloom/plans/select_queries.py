@@ -95,45 +95,76 @@ def diff_symbol_sets(spark, sf_dir):
 
 
 def _changes(spark, sf_dir):
-    lines = B.diff_lines(spark, sf_dir)
-    sets = D.symbol_sets(lines)
-    joined = D.stats(lines).join(sets.select("path", "added"), "path", "left").withColumn("added", F.coalesce("added", F.array().cast("array<string>")))
-    return joined.withColumn("n_added", F.size("added")).withColumn("grp", F.concat_ws("/", F.split_part("path", F.lit("/"), F.lit(2)), T.extension(F.col("path"))))
+    rows = D.summaries(B.diff_lines(spark, sf_dir))
+    return rows.withColumn("grp", F.concat_ws("/", F.split_part("path", F.lit("/"), F.lit(2)), T.extension(F.col("path"))))
 
 
-_CHANGES = _PARSED + ", ch AS (SELECT s.*, coalesce(len(added), 0) AS n_added, split_part(path, '/', 2) || '/' || CASE WHEN position('.' IN split_part(path, '/', -1)) > 0 THEN '.' || lower(split_part(path, '.', -1)) ELSE '' END AS grp FROM stats s LEFT JOIN sets USING (path))"
+_CHANGES = _PARSED + ", ch AS (SELECT s.*, added, modified, removed, coalesce(len(added), 0) AS n_added, split_part(path, '/', 2) || '/' || CASE WHEN position('.' IN split_part(path, '/', -1)) > 0 THEN '.' || lower(split_part(path, '.', -1)) ELSE '' END AS grp FROM stats s LEFT JOIN sets USING (path))"
 _e = lambda *xs: S.any_of([f"ends_with(upper(path), {S.text(x.upper())})" for x in xs])
 
 
-@register("commit_type", _CHANGES + f""" SELECT grp, CASE WHEN bool_and({_e('.md', '.txt')} OR starts_with(upper(path), 'DOCS/')) THEN 'docs'
+_TYPE = _CHANGES + f""" SELECT grp, CASE WHEN bool_and({_e('.md', '.txt')} OR starts_with(upper(path), 'DOCS/')) THEN 'docs'
  WHEN bool_and(starts_with(upper(path), 'TESTS/') OR starts_with(upper(path), 'TEST/') OR contains(upper(path), '.TEST.') OR contains(upper(path), '.SPEC.') OR {_e('Tests.cs')}) THEN 'test'
  WHEN bool_and({_e('.css', '.scss', '.sass', '.svg')}) THEN 'style' WHEN bool_and({_e('.json', '.csproj', '.sln', '.yml', '.yaml', '.toml')}) THEN 'chore'
- WHEN bool_or(status = 'Added') OR sum(n_added) > 0 THEN 'feat' WHEN sum(fixes) >= 2 THEN 'fix' ELSE 'refactor' END AS type FROM ch GROUP BY grp""")
+ WHEN bool_or(status = 'Added') OR sum(n_added) > 0 THEN 'feat' WHEN sum(fixes) >= 2 THEN 'fix' ELSE 'refactor' END AS type FROM ch GROUP BY grp"""
+
+
+@register("commit_type", _TYPE)
 def commit_type(spark, sf_dir):
     return D.commit_type(_changes(spark, sf_dir), "grp")
 
 
-@register("commit_scope_vote", _CHANGES + f""", f AS (SELECT grp, count(*) AS files, min(path) AS only_path FROM ch GROUP BY grp), sp AS (SELECT grp, path, string_split(path, '/')[1:-2] AS segs FROM ch),
+_SCOPE = _CHANGES + f""", f AS (SELECT grp, count(*) AS files, min(path) AS only_path FROM ch GROUP BY grp), sp AS (SELECT grp, path, string_split(path, '/')[1:-2] AS segs FROM ch),
  sg AS (SELECT grp, path, lower(unnest(segs)) AS seg, generate_subscripts(segs, 1) AS pos FROM sp), vt AS (SELECT grp, seg, count(*) AS votes, min(path || lpad(pos::VARCHAR, 4, '0')) AS fst FROM sg WHERE seg NOT IN {S.listed(tables.GENERIC_DIRS)} GROUP BY grp, seg),
  tp AS (SELECT DISTINCT ON (grp) grp, seg, votes FROM vt ORDER BY grp, votes DESC, fst, seg), st AS (SELECT f.*, regexp_replace(split_part(only_path, '/', -1), '\\.[^.]*$', '') AS own FROM f)
- SELECT st.grp, CASE WHEN files = 1 AND length(own) BETWEEN 1 AND 20 AND lower(own) NOT IN ('program', 'index') THEN lower(own) WHEN votes >= greatest(1, files // 2) THEN seg END AS scope FROM st LEFT JOIN tp USING (grp)""")
+ SELECT st.grp, CASE WHEN files = 1 AND length(own) BETWEEN 1 AND 20 AND lower(own) NOT IN ('program', 'index') THEN lower(own) WHEN votes >= greatest(1, files // 2) THEN seg END AS scope FROM st LEFT JOIN tp USING (grp)"""
+
+
+@register("commit_scope_vote", _SCOPE)
 def commit_scope_vote(spark, sf_dir):
     return D.scope_votes(_changes(spark, sf_dir), "grp")
 
 
-@register("commit_draft")
+_told = lambda c, verb, most: f"CASE WHEN len({c}) > 0 THEN '{verb} ' || array_to_string({c}[1:{most}], ', ') END"
+_DETAILS = f"concat_ws('; ', {_told('added', 'add', 4)}, {_told('modified', 'update', 4)}, {_told('removed', 'remove', 3)})"
+
+
+@register("commit_draft", _CHANGES + f""", t AS (SELECT *, {_DETAILS} AS details FROM ch) SELECT grp, path, '- ' || CASE status WHEN 'Added' THEN 'Add' WHEN 'Deleted' THEN 'Remove' WHEN 'Renamed' THEN 'Rename' ELSE 'Update' END || ' '
+ || CASE WHEN details <> '' THEN split_part(path, '/', -1) || ': ' || details ELSE path END || CASE WHEN insertions > 0 OR deletions > 0 THEN ' (+' || insertions || '/-' || deletions || ')' ELSE '' END AS bullet FROM t""")
 def commit_draft(spark, sf_dir):
+    """The lines of each group's commit message."""
     return D.draft(_changes(spark, sf_dir), "en", "grp")
 
 
-@register("untracked_diff", "WITH " + B.files_sql() + ", l AS (SELECT path, string_split(content, chr(10)) AS l FROM files WHERE doc_id % 5 = 0) SELECT path, '+' || unnest(l) AS line, generate_subscripts(l, 1)::INT AS line_no FROM l")
-def untracked_diff(spark, sf_dir):
-    """Every fifth document stands for an untracked file."""
-    return D.untracked_diff(B.files(spark, sf_dir).where("doc_id % 5 = 0"))
+_stem = "regexp_replace(split_part(path, '/', -1), '\\.[^.]*$', '')"
+_two = lambda name, rows: f"{name} AS (SELECT grp, list(v ORDER BY p, k)[1:2] AS {name} FROM (SELECT grp, v, arg_min(p, (p, k)) AS p, arg_min(k, (p, k)) AS k FROM ({rows}) x GROUP BY grp, v) y GROUP BY grp)"
+_of = lambda status: f"SELECT grp, {_stem} AS v, path AS p, 0 AS k FROM ch WHERE status = '{status}'"
+_sy = lambda c: f"SELECT grp, unnest({c}) AS v, path AS p, generate_subscripts({c}, 1) AS k FROM ch WHERE len({c}) > 0"
+_join = lambda c: f"array_to_string({c}, ', ')"
+_SUBJECT = _CHANGES + ", " + ", ".join([_two("xnew", _of("Added")), _two("xold", _of("Modified")), _two("xgone", _of("Deleted")), _two("xsym", _sy("added")), _two("xmod", _sy("modified"))]) + f""",
+ g AS (SELECT grp, count(*) AS files, sum(insertions)::BIGINT AS insertions, sum(deletions)::BIGINT AS deletions, min(path) AS hp, arg_min(status, path) AS hs, arg_min(coalesce(added, []), path) AS ha, arg_min(coalesce(modified, []), path) AS hm FROM ch GROUP BY grp),
+ j AS (SELECT *, split_part(hp, '/', -1) AS file, coalesce('add ' || {_join('xnew')}, 'add ' || {_join('xsym')}) AS p1 FROM g LEFT JOIN xnew USING (grp) LEFT JOIN xold USING (grp) LEFT JOIN xgone USING (grp) LEFT JOIN xsym USING (grp) LEFT JOIN xmod USING (grp)
+   JOIN ({_TYPE}) ty USING (grp) JOIN ({_SCOPE}) sc USING (grp)),
+ q AS (SELECT *, coalesce('update ' || {_join('xold')}, CASE WHEN p1 IS NULL THEN 'update ' || {_join('xmod')} END) AS p2 FROM j),
+ a AS (SELECT *, concat_ws(' and ', p1, p2, CASE WHEN p1 IS NULL OR p2 IS NULL THEN 'remove ' || {_join('xgone')} END) AS several,
+   CASE WHEN hs = 'Added' AND len(ha) > 0 THEN 'add ' || file || ' (' || {_join('ha[1:2]')} || ')' WHEN hs = 'Added' THEN 'add ' || file WHEN hs = 'Deleted' THEN 'remove ' || file
+     WHEN len(ha) > 0 THEN 'add ' || {_join('ha[1:2]')} || ' in ' || file WHEN len(hm) > 0 THEN 'update ' || {_join('hm[1:2]')} || ' in ' || file ELSE 'update ' || file END AS single FROM q),
+ s AS (SELECT *, type || coalesce('(' || scope || ')', '') || ': ' || CASE WHEN files = 1 THEN single WHEN several <> '' THEN several ELSE 'update ' || files || ' files' END AS title FROM a)
+ SELECT grp, CASE WHEN length(title) > 76 THEN regexp_replace(substr(title, 1, 73), '[, ;]+$', '') || '...' ELSE title END AS subject, files, insertions, deletions FROM s"""
+
+
+@register("commit_subject", _SUBJECT)
+def commit_subject(spark, sf_dir):
+    """The first line of each group's commit message."""
+    return D.subjects(_changes(spark, sf_dir), "en", "grp")
 
 
-@register("untracked_diff_all")
-def untracked_diff_all(spark, sf_dir):
+_UNTRACKED = "WITH " + B.files_sql() + ", l AS (SELECT path, string_split(content, chr(10)) AS l FROM files) SELECT path, '+' || unnest(l) AS line, generate_subscripts(l, 1)::INT AS line_no FROM l"
+
+
+@register("untracked_diff", _UNTRACKED)
+@register("untracked_diff_all", _UNTRACKED)
+def untracked_diff(spark, sf_dir):
     """Every document stands for an untracked file."""
     return D.untracked_diff(B.files(spark, sf_dir))
 

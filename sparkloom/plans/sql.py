@@ -79,18 +79,40 @@ def cluster(path: str) -> str:
     return f"CASE WHEN len(string_split({path}, '/')) <= 1 THEN 'root' ELSE array_to_string(list_filter(string_split({path}, '/')[1:-2], lambda p: upper(p) <> 'SRC')[1:2], '/') END"
 
 
-#: RE2 has no lookahead and an ASCII \b; these equal the engine's patterns on the bound tables.
-SECRETS = [
-    ("Private Key", r"-----BEGIN (?:RSA |EC |DSA |OPENSSH )?PRIVATE KEY-----"),
-    ("AWS Access Key", r"(?:^|[^\p{L}\p{Nd}_])AKIA[0-9A-Z]{16}(?:[^\p{L}\p{Nd}_]|$)"),
-    ("AWS Secret Access Key", r"(?:aws_secret_access_key|AWS_SECRET_ACCESS_KEY)\s*[:=]\s*['""][A-Za-z0-9/+=]{40}['""]".replace('""', '"')),
-    ("GitHub Token", r"(?:^|[^\p{L}\p{Nd}_])(?:ghp|gho|ghu|ghs|ghr)_[A-Za-z0-9_]{36,255}(?:[^\p{L}\p{Nd}_]|$)"),
-    ("Generic API Key Assignment", r"(?i)(?:api[_-]?key|apikey|secret[_-]?key|auth[_-]?token)\s*[:=]\s*['\"][A-Za-z0-9_\-]{16,128}['\"]"),
-    ("Connection String Password", r"(?i)(?:password|pwd)\s*=\s*['\"]?[^;\s'\"]{4,}['\"]?.*(?:server|data source|host|uid|user id)"),
-    ("Database URI with Password", r"(?i)(?:postgres|postgresql|mysql|mongodb|redis)://[^:/\s]+:[^@/\s]+@[^:/\s]+"),
-    ("Slack Token", r"(?:^|[^\p{L}\p{Nd}_])xox[baprs]-[0-9]{10,13}-[0-9]{10,13}[a-zA-Z0-9-]*"),
-]
+_EDGE = r"[^\p{L}\p{Nd}_]"
+
+
+def _re2(pattern: str) -> str:
+    """A fixed pattern as RE2 reads it: a word's edge becomes the start, the end or a sign, and what is looked ahead for is matched."""
+    if pattern.startswith(r"\b"):
+        pattern = rf"(?:^|{_EDGE})" + pattern[2:]
+    if pattern.endswith(r"\b"):
+        pattern = pattern[:-2] + rf"(?:{_EDGE}|$)"
+    return pattern.replace("(?=.*(?:server", ".*(?:(?:server")
+
+
+#: The fixed patterns of ``tables.SECRETS``; these equal the engine's on a line.
+SECRETS = [(name, _re2(pattern)) for name, pattern in tables.SECRETS]
 
 
 def secret_category(expr: str) -> str:
     return "CASE " + " ".join(f"WHEN regexp_matches({expr}, {text(p)}) THEN {text(n)}" for n, p in SECRETS) + " END"
+
+
+def redacted(expr: str) -> str:
+    """Every secret of a text as the mark, category by category; signs beside a word stay as they are."""
+    mark = tables.REDACTED
+    for _, pattern in tables.SECRETS:
+        flag, pattern = ("(?i)", pattern[4:]) if pattern.startswith("(?i)") else ("", pattern)
+        if "(?=.*(?:server" in pattern:
+            # RE2 cannot look ahead: each match is read with the rest of its line, which is put back.
+            head, tail = pattern.split("(?=", 1)
+            lines = f"string_split({expr}, chr(10))"
+            once = lambda x: f"regexp_replace({x}, {text(flag + '(' + head + ')(' + tail[:-1] + ')')}, {text(mark + chr(92) + '2')})"  # noqa: E731, B023
+            expr = f"array_to_string(list_transform({lines}, lambda x: {once(once('x'))}), chr(10))"
+            continue
+        left, right = pattern.startswith(r"\b"), pattern.endswith(r"\b")
+        core = pattern[2 if left else 0 : len(pattern) - (2 if right else 0)].replace("(AKIA[0-9A-Z]{16})", "AKIA[0-9A-Z]{16}")
+        full = flag + (f"(^|{_EDGE})" if left else "()") + f"(?:{core})" + (f"({_EDGE}|$)" if right else "()")
+        expr = f"regexp_replace({expr}, {text(full)}, {text(chr(92) + '1' + mark + chr(92) + '2')}, 'g')"
+    return expr

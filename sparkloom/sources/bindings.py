@@ -28,6 +28,9 @@ _SECRETS = [
     f"'pass' || 'word=letmein9;server=db' || {QUOTE}",
     "'let x = 1'",
     "'let y = 2'",
+    f"'aws_secret' || '_access_key = ' || {QUOTE} || repeat('Ab1/', 10) || {QUOTE}",
+    "'key gh' || 'p_' || repeat('a1B2', 9)",
+    "'bot xo' || 'xb-' || '1234567890' || '-' || '1234567890' || '-abc end'",
 ]
 
 FILES = f"""
@@ -42,7 +45,7 @@ FROM (SELECT doc_id, 'src/' || source || '/' || lang || '/' || dir || name AS pa
   || '<!-- html note --> <b>' || repeat(chr(96), CAST(doc_id % 5 AS INT)) || '</b>' || chr(10)
   || 'import x from ' || {QUOTE} || './widget_' || ((doc_id * 3 + 2) % 997) || {QUOTE} || chr(10)
   || 'export const make' || (doc_id % 89) || ' = (x) => x' || chr(10)
-  || ({_CASE('doc_id % 7', _SECRETS)}) || chr(10) || chr(125) AS content
+  || ({_CASE('doc_id % 10', _SECRETS)}) || chr(10) || chr(125) AS content
   FROM (SELECT doc_id, text, source, lang, {_CASE('doc_id % 20', [n.replace('|| i ||', '|| doc_id ||') for n in NAMES])} AS name,
         {_CASE('doc_id % 7', [f"'{d}'" for d in DIRS])} AS dir FROM {{documents}}) n) f
 """

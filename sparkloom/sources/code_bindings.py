@@ -129,3 +129,35 @@ def csharp_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """csharp_files(doc_id, path, content): a C# file for each document, its own text in a comment at the end."""
     sql = f"SELECT doc_id, 'cs/n' || (j % 7) || '/T' || j || '.cs' AS path, {CSHARP_CODE} || {NL} || replace(coalesce(text, ''), '*/', '') || '*/' AS content FROM ({CSHARP_NUMBERS}) k"
     return spark.sql(sql, documents=spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+#: Component sources, pages, styles, Dart and Razor files: document i is file j = i div 5 of kind i % 5.
+WEB_NUMBERS = NUMBERS.replace("% 8", "% 5").replace("/ 8", "/ 5")
+_RAZOR_NAME = "CASE WHEN j % 4 = 1 THEN 'R' || (j - 1) || '.razor.cs' WHEN j % 4 = 3 THEN 'S' || j || '.cs' ELSE 'R' || j || '.razor' END"
+WEB_PATHS = ["'ng/c' || j || '.component.ts'", "'ng/c' || j || '.component.html'", "'ng/_q' || j || '.scss'", "'da/d' || j || '.dart'", f"'rz/' || {_RAZOR_NAME}"]
+WEB_CODE = [
+    _lines("@Component({", '  templateUrl: "./c{{j}}.component.html",', "  styleUrls: ['./_q{{t1}}.scss', \"./nothing.css\"],", "})", "const other = { styleUrl: './_q{{t2}}.scss' }"),
+    _lines('<script async src="./c{{t1}}.component.ts"></script>', "<link rel='stylesheet' href='./_q{{t2}}.scss'>"),
+    _lines('@use "./_q{{t1}}.scss";', "@import 'q{{t2}}';"),
+    _lines("import 'd{{t1}}.dart';", "part 'd{{t2}}.dart';", "class D{{j}} extends d{{t3}} {", "  void go() { on<d{{t4}}>(); }", "}"),
+    f"CASE WHEN j % 2 = 1 THEN 'public class Code' ELSE {_lines('@inject S{{t2 - t2 % 4 + 3}} own', '<R{{t1 - t1 % 2}} />')} END",
+]
+
+
+def web_files(spark: SparkSession, sf_dir: str, *kinds: int) -> DataFrame:
+    """web_files(doc_id, path, content) of some kinds."""
+    case = lambda values: "CASE lang " + " ".join(f"WHEN {k} THEN {v}" for k, v in enumerate(values)) + " END"
+    sql = f"SELECT doc_id, path, code || {NL} || coalesce(text, '') AS content FROM (SELECT doc_id, text, {case(WEB_PATHS)} AS path, {case(WEB_CODE)} AS code FROM ({WEB_NUMBERS}) k) f"
+    out = spark.sql(sql, documents=spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return out.where((out.doc_id % 5).isin(*kinds)) if kinds else out
+
+
+def web_sql() -> str:
+    return "k AS (" + WEB_NUMBERS.format(documents="documents") + ")"
+
+
+def web_path(kind: int, number: str) -> str:
+    """The path of file ``number`` of a kind."""
+    import re
+
+    return re.sub(r"\bj\b(?!')", f"({number})", WEB_PATHS[kind])

@@ -22,8 +22,8 @@ class Written(WriterCommitMessage):
 class PartsWriter(DataSourceWriter):
     """Tasks write below a folder of their own run; the driver moves the files in place once all tasks are done."""
 
-    def __init__(self, path: str, overwrite: bool):
-        self.path, self.overwrite, self.run = path.rstrip("/"), overwrite, uuid.uuid4().hex
+    def __init__(self, path: str, overwrite: bool, separator: str):
+        self.path, self.overwrite, self.separator, self.run = path.rstrip("/"), overwrite, separator, uuid.uuid4().hex
 
     def _fs(self):
         return pafs.FileSystem.from_uri(self.path if "://" in self.path else f"file://{self.path}")
@@ -45,7 +45,7 @@ class PartsWriter(DataSourceWriter):
                     fs.create_dir(f"{base}/_run-{self.run}", recursive=True)
                     stream = fs.open_output_stream(temporary)
                     out.append((task.partitionId(), now, len(out), temporary))
-                stream.write(row["text"].encode() + b"\n\n")
+                stream.write((row["text"] + self.separator).encode())
         finally:
             if stream is not None:
                 stream.close()
@@ -77,17 +77,17 @@ class PartsWriter(DataSourceWriter):
 
 
 class PartsSink(DataSource):
-    """``df.write.format("document_parts")`` for rows (document, text) in order; option path."""
+    """``df.write.format("document_parts")`` for rows (document, text) in order; options path and separator."""
 
     @classmethod
     def name(cls) -> str:
         return "document_parts"
 
     def writer(self, schema, overwrite: bool) -> PartsWriter:
-        return PartsWriter(self.options["path"], overwrite)
+        return PartsWriter(self.options["path"], overwrite, self.options.get("separator", "\n\n"))
 
 
-def write_documents(parts: DataFrame, path: str, document: str = "workspace", order: tuple[str | Column, ...] = ("part", "ord")) -> None:
+def write_documents(parts: DataFrame, path: str, document: str = "workspace", order: tuple[str | Column, ...] = ("part", "ord"), separator: str = "\n\n") -> None:
     """Write (document, ..., text) as folders of numbered Markdown files under ``path``, one folder for each document.
 
     Rows are dealt by ranges of (document, order), so a document of any size is written by as many tasks as
@@ -96,4 +96,4 @@ def write_documents(parts: DataFrame, path: str, document: str = "workspace", or
     parts.sparkSession.dataSource.register(PartsSink)
     keys = [F.col(c) if isinstance(c, str) else c for c in (document, *order)]
     rows = parts.where("text IS NOT NULL").repartitionByRange(*keys).sortWithinPartitions(*keys)
-    rows.select(F.coalesce(F.col(document).cast("string"), F.lit("")).alias("document"), "text").write.format("document_parts").option("path", path).mode("overwrite").save()
+    rows.select(F.coalesce(F.col(document).cast("string"), F.lit("")).alias("document"), "text").write.format("document_parts").option("path", path).option("separator", separator).mode("overwrite").save()

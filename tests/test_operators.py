@@ -134,11 +134,30 @@ def test_greedy_budget_over_rounds(spark, monkeypatch):
     assert {r["path"] for r in SEL.greedy(c, 900).where("included").collect()} == inc
 
 
-def test_draft_lists_every_file(spark):
-    rows = [("g", f"src/f{i:02d}.cs", "Modified", 0, 0, i, 1, []) for i in range(40)]
-    ch = spark.createDataFrame(rows, "grp string, path string, status string, n_added int, fixes int, insertions int, deletions int, added array<string>")
-    body = D.draft(ch, "en", "grp").first()["body"].split("\n")
-    assert [x.split(" ")[2] for x in body] == [r[1] for r in rows]
+def changes(spark, rows):
+    return spark.createDataFrame(rows, "grp string, path string, status string, n_added int, fixes int, insertions int, deletions int, added array<string>, modified array<string>, removed array<string>")
+
+
+def test_draft_tells_every_file(spark):
+    rows = [("g", f"src/f{i:02d}.cs", "Modified", 0, 0, i, 1, [], [], []) for i in range(40)]
+    rows += [("g", "src/new.cs", "Added", 5, 0, 3, 0, list("abcde"), ["m"], list("wxyz")), ("g", "x/moved.cs", "Renamed", 0, 0, 0, 0, [], [], [])]
+    got = {r["path"]: r["bullet"] for r in D.draft(changes(spark, rows), "en", "grp").collect()}
+    assert len(got) == 42 and got["src/f07.cs"] == "- Update src/f07.cs (+7/-1)" and got["x/moved.cs"] == "- Rename x/moved.cs"
+    assert got["src/new.cs"] == "- Add new.cs: add a, b, c, d; update m; remove w, x, y (+3/-0)"
+
+
+def test_subjects(spark):
+    cases = [
+        ([("Added", "a.cs", ["A", "B", "C"], [])], "add a.cs (A, B)"), ([("Added", "a.cs", [], [])], "add a.cs"), ([("Deleted", "a.cs", ["A"], [])], "remove a.cs"),
+        ([("Modified", "a.cs", ["A"], ["M"])], "add A in a.cs"), ([("Modified", "a.cs", [], ["M", "N", "O"])], "update M, N in a.cs"), ([("Renamed", "a.cs", [], [])], "update a.cs"),
+        ([("Added", "a.cs", [], []), ("Added", "b.cs", [], []), ("Added", "c.cs", [], []), ("Modified", "d.cs", [], []), ("Deleted", "e.cs", [], [])], "add a, b and update d"),
+        ([("Modified", "a.cs", ["S"], []), ("Deleted", "b.cs", [], [])], "add S and update a"), ([("Renamed", "a.cs", [], ["M"]), ("Deleted", "b.cs", [], [])], "update M and remove b"),
+        ([("Renamed", "a.cs", [], []), ("Renamed", "b.cs", [], [])], "update 2 files"),
+    ]
+    made = changes(spark, [(str(k), p, st, len(a), 0, 1, 1, a, m, []) for k, (rows, _) in enumerate(cases) for st, p, a, m in rows])
+    got = {r["grp"]: r["subject"].split(": ", 1)[1] for r in D.subjects(made, "en", "grp").collect()}
+    assert got == {str(k): action for k, (_, action) in enumerate(cases)}
+
 
 
 def test_diff_sets_and_message(spark):
@@ -148,9 +167,12 @@ def test_diff_sets_and_message(spark):
     assert (s["added"], s["modified"], s["removed"]) == (["New"], ["Old", "same"], ["Gone"])
     st = D.stats(d).first()
     assert (st["insertions"], st["deletions"], st["fixes"]) == (3, 2, 1)
-    ch = D.stats(d).join(D.symbol_sets(d), "path").withColumn("n_added", F.size("added")).withColumn("g", F.lit(1))
-    m = D.draft(ch, "en", "g").first()
-    assert m["subject"] == "feat(labelmaker): update LabelMaker.cs" and "New" in m["body"]
+    ch = D.summaries(d).withColumn("g", F.lit(1))
+    both = ch.first()
+    assert (both["added"], both["modified"], both["removed"], both["n_added"]) == (["New"], ["Old", "same"], ["Gone"], 1)
+    assert (both["insertions"], both["deletions"], both["fixes"]) == (3, 2, 1)
+    assert D.subjects(ch, "en", "g").first()["subject"] == "feat(labelmaker): add New in LabelMaker.cs"
+    assert D.draft(ch, "de", "g").first()["bullet"] == "- Aktualisieren LabelMaker.cs: hinzufügen New; aktualisieren Old, same; entfernen Gone (+3/-2)"
 
 
 def test_tree_marks(spark):

@@ -23,8 +23,8 @@ from .store import Workspace
 
 #: Leading bits that are counted for the directory at first, and those by which overfull slots are counted anew.
 FIRST_BITS, MORE_BITS = 16, 8
-#: A bucket holds so many rows, or the 65,536th part of the table where that is more: the
-#: directory then has 2 * 65,536 buckets and some more for hot keys at any size of the table.
+#: A bucket holds so many rows, or the 32,768th part of the table where that is more, which is twice the mean of a slot of
+#: 16 bits: at any size of the table only slots with a hot key are overfull, and the directory has 65,536 buckets and some more for those.
 LEAST_CAPACITY = 1_000
 
 
@@ -64,6 +64,11 @@ def directory(counts: dict[int, int], capacity: int, bits: int, prefix: int = 0,
     return sorted(done, key=lambda b: b.prefix << (64 - b.depth))
 
 
+def capacity_for(rows: int) -> int:
+    """Rows of a bucket in a table of ``rows``."""
+    return max(LEAST_CAPACITY, rows >> (FIRST_BITS - 1))
+
+
 def slot(key: Column, depth: int) -> Column:
     return F.shiftrightunsigned(key, 64 - depth).cast("int")
 
@@ -71,8 +76,9 @@ def slot(key: Column, depth: int) -> Column:
 def build_directory(keys: DataFrame, capacity: int) -> list[Bucket]:
     """The directory of a table's ``key``: counts by 16 bits, then by 8 more where a slot is overfull.
 
-    The driver holds counts of slots, not of rows: 65,536 and 256 for each overfull slot, of which
-    there are no more than rows / capacity.
+    The driver holds counts of slots, not of rows: 65,536 and 256 for each overfull slot.  With
+    ``capacity_for`` a slot is overfull only where a key is hot, so there are at most 32,768 of
+    them, and as many as there are hot keys in a table of the usual kind.
     """
     counts = {r[0]: r[1] for r in keys.groupBy(slot(F.col("key"), FIRST_BITS).alias("s")).count().collect()}
     buckets = directory(counts, capacity, FIRST_BITS)
@@ -167,7 +173,10 @@ MERGED = "bucket int, part int, key long, chain int, m_keep long, m_size long"
 
 
 def _merger(batches):
-    """Chains of one key over all owners of its bucket: heads are compared byte for byte."""
+    """Chains of one key over all owners of its bucket: heads are compared byte for byte.
+
+    Only heads that share a digest with other bytes come here.
+    """
     for t in sorted_groups(batches, ["bucket", "key"]):
         cut = bounds(t.column("_g").to_numpy())
         col = {c: t.column(c).to_pylist() for c in ("bucket", "part", "key", "chain", "keep_id", "group_size", "head")}
@@ -209,7 +218,7 @@ def exact_duplicates(
     keyed = source.withColumn("key", key)
 
     keys = ws.save(keyed.select("key"), "keys")
-    capacity = capacity or max(LEAST_CAPACITY, keys.count() >> FIRST_BITS)
+    capacity = capacity or capacity_for(keys.count())
     buckets = build_directory(keys, capacity)
     spread = F.shiftrightunsigned(F.xxhash64("doc_id", F.monotonically_increasing_id()), 1)
     found = keyed.withColumn("spread", spread).mapInArrow(_finder(buckets), "doc_id long, key long, text string, bucket int, part int")
@@ -219,8 +228,18 @@ def exact_duplicates(
         return _told(owned)
 
     split = F.col("bucket").isin([i for i, s in enumerate(shared) if s]) if shared.sum() < 500 else F.lit(True)
-    heads = owned.where(F.col("first") & F.col("head").isNotNull()).select("bucket", "part", "key", "chain", "keep_id", "group_size", "head")
-    merged = ws.save(heads.repartition("bucket", "key").sortWithinPartitions("bucket", "key").mapInArrow(_merger, MERGED), "merged")
+    # Owners of a hot text hold the same head each: they meet by digest, in partial aggregates that tell by the least and
+    # greatest bytes whether all are one text, so one head of each digest moves from a task.
+    heads = owned.where(F.col("first") & F.col("head").isNotNull())
+    same = ["bucket", "key", "text_sha256"]
+    met = ws.save(heads.groupBy(*same).agg(F.max("keep_id").alias("m_keep"), F.sum("group_size").alias("m_size"), F.min("head").alias("low"), F.max("head").alias("high")), "met")
+    chains = heads.select("bucket", "part", "key", "chain", "text_sha256").join(met.where("low = high").select(*same, "m_keep", "m_size"), same)
+    merged = chains.select("bucket", "part", "key", "chain", "m_keep", "m_size")
+    unlike = met.where("low <> high").select(*same)
+    if not unlike.isEmpty():
+        apart = heads.join(unlike, same, "left_semi").select("bucket", "part", "key", "chain", "keep_id", "group_size", "head")
+        merged = merged.unionByName(apart.repartition("bucket", "key").sortWithinPartitions("bucket", "key").mapInArrow(_merger, MERGED))
+    merged = ws.save(merged, "merged")
     rest = owned.where(split).drop("head").join(merged, ["bucket", "part", "key", "chain"], "left")
     rest = rest.withColumn("keep_id", F.when(F.col("m_size").isNull(), F.col("keep_id")).otherwise(F.col("m_keep"))).withColumn("group_size", F.coalesce("m_size", "group_size"))
     told = _told(rest)

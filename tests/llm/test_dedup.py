@@ -4,6 +4,8 @@ import hashlib
 import itertools
 import random
 
+import numpy as np
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -150,6 +152,17 @@ def test_exact_many_hot_buckets(spark):
     assert sorted((tuple(r) for r in got), key=str) == exact_truth(rows)
 
 
+def test_the_driver_holds_slots_at_any_size():
+    rows = 10**9
+    mean = rows >> 16
+    rng = np.random.default_rng(1)
+    counts = dict(enumerate(rng.poisson(mean, 1 << 16).tolist()))
+    for hot in (7, 40_000, 65_000):
+        counts[hot] += rows // 30
+    buckets = exact_dedup.directory(counts, exact_dedup.capacity_for(rows), 16)
+    assert sum(b.rows > exact_dedup.capacity_for(rows) for b in buckets) == 3 and len(buckets) <= 1 << 16
+
+
 def test_exact_odd_and_empty(spark):
     got = exact_dedup.exact_duplicates(table(spark, ODD)).collect()
     assert sorted((tuple(r) for r in got), key=str) == exact_truth(ODD)

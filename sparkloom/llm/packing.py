@@ -115,18 +115,24 @@ def pack(pieces: DataFrame, *, capacity: Capacity | None = None, weights=(1.0, 0
     Every piece gets a place; places in a sequence are gapless from 0 and no
     sequence is over any capacity.  Pieces of length 0 or null are an error of the
     caller, as is one over a capacity.  Equal pieces of repeated rows get
-    different places.  An empty table gives an empty result.
+    different places.  Extra columns of any names are carried; ``sequence_id`` and ``offset``
+    of an earlier packing are replaced.  An empty table gives an empty result.
     """
     capacity = capacity or Capacity()
     ws = Workspace(pieces.sparkSession, "pack")
-    table = ws.save(pieces, "pieces")
+    # Columns go by place, so that none clashes with a name used here; places of an earlier packing are replaced.
+    kept = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
+    names = [{"doc_id": "doc_id", "piece": "piece", "length": "length"}.get(c, f"_c{i}") for i, c in enumerate(kept)]
+    # A salt of the row's place is written with it: rows that are equal in all else lie in different chunks.
+    salt = F.xxhash64("doc_id", "piece", F.monotonically_increasing_id()).alias("_salt")
+    table = ws.save(pieces.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(kept, names)], salt), "pieces")
     histogram = [(int(r[0]), int(r[1])) for r in table.groupBy("length").count().collect()]  # at most `tokens` rows
     runs, _ = best_fit(histogram, capacity, weights, rule)
     total = sum(n for _, n in histogram)
     chunks = max(16, -(-total // RANK_ROWS))
-    chunked = table.withColumn("_chunk", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(chunks)).cast("int"))
+    chunked = table.withColumn("_chunk", F.pmod("_salt", F.lit(chunks)).cast("int"))
     before = chunked.groupBy("length", "_chunk").count().withColumn("_before", F.sum("count").over(Window.partitionBy("length").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1))).select("length", "_chunk", F.coalesce("_before", F.lit(0)).alias("_before"))
     ranked = chunked.withColumn("_row", F.row_number().over(Window.partitionBy("length", "_chunk").orderBy("doc_id", "piece")))
-    ranked = ranked.join(before, ["length", "_chunk"]).select(*table.columns, (F.col("_before") + F.col("_row") - 1).cast("long").alias("rank"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in table.schema) + ", sequence_id long, offset long"
-    return ranked.mapInArrow(_dealer(runs), schema)
+    ranked = ranked.join(before, ["length", "_chunk"]).select(*names, (F.col("_before") + F.col("_row") - 1).cast("long").alias("rank"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in table.schema if f.name != "_salt") + ", sequence_id long, offset long"
+    return ranked.mapInArrow(_dealer(runs), schema).toDF(*kept, "sequence_id", "offset")

@@ -43,6 +43,16 @@ def check_packing(rows, capacity):
     return len(bins)
 
 
+def test_pack_carries_columns_of_any_names(spark):
+    rows = [(1 if i % 3 else None, 0, 700, i, i + 1, i + 2, f"o{i}", "s") for i in range(30)]
+    p = spark.createDataFrame(rows, "doc_id long, piece int, length long, rank long, _chunk int, _row int, offset string, `a b` string")
+    out = packing.pack(p)
+    got = out.collect()
+    assert out.columns == ["doc_id", "piece", "length", "rank", "_chunk", "_row", "a b", "sequence_id", "offset"]
+    assert sorted(r["rank"] for r in got) == list(range(30)) and all((r["_chunk"], r["_row"]) == (r["rank"] + 1, r["rank"] + 2) for r in got)
+    assert check_packing(got, packing.Capacity()) == 15
+
+
 @pytest.mark.parametrize("rule", ["norm", "dot"])
 @pytest.mark.parametrize("capacity", [packing.Capacity(), packing.Capacity(2048, 5, 2048 * 2048), packing.Capacity(2048, 2048, 1_500_000)])
 def test_every_capacity_holds(spark, capacity, rule):

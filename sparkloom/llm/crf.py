@@ -8,11 +8,11 @@ word's marginals, and a text's language is the one with the most expected words.
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,7 +31,8 @@ CHAIN, ROUNDS = 8, 25
 BLOCK = 64
 CACHE_WORDS = 200_000
 MARKS = b".,;:!?|\"'()[]{}<>*_#&%$=+-/\\"
-LETTER = re.compile(r"[^\W\d_]")
+#: A letter; numerals such as a half are word characters and no letters.
+LETTER = regex.compile(r"\p{L}")
 
 
 def word_features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

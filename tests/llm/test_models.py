@@ -45,14 +45,14 @@ def test_language(spark):
     rng = random.Random(0)
     make = lambda words: " ".join(rng.choice(words.split()) for _ in range(30))
     train = [(i, make(en if i % 2 else de), "en" if i % 2 else "de") for i in range(60)]
-    odd = [(100, None, None), (101, "", None), (102, "123 --- 456", None), (103, make(en), None), (104, make(de) + " " + make(en), None), (None, make(de), None), (103, "x " * 40_000, None)]
+    odd = [(100, None, None), (101, "", None), (102, "123 --- 456", None), (105, "½ ² ٣", None), (103, make(en), None), (104, make(de) + " " + make(en), None), (None, make(de), None), (103, "x " * 40_000, None)]
     schema = "doc_id long, text string, lang string, score double"
     docs = spark.createDataFrame([(*r, 1.0) for r in train + odd], schema)
     got = {}
     for r in crf.identify_language(docs, docs.where("doc_id < 60").select("doc_id", "text", "lang")).collect():
         got.setdefault(r["doc_id"], []).append(r)
     assert all(got[i][0]["lang_pred"] == lang for i, _, lang in train)
-    assert [got[i][0]["lang_pred"] for i in (100, 101, 102)] == ["und"] * 3
+    assert [got[i][0]["lang_pred"] for i in (100, 101, 102, 105)] == ["und"] * 4
     assert got[None][0]["lang_pred"] == "de" and 0.3 < got[104][0]["score"] < 0.7 and len(got[103]) == 2
     runs = {r["doc_id"]: r["runs"] for r in crf.label_words(docs.where("doc_id IN (101, 104)"), docs.where("doc_id < 60").select("doc_id", "text", "lang")).collect()}
     assert runs[101] == [] and [(r["lang"], r["first_word"], r["end_word"]) for r in runs[104]] == [("de", 0, 30), ("en", 30, 60)]

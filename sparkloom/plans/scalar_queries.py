@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from sparkloom.functions import comments, filters, tables
 from sparkloom.functions import text as T
 from sparkloom.sources import bindings as B
+from sparkloom.sources import code_bindings as C
 
 from . import sql as S
 from .registry import register
@@ -50,7 +51,6 @@ _lang_sql = S.mapped("lower(trim(list_value('Spanish', 'fr', ' DE ', 'isizulu',
 scalar("output_language", lambda path, content, ext: {"code": T.language_code(_lang()), "display": T.language_display(_lang()), "verb": T.commit_verb(T.language_code(_lang()), 0)}, {"code": _lang_sql, "display": S.mapped(_lang_sql, tables.LANGUAGE_NAMES, None), "verb": S.mapped(_lang_sql, {k: v[0] for k, v in tables.VERBS.items()}, None)})
 _mode = lambda: F.element_at(F.array(*[F.lit(x) for x in ("Staged", "Unstaged", "Branch", "LastN", "SingleFile", "All")]), (F.col("doc_id") % 6 + 1).cast("int"))
 scalar("scope_description", lambda path, content, ext: {"scope": T.scope_description(_mode(), F.lit("main"))}, {"scope": "list_value('Staged Changes (--git-staged)', 'Unstaged Working Tree Changes (--git-unstaged)', 'Branch Compare against ''main''', 'Last main Commits', 'Single File Diff', 'All Uncommitted Changes')[(doc_id % 6 + 1)::INT]"})
-scalar("simple_type_name", lambda path, content, ext: {"simple": T.simple_type_name(F.concat(F.lit("A.B.Type"), F.col("doc_id").cast("string"), F.lit("<int>[]?")))}, {"simple": "'Type' || doc_id"})
 for _name in ("redact_secrets", "redact_secrets_text"):
     scalar(_name, lambda path, content, ext: {"redacted": T.redact(content)}, {"redacted": S.redacted("content")})
 scalar("strip_comments_html", lambda path, content, ext: {"html_free": T.token_estimate(comments.strip_html(content)), "left": comments.strip_html(content)}, {"html_free": S.token_estimate("regexp_replace(content, '<!--[\\s\\S]*?-->', '', 'g')"), "left": "regexp_replace(content, '<!--[\\s\\S]*?-->', '', 'g')"})
@@ -105,25 +105,43 @@ def secret_counts(spark, sf_dir):
 _TASKS = {"es": "Español", "fr": "Français", "de": "Deutsch", "zh": "简体中文", "ja": "日本語", "pt": "Português", "ru": "Русском", "zu": "isiZulu", "af": "Afrikaans", "en": "English"}
 
 
-@register("language_task", "SELECT doc_id, CASE doc_id % 11 " + " ".join(f"WHEN {i} THEN {S.text(v)}" for i, v in enumerate(_TASKS.values())) + " ELSE 'English' END AS named FROM documents")
+@register("language_task", "SELECT doc_id, " + S.mapped("lang", {k: _TASKS[k] for k in ("es", "fr", "de", "en")}, "English") + " AS named FROM documents")
 def language_task(spark, sf_dir):
-    """The language that each instruction names."""
-    codes = F.array(*[F.lit(c) for c in [*_TASKS, "xx"]])
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
-    told = docs.select("doc_id", T.language_task(F.element_at(codes, (F.col("doc_id") % 11 + 1).cast("int"))).alias("t"))
-    return told.select("doc_id", F.regexp_extract("t", "(" + "|".join(_TASKS.values()) + ")", 1).alias("named"))
+    """The language that the instruction for each document's own language names."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", T.language_task(F.col("lang")).alias("t"))
+    return docs.select("doc_id", F.regexp_extract("t", "(" + "|".join(_TASKS.values()) + ")", 1).alias("named"))
 
 
-@register("system_types", """SELECT doc_id, doc_id % 4 IN (0, 2) AS system FROM documents""")
+_TYPED = r"[A-Za-z_][A-Za-z0-9_.]*<[^<>\n]*>(?:\[\])?\??"
+_CS = "k AS (" + C.CSHARP_NUMBERS.format(documents="documents") + f"), cs AS (SELECT doc_id, {C.CSHARP_CODE} AS content FROM k)"
+
+
+@register("simple_type_name", "WITH " + _CS + f", t AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(content, {S.text(_TYPED)})) AS written FROM cs) SELECT doc_id, written, regexp_extract(trim(regexp_replace(written, '<.*>|\\[[^\\]]*\\]|\\?', '', 'g')), '([^.]*)$', 1) AS simple FROM t")
+def simple_type_name(spark, sf_dir):
+    """The bare names of all generic types that the code of the bound C# files writes out."""
+    types = _csharp_code(spark, sf_dir).select("doc_id", F.explode(F.regexp_extract_all("content", F.lit(_TYPED), F.lit(0))).alias("written")).distinct()
+    return types.select("doc_id", "written", T.simple_type_name(F.col("written")).alias("simple"))
+
+
+def _csharp_code(spark, sf_dir):
+    return spark.sql(f"SELECT doc_id, {C.CSHARP_CODE} AS content FROM ({C.CSHARP_NUMBERS}) k", documents=spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+@register("system_types", "WITH " + _CS + f", t AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(content, '[A-Za-z_][A-Za-z0-9_]*')) AS name FROM cs) SELECT name, name IN {S.listed(tables.SYSTEM_TYPES)} AS system, count(*) AS files FROM t GROUP BY ALL")
 def system_types(spark, sf_dir):
-    """Bare names of types, generic and qualified, told apart from the platform's."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
-    names = F.array(F.lit("System.Collections.List<Order>"), F.lit("Billing.Order<int>"), F.lit("int[]?"), F.lit("Task1"))
-    return docs.select("doc_id", T.is_system_type(F.element_at(names, (F.col("doc_id") % 4 + 1).cast("int"))).alias("system"))
+    """Every identifier of the bound C# files, told apart from the platform's types, with the files that hold it."""
+    names = _csharp_code(spark, sf_dir).select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit("[A-Za-z_][A-Za-z0-9_]*"), F.lit(0)))).alias("name"))
+    return names.groupBy("name", T.is_system_type(F.col("name")).alias("system")).agg(F.count("*").alias("files"))
+
+
+_QUOTED = r"""['"]([^'"\n]+)['"]"""
+_CODE = "k AS (" + C.NUMBERS.format(documents="documents") + "), code AS (SELECT doc_id, CASE lang " + " ".join(f"WHEN {i} THEN {c}" for i, c in enumerate(C.CODE)) + " END AS content FROM k)"
 
 
-@register("local_imports", "SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN true WHEN 1 THEN true WHEN 2 THEN true ELSE false END AS local FROM documents")
+@register("local_imports", "WITH " + _CODE + f", t AS (SELECT doc_id, unnest(regexp_extract_all(content, {S.text(_QUOTED)}, 1)) AS spec FROM code) SELECT doc_id, count(*) AS specs, count(*) FILTER (regexp_matches(spec, '^\\.\\.?[/\\\\]')) AS local FROM t GROUP BY doc_id")
 def local_imports(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
-    specs = F.array(*[F.lit(x) for x in ("./a", "../b/c", "..\\d", "react", "/abs", ".hidden")])
-    return docs.select("doc_id", T.is_local_import(F.element_at(specs, (F.col("doc_id") % 6 + 1).cast("int"))).alias("local"))
+    """How many of the quoted specifiers of each bound file are paths from the file itself."""
+    case = "CASE lang " + " ".join(f"WHEN {i} THEN {c}" for i, c in enumerate(C.CODE)) + " END"
+    code = spark.sql(f"SELECT doc_id, {case} AS content FROM ({C.NUMBERS}) k", documents=spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    specs = code.select("doc_id", F.explode(F.regexp_extract_all("content", F.lit(_QUOTED), F.lit(1))).alias("spec"))
+    return specs.groupBy("doc_id").agg(F.count("*").alias("specs"), F.count_if(T.is_local_import(F.col("spec"))).alias("local"))

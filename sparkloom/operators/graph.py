@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from sparkloom.sources.shared import Levels, materialise
 
+from .ranges import placed
+
 DAMPING, ITERATIONS = 0.85, 25
 
 
@@ -127,6 +129,21 @@ def cycles(sccs: DataFrame) -> DataFrame:
     return sccs.groupBy("scc").agg(F.count("*").alias("size")).where("size > 1")
 
 
+def cycle_list(sccs: DataFrame, edges: DataFrame) -> DataFrame:
+    """(scc, ord, id): each component of two or more nodes as a closed list, from its least node by distance inside the component, then by id, and the least node again.
+
+    A component of any size is a set of rows; they are numbered by ranges.
+    """
+    sccs = materialise(sccs.join(cycles(sccs).select("scc"), "scc", "left_semi"))
+    a, b = (sccs.select(F.col("id").alias(k), F.col("scc").alias(c)) for k, c in (("src", "c1"), ("dst", "c2")))
+    inside = materialise(distinct_edges(edges).join(a, "src").join(b, "dst").where("c1 = c2").select("src", "dst"))
+    depth = bfs(inside, sccs.where("id = scc").select("id")).select("id", "depth")
+    at = materialise(placed(materialise(sccs.join(depth, "id").select("scc", "id", "depth")), [F.asc("scc"), F.asc("depth"), F.asc("id")]))
+    each = materialise(at.groupBy("scc").agg(F.min("place").alias("first"), F.count("*").alias("n")))
+    listed = at.join(each, "scc").select("scc", (F.col("place") - F.col("first")).alias("ord"), "id")
+    return listed.unionByName(each.select("scc", F.col("n").alias("ord"), F.col("scc").alias("id")))
+
+
 def focus(edges: DataFrame, root: DataFrame) -> DataFrame:
     """(id) of the focused subgraph.
 

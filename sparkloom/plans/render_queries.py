@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions import filters, tables
 from sparkloom.functions import text as T
+from sparkloom.operators import extract as X
 from sparkloom.operators import graph as G
 from sparkloom.operators import select as SEL
 from sparkloom.sources import bindings as B
@@ -66,6 +67,25 @@ def knowledge_markdown(spark, sf_dir):
     return render.knowledge_markdown(gods, clusters, GQ.cycles(spark, sf_dir))
 
 
+@register("knowledge_document")
+def knowledge_document(spark, sf_dir):
+    """The whole knowledge document of the bound files, with code under a budget."""
+    files, edges = B.files(spark, sf_dir), B.edges(spark, sf_dir)
+    m = G.materialise(GQ._metrics(spark, sf_dir))
+    gods = G.god_nodes(m, m.count()).select("id", "place")
+    sccs = G.materialise(G.strong_components(m.select("id"), edges))
+    looped = sccs.join(G.cycles(sccs), "scc").select("id", F.lit(True).alias("in_cycle"))
+    text = F.col("content")
+    types = X.declared_types(text)
+    own = files.select(F.col("doc_id").alias("id"), T.language(F.col("ext")).alias("language"), T.line_count(text).alias("lines"), T.token_estimate(text).alias("tokens"), X.symbols(types, X.declared_functions(text, types)).alias("symbols"), (F.col("doc_id") % 9 == 0).alias("modified"), T.cluster_name(F.col("path")).alias("cluster"))
+    n = m.join(own, "id").join(F.broadcast(gods), "id", "left").join(looped, "id", "left")  # ten hubs at most
+    role = T.node_role(F.col("name"), F.col("path"), F.col("language"), F.col("place").isNotNull(), F.col("in_degree"), F.col("out_degree"))
+    nodes = G.materialise(n.withColumn("role", role).drop("name", "ext"))
+    few = SEL.running_cut(nodes.select(F.lit("").alias("workspace"), "path", "tokens", "page_rank"), 6000, [F.desc("page_rank"), F.upper("path")])
+    code = few.select("path", "total").join(files.select("path", "content"), "path")
+    return render.knowledge_document(nodes, edges, G.cycle_list(sccs, edges), mermaid_chart(spark, sf_dir), workspace="documents", scope="All files", sources=code)
+
+
 _CHART = GQ._MERMAID + """, few AS (SELECT *, split_part(path, '/', 2) || '/' || split_part(path, '/', 3) AS cluster FROM top), c AS (SELECT upper(cluster) AS ck, min(place) AS first, min_by(cluster, place) AS name FROM few GROUP BY 1),
  n AS (SELECT *, row_number() OVER (ORDER BY first) AS nth FROM c), drawn AS (SELECT a.place AS pa, b.place AS pb FROM e JOIN few a ON e.src = a.id JOIN few b ON e.dst = b.id ORDER BY pa, pb LIMIT 45),
  pad AS (SELECT 1)

@@ -108,6 +108,8 @@ def scan_secrets(
     pairs = spans.groupBy("value", "owner", "repo").agg(F.count("*").alias("n"))
     owners = pairs.groupBy("value", "owner").agg(F.count("*").alias("repos"), F.sum("n").alias("n"))
     owned = owners.groupBy("value").agg(F.count("*").alias("owners"), F.sum("repos").alias("repos"), F.sum("n").alias("uses"))
+    # Written, so that the join with it holds no aggregate and the rows of a hot value can be dealt anew.
+    owned = ws.save(owned, "owned")
     judged = spans.select("row", "value", "s").join(owned, "value").withColumn("live", (F.col("owners") < copied_owners) & (F.col("repos") < copied_repos))
     kept = judged.where("s.kind < 3 OR live")
     per_row = kept.groupBy("row").agg(F.collect_list("s").alias("all"), F.collect_list(F.struct("s.start", "s.kind", "owners", "repos", "uses")).alias("held"), F.count_if(F.col("live")).alias("n_live"), F.count_if(~F.col("live")).alias("n_copied"))

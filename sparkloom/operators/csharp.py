@@ -27,7 +27,7 @@ _BEFORE = r"(?<![A-Za-z0-9_.])"
 _WORD = r"(?<![A-Za-z0-9_])"
 
 #: Raw, verbatim and plain strings, characters, comments, preprocessor lines.
-MASKED = r"\"\"\"[\s\S]*?(?:\"\"\"|\z)|(?:@\$?|\$@)\"(?:[^\"]|\"\")*+(?:\"|\z)|\"(?:\\.|[^\"\\\n])*+\"?|'(?:\\.|[^'\\\n])*+'?|//[^\n]*+|/\*[\s\S]*?(?:\*/|\z)|(?m:^[ \t]*+#[^\n]*+)"
+MASKED = r"\"\"\"[\s\S]*?(?:\"\"\"|\z)|(?:@\$?|\$@)\"(?:[^\"]|\"\")*+(?:\"|\z)|\"(?:\\.|[^\"\\\n])*+\"?|'(?:\\.|[^'\\\n])*+'?|//[^\n]*+|/\*(?:[^*]|\*(?!/))*+(?:\*/)?+|(?m:^[ \t]*+#[^\n]*+)"
 PIECE = r"[^{};]*+[{};]|[^{};]++\z"
 DECLARES = rf"(?:^|[\s\]])(?:class|interface|struct|enum|record(?:\s+(?:class|struct))?)\s+(?!where\s)({ID})"
 _ATTRS = r"^\s*+(?:\[[^\]]*+\]\s*+)*+"
@@ -132,24 +132,44 @@ def _read(row: Column) -> Column:
     at = lambda pattern, group, cond: F.when(cond, F.regexp_extract(code, pattern, group)).otherwise("")
     call = member & code.contains("(")
     fields = [row[c].alias(c) for c in ("owner", "place", "ends", "code", "bare", "attrs")]
-    return F.struct(*fields, at(CONSTRUCTOR, 1, call).alias("c1"), at(METHOD, 0, call).alias("m0"), code.rlike(USING).alias("using"))
+    using = code.contains("using") & code.rlike(USING)
+    return F.struct(*fields, at(CONSTRUCTOR, 1, call).alias("c1"), at(METHOD, 0, call).alias("m0"), using.alias("using"))
+
+
+def _acting(row: Column) -> Column:
+    """The piece with its parameters, where it is a constructor, a method or a type that has them.
+
+    A field of a lambda's variable is worked out anew at each mention, so each step keeps in the row what later ones mention.
+    """
+    code, m0, member, is_type = row["code"], row["m0"], row["place"] == "member", row["place"] == "type"
+    makes = member & (row["c1"] != "") & (row["c1"] == row["owner"])
+    acts = member & ~makes & (m0 != "") & ~m0.contains("=")
+    own = F.when(makes, F.regexp_extract(code, CONSTRUCTOR, 2)).when(acts, F.regexp_extract(m0, METHOD, 3)).when(is_type & code.contains("("), F.regexp_extract(code, DECLARES + rf"(?:\s*+{_ANGLE})?\s*+{_PARAMS}", 2)).otherwise("")
+    fields = [row[c].alias(c) for c in ("owner", "place", "ends", "code", "bare", "attrs", "m0", "using")]
+    return F.struct(*fields, makes.alias("makes"), acts.alias("acts"), own.alias("own"))
+
+
+def _typed(row: Column) -> Column:
+    """The piece with the types of its parameters, of its bases and of itself, where it is a property or a field."""
+    code, ends, own, is_type = row["code"], row["ends"], row["own"], row["place"] == "type"
+    rest = (row["place"] == "member") & ~row["makes"] & ~row["acts"]
+    has = F.when(rest & ((ends == "{") | code.contains("=>")), F.regexp_extract(code, PROPERTY, 1)).otherwise("")
+    holds = F.when(rest, F.regexp_extract(code, FIELD, 1)).otherwise("")
+    bases = F.when(is_type & code.contains(":"), _simple(_all(F.regexp_extract(code, BASES, 3), rf"(?:^|,)\s*+({TYPE})"))).otherwise(F.array().cast(_NONE))
+    fields = [row[c].alias(c) for c in ("owner", "place", "ends", "code", "bare", "attrs", "m0", "using", "makes", "acts", "own")]
+    return F.struct(*fields, has.alias("has"), holds.alias("holds"), _if(own, (" ",), _simple(_all(own, PARAMETER))).alias("params"), bases.alias("bases"))
 
 
 def _found(row: Column) -> Column:
     """The facts of one piece."""
-    owner, place, ends, code, bare, attrs, m0, using = (row[c] for c in ("owner", "place", "ends", "code", "bare", "attrs", "m0", "using"))
+    owner, place, code, bare, attrs, m0, using, makes, acts, own_params, params, bases = (row[c] for c in ("owner", "place", "code", "bare", "attrs", "m0", "using", "makes", "acts", "own", "params", "bases"))
     member, is_type = place == "member", place == "type"
-    makes = member & (row["c1"] != "") & (row["c1"] == owner)
-    acts = member & ~makes & (m0 != "") & ~m0.contains("=")
-    has = member & ~makes & ~acts & ((ends == "{") | code.contains("=>")) & code.rlike(PROPERTY)
-    holds = member & ~makes & ~acts & ~has & code.rlike(FIELD)
+    has = row["has"] != ""
+    holds = ~has & (row["holds"] != "")
     method = F.when(acts, F.regexp_extract(m0, METHOD, 1))
-    own_params = F.when(makes, F.regexp_extract(code, CONSTRUCTOR, 2)).when(acts, F.regexp_extract(m0, METHOD, 3)).when(is_type & code.contains("("), F.regexp_extract(code, DECLARES + rf"(?:\s*+{_ANGLE})?\s*+{_PARAMS}", 2)).otherwise("")
-    params = _if(own_params, (" ",), _simple(_all(own_params, PARAMETER)))
-    bases = F.when(is_type & code.contains(":"), _simple(_all(F.regexp_extract(code, BASES, 3), rf"(?:^|,)\s*+({TYPE})"))).otherwise(F.array().cast(_NONE))
     contracts, classes = F.filter(bases, lambda b: b.rlike(r"^I\p{Lu}")), F.filter(bases, lambda b: ~b.rlike(r"^I\p{Lu}"))
     plain = F.when(is_type, F.regexp_replace(bare, DECLARES, " ")).otherwise(F.regexp_replace(bare, NAMED, "$1"))
-    held = F.when(holds, F.array(F.regexp_extract(code, FIELD, 1))).when(place == "code", _all(bare, LOCAL)).otherwise(F.array().cast(_NONE))
+    held = F.when(holds, F.array(row["holds"])).when(place == "code", _all(bare, LOCAL)).otherwise(F.array().cast(_NONE))
     tried = lambda pattern, *signs: _if(bare, signs, _all(bare, pattern))
     any_code = ~using
     return F.concat(
@@ -163,8 +183,8 @@ def _found(row: Column) -> Column:
         _facts("ref", "ReturnType", _simple(F.array(method)), acts & ~method.isin("void", "Task")),
         _facts("ref", "ParameterType", params, acts),
         _facts("extends", None, F.array(F.regexp_extract(m0, METHOD, 2)), acts & own_params.rlike(r"^\s*+(?:\[[^\]]*+\]\s*+)*+this\s") & m0.rlike(_WORD + r"static\s")),
-        _facts("ref", "PropertyType", _simple(F.array(F.regexp_extract(code, PROPERTY, 1))), has),
-        _facts("ref", "FieldType", _simple(F.array(F.regexp_extract(code, FIELD, 1))), holds),
+        _facts("ref", "PropertyType", _simple(F.array(row["has"])), has),
+        _facts("ref", "FieldType", _simple(F.array(row["holds"])), holds),
         _facts("ref", "LocalType", _simple(F.concat(held, tried(LOOPED, "for", "using", "fixed"), tried(TESTED, "is", "as"), tried(TYPEOF, "typeof", "default"))), any_code),
         _facts("attribute", "Attribute", F.flatten(F.transform(_each(F.array(attrs)), lambda a: F.array(a, F.concat(a, F.lit("Attribute"))))), (is_type | member) & (attrs != "")),
         _facts("ref", "MethodCall", _each(_if(bare, (".",), tried(CALLED, "("))), any_code),
@@ -194,7 +214,10 @@ def facts(files: DataFrame) -> DataFrame:
     rows = rows.select("path", F.explode(kept).alias("x")).select("path", "x.*")
     rows = rows.withColumn("bare", F.regexp_replace("code", _ATTRS, "")).withColumn("attrs", F.regexp_extract("code", _ATTRS, 0))
     # As a lambda over one row's fields: generated code for all patterns at once would be over the JVM's limit of a method.
-    found = F.flatten(F.transform(F.transform(F.array(F.struct("owner", "place", "ends", "code", "bare", "attrs")), _read), _found))
+    row = F.array(F.struct("owner", "place", "ends", "code", "bare", "attrs"))
+    for step in (_read, _acting, _typed):
+        row = F.transform(row, step)
+    found = F.flatten(F.transform(row, _found))
     out = rows.select("path", "owner", F.explode(F.array_distinct(found)).alias("f")).select("path", "owner", "f.*")
     return out.where((F.col("name") != "") & ~F.col("name").isin(tables.SYSTEM_TYPES)).distinct()
 

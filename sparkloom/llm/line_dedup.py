@@ -193,6 +193,8 @@ def dedup_lines(
     gone = line_keys(read).join(common, KEYS).where("doc_id < top_doc").groupBy("doc_id").agg(F.collect_set(F.struct(*KEYS)).alias("gone"))
     gone = ws.save(gone, "gone")
     out = "doc_id long, n_lines long, n_dropped long, kept_sha256 string" + (", kept_text string" if with_text else "")
+    # The texts meet what they lose by sorting at every size: what is lost grows with the corpus and is no side to broadcast.
+    gone = gone.hint("merge")
     if with_text:
         return source.join(gone, "doc_id", "left").mapInArrow(_rebuilder(min_chars, True), out)
     # Only texts that lose lines are built anew; of all others the first pass knows the digest.

@@ -50,6 +50,8 @@ class WordEncoder(Memory):
     #: Fixed values of the tokenizer file: its split pattern.
     PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
     PLAIN = r"[\x21-\x7EÀ-ÖØ-öø-įı-ſ]+"
+    #: ASCII signs: at a word's end they are one piece.
+    SIGNS = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 
     def __init__(self, path: str):
         super().__init__()
@@ -75,7 +77,13 @@ class WordEncoder(Memory):
 
     def __missing__(self, word: bytes) -> bytes:
         if word.isalpha():  # ASCII letters alone are one piece
-            return self.keep(word, self._part(word.lower().decode()))
+            low = word.lower()
+            if low != word:
+                return self.keep(word, self[low])
+            return self.keep(word, array.array("I", [t.id for t in self.model.tokenize(word.decode())]).tobytes())
+        stem = word.rstrip(self.SIGNS)
+        if stem.isalpha() and b"<|" not in word:  # put together at each mention: most such words come once
+            return self[stem] + self._part(word[len(stem) :].decode())
         text = word.decode()
         if not self.plain(text) or "<|" in text:
             return self.keep(word, array.array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes())

@@ -37,3 +37,20 @@ def test_rounds_of_components_broadcast_nothing(spark, monkeypatch):
     found = G.strong_components(spark.range(9), edges)
     assert {tuple(r) for r in found.collect()} == {(0, 0), (1, 0), (2, 0), (3, 3), (4, 3), (5, 5), (6, 6), (7, 7), (8, 8)}
     assert plans and not [p for p in plans if "Broadcast" in p]
+
+
+def test_a_deep_tree_is_walked_without_its_indents(spark):
+    """A chain of 3,000 nodes: its lines take 9 MB, of which the walk holds no indent."""
+    import pyarrow as pa
+
+    from sparkloom.plans import render
+
+    n = 3_000
+    nodes = spark.range(n).selectExpr("id", "concat('n', id) AS label", "id = 2 AS modified")
+    edges = spark.range(n).selectExpr("id AS src", f"(id + 1) % {n} AS dst", "'Call' AS rel", "'High' AS confidence")
+    rows = render.dependency_tree(nodes, edges, nodes.where("id = 0")).orderBy("ord").collect()
+    assert [r["depth"] for r in rows] == list(range(n + 1))
+    assert rows[2]["line"] == "    - n2 [call, high] [MODIFIED]" and rows[n]["line"] == "  " * n + "- n0 [call, high] (circular)"
+    one = {"ws": ["", "", ""], "root": [False, False, True], "src": ["a", "b", None], "dst": ["b", "a", "a"], "rel": ["X", "X", ""], "confidence": ["", "", ""], "label": ["b", "a", "a"], "modified": [False] * 3, "key": ["B", "A", "A"]}
+    kinds = pa.schema([(c, pa.bool_() if c in ("root", "modified") else pa.string()) for c in one])
+    assert render._walk(pa.table(one, schema=kinds)).column("line").to_pylist() == ["- a", "- b [x, ]", "- a [x, ] (circular)"]

@@ -54,12 +54,12 @@ RULE_EDGES = [
 @register("js_edges", "WITH " + C.numbers_sql() + f", plain AS ({_edges(0, *RULE_EDGES[0])[len('WITH ' + C.numbers_sql()):]})"
           + f" SELECT * FROM plain UNION ALL SELECT DISTINCT {C.path_sql(0, 'a.j')}, {C.path_sql(0, 'b.j')}, 'ExtensionMethod' FROM k a JOIN k b ON a.j % 7 = b.j % 7 WHERE a.lang = 0 AND b.lang = 0 AND a.j % 29 <> 0 AND b.j % 29 = 0")
 def js_edges(spark, sf_dir):
-    return _rules(spark, sf_dir, 0, X.prototype_edges)
+    return X.edges_by_rules(C.code_files(spark, sf_dir, 0), X.prototype_names)
 
 
 @register("python_edges", _edges(1, *RULE_EDGES[1], ("j % 5", "ExtensionMethod", "j >= 5")))
 def python_edges(spark, sf_dir):
-    return _rules(spark, sf_dir, 1, X.python_helpers)
+    return X.edges_by_rules(C.code_files(spark, sf_dir, 1), X.helper_names)
 
 
 _MENTIONS = ["j", "t1", "t2", "t3", "t4", "t5"]
@@ -69,7 +69,7 @@ _MENTIONS = ["j", "t1", "t2", "t3", "t4", "t5"]
     *[(t, "Interface", _JA(t) + f" AND {t} % 6 = j % 6") for t in _MENTIONS], *[(f"{t} + 1", "Implementation", f"({t} + 1) % 31 = 7 AND {t} + 1 < m") for t in _MENTIONS],
 ))
 def java_edges(spark, sf_dir):
-    return _rules(spark, sf_dir, 2, X.java_mentions)
+    return X.edges_by_rules(C.code_files(spark, sf_dir, 2), X.java_names)
 
 
 @register("rust_edges", _edges(3, *RULE_EDGES[3]))

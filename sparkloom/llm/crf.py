@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,7 +30,9 @@ MAX_ROWS, MAX_BYTES = 200, 4_000_000
 CHAIN, ROUNDS = 8, 25
 #: Words of a block in forward-backward.
 BLOCK = 64
-CACHE_WORDS = 200_000
+#: Bytes of the texts that a task holds as words and marginals at once (a longer text is alone), and what a text counts for at least.
+RUN_BYTES, LEAST_BYTES = 1 << 18, 6 * BLOCK
+CACHE_WORDS = 100_000
 MARKS = b".,;:!?|\"'()[]{}<>*_#&%$=+-/\\"
 #: A letter; numerals such as a half are word characters and no letters.
 LETTER = regex.compile(r"\p{L}")
@@ -255,15 +258,14 @@ def _predictor(model, field: int | None):
         tagger = Tagger(model.value)
         names = model.value.labels
         for b in batches:
-            texts = (b.column(0).field(field) if field is not None else b.column(1)).cast(pa.large_string()).to_pylist()
+            texts = (b.column(0).field(field) if field is not None else b.column(1)).cast(pa.large_string())
+            # A text takes whole blocks, so a short one counts as a block's words.
+            lengths = np.maximum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), LEAST_BYTES)
+            ends = np.cumsum(lengths)
             lo = 0
             while lo < len(texts):
-                # Runs of about a million characters bound a task's memory; a longer text is a run of its own.
-                hi, chars = lo, 0
-                while hi < len(texts) and (hi == lo or chars + len(texts[hi] or "") <= 1_000_000):
-                    chars += len(texts[hi] or "")
-                    hi += 1
-                part = [t or "" for t in texts[lo:hi]]
+                hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + RUN_BYTES, "right")))
+                part = [t or "" for t in texts.slice(lo, hi - lo).to_pylist()]
                 spoken = np.array([bool(LETTER.search(t)) for t in part])
                 share = tagger.shares([t if ok else "" for t, ok in zip(part, spoken)]) if names else np.zeros((len(part), 1))
                 best = share.argmax(axis=1)

@@ -352,3 +352,21 @@ def test_pipeline_odd_rows(spark, tmp_path):
     assert mixed.columns == docs.columns and mixed.where("doc_id = 3").groupBy("doc").count().where("count > 2").count() == 0
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), "").count() == 0, name
+
+
+def test_language_runs_hold_few_short_texts():
+    """Short texts take a whole block each, so their number bounds a run as well as their bytes."""
+    texts = [f"word{i}" for i in range(3000)] + [None, "", "x" * (2 * crf.RUN_BYTES), "one more"]
+    held = []
+
+    class Told:
+        value = crf.train(["the cat", "le chat"], ["en", "fr"])
+
+    real = crf.Tagger.shares
+    crf.Tagger.shares = lambda self, part: held.append(len(part)) or real(self, part)
+    try:
+        batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], ["doc_id", "text"])
+        rows = [x for b in crf._predictor(Told, None)(iter([batch])) for x in b.column(0).to_pylist()]
+    finally:
+        crf.Tagger.shares = real
+    assert rows == list(range(len(texts))) and max(held) <= crf.RUN_BYTES // crf.LEAST_BYTES

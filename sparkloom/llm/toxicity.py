@@ -13,8 +13,8 @@ length over the whole text and over its most toxic stretches; a logistic curve f
 rows apart from the counted ones makes it a probability.
 
 Counts come from every labelled row and stay in Spark.  The words and spellings of most
-contexts are broadcast, up to stated numbers; where there are more, a document's other words get their ratios
-by joins, with the same values.
+contexts and the pairs of most gain are broadcast, up to stated numbers; where there are more, a document's
+other words and pairs get their ratios by joins, with the same values.
 """
 
 from __future__ import annotations
@@ -43,8 +43,10 @@ STRETCHES = (1, 8)
 HELD_ROWS = 1_500
 #: Bounds of the words and spellings that are broadcast, 16 bytes each; ratios of others are joined.
 MAX_WORDS, MAX_GRAMS = 4_000_000, 1_000_000
-#: Bound of the kept pairs.
+#: Bound of the kept pairs that are broadcast, those of most gain; ratios of others are joined.
 MAX_PAIRS = 2_000_000
+#: Bits for each other pair, and at most, of the filter that tells which of a text's pairs may be such.
+FAR_BITS, MOST_FAR_BITS = 16, 1 << 27
 #: Bits for each labelled id, and at most, of the filter that keeps most other texts out of the join with labels.
 FILTER_BITS, MOST_BITS = 16, 1 << 29
 #: A spelling needs so many contexts of a class to be counted there.
@@ -103,15 +105,27 @@ class Table:
         return out
 
 
+class Filter:
+    """Which keys may be in a set: those whose bit is set; none of the set is missed."""
+
+    def __init__(self, bits: np.ndarray):
+        self.bits = bits
+
+    def may(self, keys: np.ndarray) -> np.ndarray:
+        at = keys % (8 * len(self.bits))
+        return (self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
+
 class ToxicModel:
     """Log-likelihood ratios (toxic over ordinary) of words after words, with their spelling as backoff.
 
-    ``whole`` says whether the tables hold all ratios; without it a word that is not in
-    ``words`` has none here.
+    ``whole`` says whether the tables hold all ratios of words; without it a word that is not in
+    ``words`` has none here.  ``far`` tells which pairs, and first words of pairs, may be kept
+    and not be here; without it there are none.
     """
 
-    def __init__(self, words: Table, pairs: Table, seconds: Table, backoffs: Table, grams: Table, contexts: Table, whole: bool):
-        self.words, self.pairs, self.backoffs, self.grams, self.contexts, self.whole = words, pairs, backoffs, grams, contexts, whole
+    def __init__(self, words: Table, pairs: Table, seconds: Table, backoffs: Table, grams: Table, contexts: Table, whole: bool, far: Filter | None = None):
+        self.words, self.pairs, self.backoffs, self.grams, self.contexts, self.whole, self.far = words, pairs, backoffs, grams, contexts, whole, far
         self.seconds = seconds  # the second words of all kept pairs
 
     def spelled(self, words: list[str]) -> np.ndarray:
@@ -137,6 +151,10 @@ class Scorer:
         self.ratio = np.zeros(1)
         self.after = self.model.backoffs.get(self.keys)
         self.ends = self.model.seconds.get(self.keys) > 0
+        self.open = self._open(self.keys)
+
+    def _open(self, keys: np.ndarray) -> np.ndarray:
+        return self.model.far.may(keys) if self.model.far else np.zeros(len(keys), bool)
 
     def _learn(self, words: list[str]) -> None:
         keys = np.array([key_of(w) for w in words], np.int64)
@@ -148,9 +166,10 @@ class Scorer:
         self.keys, self.ratio = np.concatenate([self.keys, keys]), np.concatenate([self.ratio, ratio])
         self.after = np.concatenate([self.after, self.model.backoffs.get(keys)])
         self.ends = np.concatenate([self.ends, self.model.seconds.get(keys) > 0])
+        self.open = np.concatenate([self.open, self._open(keys)])
 
-    def ratios(self, texts: list[list[str]]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        """For each text its words' ratios, NaN where the tables have none, and the backoff part of each."""
+    def ratios(self, texts: list[list[str]]) -> list[np.ndarray]:
+        """For each text its words' ratios, NaN where the tables have none or may lack the pair."""
         if len(self.known) > CACHE_WORDS:
             self.forget()
         new = list({w for t in texts for w in t if w not in self.known})
@@ -159,17 +178,20 @@ class Scorer:
         known = self.known
         at = np.array([i for t in texts for i in (0, *(known[w] for w in t))], np.int64)
         if not len(at):
-            return [], []
+            return []
         before = self.after[at[:-1]]
+        begins = ~np.isnan(before)
         # Only words that begin kept pairs, before words that end some, are looked up as pairs.
-        may = np.flatnonzero(~np.isnan(before) & self.ends[at[1:]])
-        before = np.nan_to_num(before)
-        told = self.ratio[at[1:]] + before
+        may = np.flatnonzero(begins & self.ends[at[1:]])
+        told = self.ratio[at[1:]] + np.nan_to_num(before)
         pairs = self.model.pairs.get(pair_key(self.keys[at[may]], self.keys[at[may + 1]]))
         told[may] = np.where(np.isnan(pairs), told[may], pairs)
+        if self.model.far:
+            told[self.open[at[:-1]]] = np.nan
+            begin = np.flatnonzero(begins)
+            told[begin[self.model.far.may(pair_key(self.keys[at[begin]], self.keys[at[begin + 1]]))]] = np.nan
         ends = np.cumsum([len(t) + 1 for t in texts])
-        cut = [(e - len(t) - 1, e - 1) for e, t in zip(ends, texts)]
-        return [told[a:b] for a, b in cut], [before[a:b] for a, b in cut]
+        return [told[e - len(t) - 1 : e - 1] for e, t in zip(ends, texts)]
 
 
 def best_stretches(a: np.ndarray) -> list[float]:
@@ -274,7 +296,7 @@ def _named(batches):
             yield pa.RecordBatch.from_arrays([pa.array(new, pa.string())], ["word"])
 
 
-EVIDENCE = "label int, doc_id long, n int, total double, best array<double>, ratios array<double>, lengths array<int>, words array<string>, bases array<double>"
+EVIDENCE = "label int, doc_id long, n int, total double, best array<double>, ratios array<double>, lengths array<int>, words array<string>, befores array<string>"
 
 
 def _evidence(model):
@@ -286,16 +308,16 @@ def _evidence(model):
             for part in parts(b):
                 rows = []
                 texts = [words_of(t or "") for t in part.column("text").to_pylist()]
-                ratios, before = scorer.ratios(texts)
-                for label, doc, words, a, base in zip(part.column("label").to_pylist(), part.column("doc_id").to_pylist(), texts, ratios, before):
+                for label, doc, words, a in zip(part.column("label").to_pylist(), part.column("doc_id").to_pylist(), texts, scorer.ratios(texts)):
                     if not words:
                         rows.append((label, doc, 0, 0.0, [0.0] * len(STRETCHES), [], [], [], []))
                         continue
                     ranges = around_gaps(a)
                     kept = [x for i, j in ranges for x in a[i:j].tolist()]
-                    gaps = np.flatnonzero(np.isnan(a))
-                    rows.append((label, doc, len(words), float(np.nansum(a)), best_stretches(a), kept, [j - i for i, j in ranges], [words[i] for i in gaps], base[gaps].tolist()))
-                kinds = (pa.int32(), pa.int64(), pa.int32(), pa.float64(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.list_(pa.int32()), pa.list_(pa.string()), pa.list_(pa.float64()))
+                    gaps = np.flatnonzero(np.isnan(a)).tolist()
+                    befores = [words[i - 1] if i else "" for i in gaps]
+                    rows.append((label, doc, len(words), float(np.nansum(a)), best_stretches(a), kept, [j - i for i, j in ranges], [words[i] for i in gaps], befores))
+                kinds = (pa.int32(), pa.int64(), pa.int32(), pa.float64(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.list_(pa.int32()), pa.list_(pa.string()), pa.list_(pa.string()))
                 names = [c.split()[0] for c in EVIDENCE.split(", ")]
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names)
 
@@ -309,13 +331,18 @@ def _direct(model):
         scorer = Scorer(model.value)
         for b in batches:
             for part in parts(b):
-                ratios, _ = scorer.ratios([words_of(t or "") for t in part.column("text").to_pylist()])
+                ratios = scorer.ratios([words_of(t or "") for t in part.column("text").to_pylist()])
                 xs = [features(len(a), float(a.sum()), best_stretches(a) if len(a) else []) for a in ratios]
                 yield pa.RecordBatch.from_arrays([part.column("label"), part.column("doc_id"), pa.array(xs, pa.list_(pa.float64()))], ["label", "doc_id", "x"])
 
     return run
 
 
+def _pair_keys(batches):
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([pa.array(pair_key(b.column("v").to_numpy(), b.column("w").to_numpy()))], ["key"])
+
+
 def _spelled(model):
     def run(batches):
         for b in batches:
@@ -327,12 +354,12 @@ def _spelled(model):
 def _filled(batches):
     for b in batches:
         xs = []
-        columns = (b.column(c).to_pylist() for c in ("n", "total", "best", "ratios", "lengths", "words", "bases", "found"))
-        for n, total, best, kept, lengths, words, bases, found in zip(*columns):
+        columns = (b.column(c).to_pylist() for c in ("n", "total", "best", "ratios", "lengths", "words", "befores", "found"))
+        for n, total, best, kept, lengths, words, befores, found in zip(*columns):
             if words:
-                known = {f["word"]: f["ratio"] for f in found}
+                known = {(f["before"], f["word"]): f["ratio"] for f in found}
                 a = np.array(kept, float)
-                fill = [known[w] + x for w, x in zip(words, bases)]
+                fill = [known[p] for p in zip(befores, words)]
                 a[np.isnan(a)] = fill
                 total += sum(fill)
                 cut = np.cumsum([0, *lengths])
@@ -366,26 +393,45 @@ def word_chances(words: DataFrame) -> DataFrame:
 def pair_chances(pairs: DataFrame, words: DataFrame, ws: Workspace) -> tuple[DataFrame, DataFrame]:
     """(v, w, p0, p1) of the kept ``pairs`` (v, w, c0, c1), and (v, b0, b1), the share that backs off after v.
 
-    After any v, class c's chance of w is p_c of the pair, or b_c times the word's own where the pair is
+    Where ``pairs`` tell which are near, both do too; a word v is near with any of its pairs.  After any v, class c's chance of w is p_c of the pair, or b_c times the word's own where the pair is
     not kept; over all words they add up to 1.  A text's end is a word, so what follows v is as often as v.
     """
     t0, t1 = (x or 0 for x in words.agg(F.sum("t0"), F.sum("t1")).first())
     lead = words.select(F.col("w").alias("v"), *[(F.col(f"t{c}") + F.lit(max(t, 1) / max(t0 + t1, 1))).alias(f"n{c}") for c, t in enumerate((t0, t1))])
     own = lambda c: F.greatest(F.col(f"c{c}") - DISCOUNT, F.lit(0.0))
     kept = pairs.join(lead, "v").join(words.select("w", "p0", "p1"), "w")
-    sums = pairs.groupBy("v").agg(F.count("*").alias("k"), F.sum(own(0)).alias("o0"), F.sum(own(1)).alias("o1"))
+    near = [c for c in pairs.columns if c == "near"]
+    sums = pairs.groupBy("v").agg(F.count("*").alias("k"), F.sum(own(0)).alias("o0"), F.sum(own(1)).alias("o1"), *[F.max(c).alias(c) for c in near])
     heads = sums.join(lead, "v")
     for c in (0, 1):
         share = F.lit(SHARED) * F.col(f"n{c}") / (F.col("n0") + F.col("n1"))
         heads = heads.withColumn(f"s{c}", share).withColumn(f"z{c}", F.col(f"n{c}") + share * F.col("k")).withColumn(f"b{c}", (F.col(f"n{c}") - F.col(f"o{c}")) / F.col(f"z{c}"))
-    heads = ws.save(heads.select("v", "s0", "s1", "z0", "z1", "b0", "b1"), "heads")
-    kept = kept.drop("n0", "n1").join(heads, "v")
+    heads = ws.save(heads.select("v", "s0", "s1", "z0", "z1", "b0", "b1", *near), "heads")
+    kept = kept.drop("n0", "n1").join(heads.drop(*near), "v")
     told = [((own(c) + F.col(f"s{c}")) / F.col(f"z{c}") + F.col(f"b{c}") * F.col(f"p{c}")).alias(f"p{c}") for c in (0, 1)]
-    return ws.save(kept.select("v", "w", *told), "pairs"), heads.select("v", "b0", "b1")
+    return ws.save(kept.select("v", "w", *told, *near), "pairs"), heads.select("v", "b0", "b1", *near)
+
+
+def least_within(table: DataFrame, column: Column, most: int) -> tuple[float, bool]:
+    """The least value of ``column`` such that at most ``most`` rows have it or a greater one, and whether these are all.
+
+    A row for each value comes to the driver.
+    """
+    least, rows = math.inf, 0
+    for g, k in sorted(map(tuple, table.groupBy(column.alias("g")).count().collect()), reverse=True):
+        rows += k
+        if rows > most:
+            break
+        least = float(g)
+    return least, rows <= most
 
 
 class Tables:
-    """Ratios of all words, kept pairs, spellings and their histories, as Spark tables, and a broadcast model of the first."""
+    """Ratios of all words, kept pairs, spellings and their histories, as Spark tables, and a broadcast model of the first.
+
+    Pairs that are not near are not broadcast; they, and the words that begin no near one, are told by
+    a filter of bounded size; what it may hold is joined with the tables.
+    """
 
     def __init__(self, words: DataFrame, pairs: DataFrame, ws: Workspace):
         spark = words.sparkSession
@@ -394,12 +440,21 @@ class Tables:
         self._spell(words.where("word <> ''"), ws)
         chances, backs = pair_chances(pairs, words, ws)
         found, all_words = self._first(self.words, ["w"], MAX_WORDS)
-        both = chances.select("v", "w", F.log(F.col("p1") / F.col("p0")).alias("ratio")).toArrow()  # MAX_PAIRS rows at most
-        back = backs.select("v", F.log(F.col("b1") / F.col("b0")).alias("ratio")).toArrow()  # no more rows than kept pairs
+        all_pairs = "near" not in pairs.columns
+        near = F.lit(True) if all_pairs else F.col("near")
+        self.pairs = chances.select("v", "w", F.log(F.col("p1") / F.col("p0")).alias("ratio"), near.alias("near"))
+        self.backs = backs.select("v", F.log(F.col("b1") / F.col("b0")).alias("ratio"), near.alias("near"))
+        both = self.pairs.where("near").drop("near").toArrow()  # MAX_PAIRS rows at most
+        back = self.backs.where("near").drop("near").toArrow()  # no more rows than these pairs
+        far = None
+        if not all_pairs:
+            others = self.pairs.where("NOT near").select("v", "w").mapInArrow(_pair_keys, "key long").unionByName(self.backs.where("NOT near").select(F.col("v").alias("key")))
+            far = self._filter(ws.save(others, "far"))
         grams, all_grams = self._first(self.grams.withColumn("key", F.xxhash64("gram")), ["key"], MAX_GRAMS)
         contexts, all_contexts = self._first(self.contexts.withColumn("key", F.xxhash64("past")), ["key"], MAX_GRAMS)
         self.spells = all_grams and all_contexts
-        self.whole = all_words and self.spells
+        whole = all_words and self.spells
+        self.whole = whole and all_pairs
         spelled = lambda t: Table(t["key"].to_numpy()[: t.num_rows * self.spells], values(t)[: t.num_rows * self.spells])
         values = lambda t: t["ratio"].to_numpy()
         ws.drop(words)
@@ -407,20 +462,24 @@ class Tables:
         model = ToxicModel(
             Table(found["w"].to_numpy(), values(found)), Table(pair_key(both["v"].to_numpy(), both["w"].to_numpy()), values(both)),
             Table(ends, np.ones(len(ends))), Table(back["v"].to_numpy(), values(back)),
-            spelled(grams), spelled(contexts), self.whole,
+            spelled(grams), spelled(contexts), whole, far,
         )
         self.model = spark.sparkContext.broadcast(model)
 
     @staticmethod
     def _first(table: DataFrame, keys: list[str], most: int) -> tuple[pa.Table, bool]:
         """At most ``most`` rows, those of most contexts, and whether these are all."""
-        least, rows = math.inf, 0
-        for n, k in sorted(map(tuple, table.groupBy("n").count().collect()), reverse=True):  # a row for each number of contexts
-            rows += k
-            if rows > most:
-                break
-            least = n
-        return table.where(F.col("n") >= F.lit(float(least))).select(*keys, "ratio").toArrow(), rows <= most
+        least, whole = least_within(table, F.col("n"), most)
+        return table.where(F.col("n") >= F.lit(least)).select(*keys, "ratio").toArrow(), whole
+
+    @staticmethod
+    def _filter(keys: DataFrame) -> Filter:
+        """A filter of ``keys`` (key), ``FAR_BITS`` for each and ``MOST_FAR_BITS`` at most."""
+        size = min(MOST_FAR_BITS, 32_768 * max(1, -(-keys.count() * FAR_BITS // 32_768)))
+        out = np.zeros(size // 8, np.uint8)
+        for r in bit_rows(keys, F.pmod("key", F.lit(size))).toLocalIterator():
+            out[r["bucket"] * 4_096 : (r["bucket"] + 1) * 4_096] = np.frombuffer(r["bits"], np.uint8)
+        return Filter(out)
 
     def _spell(self, counts: DataFrame, ws: Workspace) -> None:
         top = counts.select(F.explode(_grams(F.col("word"))).alias("gram"), "c0", "c1").groupBy("gram").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
@@ -455,18 +514,24 @@ class Tables:
         spelled = spelled.withColumn("ratio", F.greatest(F.lit(-SPELLED), F.least(F.lit(SPELLED), F.col("ratio"))))
         return known.where("ratio IS NOT NULL").unionByName(spelled)
 
+    def told(self, asked: DataFrame, ws: Workspace) -> DataFrame:
+        """before, word, ratio of distinct ``asked`` (before, word), from the whole tables: a kept pair's, or the word's with what backs off."""
+        known = asked.join(self.ratios(asked.select("word").distinct(), ws), "word").withColumn("v", F.xxhash64("before")).withColumn("w", F.xxhash64("word"))
+        known = known.join(self.backs.select("v", F.col("ratio").alias("after")), "v", "left").join(self.pairs.select("v", "w", F.col("ratio").alias("pair")), ["v", "w"], "left")
+        return known.select("before", "word", F.coalesce("pair", F.col("ratio") + F.coalesce("after", F.lit(0.0))).alias("ratio"))
+
     def features(self, rows: DataFrame, ws: Workspace) -> DataFrame:
         """label, doc_id, x of ``rows`` (label, doc_id, text)."""
         schema = "label int, doc_id long, x array<double>"
         if self.whole:
             return rows.mapInArrow(_direct(self.model), schema)
         out = rows.mapInArrow(_evidence(self.model), EVIDENCE)
-        none = F.array().cast("array<struct<word:string,ratio:double>>")
+        none = F.array().cast("array<struct<before:string,word:string,ratio:double>>")
         out = ws.save(out.withColumn("row", F.monotonically_increasing_id()), "evidence")
-        asked = out.select("row", F.explode(F.array_distinct("words")).alias("word"))
-        told = self.ratios(asked.select("word").distinct(), ws)
+        asked = out.select("row", F.explode(F.array_distinct(F.arrays_zip("befores", "words"))).alias("p")).select("row", F.col("p.befores").alias("before"), F.col("p.words").alias("word"))
+        told = ws.save(self.told(ws.save(asked.select("before", "word").distinct(), "asked"), ws), "told")
         # A row's list is no longer than its text.
-        found = asked.join(told, "word").groupBy("row").agg(F.collect_list(F.struct("word", "ratio")).alias("found"))
+        found = asked.join(told, ["before", "word"]).groupBy("row").agg(F.collect_list(F.struct("before", "word", "ratio")).alias("found"))
         full = out.where(F.size("words") == 0).withColumn("found", none).unionByName(out.where(F.size("words") > 0).join(found, "row"))
         return full.mapInArrow(_filled, schema)
 
@@ -478,11 +543,12 @@ def hot_words(sample: DataFrame) -> np.ndarray:
     return counts.where(F.col("n") >= F.lit(HOT_PART * total)).select("w").toArrow()["w"].to_numpy()  # 1 / HOT_PART rows at most
 
 
-def count_contexts(rows: DataFrame, toxic_share: float, ws: Workspace, hot: np.ndarray | None = None) -> tuple[DataFrame, DataFrame]:
+def count_contexts(rows: DataFrame, toxic_share: float, ws: Workspace, hot: np.ndarray | None = None, *, every: bool = False) -> tuple[DataFrame, DataFrame]:
     """Words and kept pairs of all ``rows`` (label, text).
 
     Words: w (key), word, c0, c1 (distinct words before it in texts of each class), t0, t1 (how often it stands there).
-    Pairs: v, w, c0, c1 (how often w follows v) where ``GAIN`` keeps them.  The empty word is a text's start and end.
+    Pairs: v, w, c0, c1 (how often w follows v) where ``GAIN`` keeps them: with ``every`` all, as a model needs them, and
+    where they are more than ``MAX_PAIRS`` whether each is near, of those of most gain; without it the near ones, for a look at them.  The empty word is a text's start and end.
     All pairs move once, combined in each task, to the tasks of their word (several for a ``hot`` one); both tables are made there.
     """
     hot = np.array([], np.int64) if hot is None else hot
@@ -504,18 +570,21 @@ def count_contexts(rows: DataFrame, toxic_share: float, ws: Workspace, hot: np.n
     names = all_.where("kind = 'names'").select(F.xxhash64("word").alias("w"), F.col("word").alias("name"))
     words = all_.where("kind = 'words'").select("w", "c0", "c1", "t0", "t1").join(names, "w", "left").withColumn("word", F.coalesce("name", F.lit(""))).drop("name")
     pairs = all_.where("kind = 'pairs'")
-    # Beyond MAX_PAIRS the pairs of least gain back off, like all that are not kept.
-    least, rows = math.inf, 0
-    for g, k in sorted(map(tuple, pairs.groupBy(F.least(F.col("t0"), F.lit(100_000)).alias("g")).count().collect()), reverse=True):
-        rows += k
-        if rows > MAX_PAIRS:
-            break
-        least = g
-    words, pairs = ws.save(words, "words"), ws.save(pairs.where(F.col("t0") >= F.lit(float(least))).select("v", "w", "c0", "c1"), "marked")
+    gain = F.least(F.col("t0"), F.lit(100_000))
+    least, whole = least_within(pairs, gain, MAX_PAIRS)
+    near = gain >= F.lit(least)
+    pairs = (pairs if whole or every else pairs.where(near)).select("v", "w", "c0", "c1", *([near.alias("near")] if every and not whole else []))
+    words, pairs = ws.save(words, "words"), ws.save(pairs, "marked")
     ws.drop(all_)
     return words, pairs
 
 
+def bit_rows(keys: DataFrame, place: Column) -> DataFrame:
+    """(bucket, bits): a bitmap of ``place``, 32,768 bits a row."""
+    at = keys.select(place.alias("at")).select(F.expr("at div 32768").alias("bucket"), F.expr("at % 32768").alias("bit"))
+    return at.groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits"))
+
+
 def maybe_labelled(source: DataFrame, labels: DataFrame, ws: Workspace) -> DataFrame:
     """``source`` without most rows whose doc_id has no label; none that has one is lost.
 
@@ -525,8 +594,7 @@ def maybe_labelled(source: DataFrame, labels: DataFrame, ws: Workspace) -> DataF
     n = labels.count()
     size = min(MOST_BITS, 32_768 * max(1, -(-n * FILTER_BITS // 32_768)))
     place = F.pmod(F.xxhash64("doc_id"), F.lit(size))
-    bits = labels.select(place.alias("at")).select(F.expr("at div 32768").alias("bucket"), F.expr("at % 32768").alias("bit")).groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits"))
-    bits = ws.save(bits, "filter")
+    bits = ws.save(bit_rows(labels, place), "filter")
     placed = source.withColumn("_at", place).withColumn("bucket", F.expr("_at div 32768"))
     found = placed.join(F.broadcast(bits), "bucket")  # MOST_BITS at most
     byte = F.conv(F.hex(F.expr("substring(bits, int((_at % 32768) div 8) + 1, 1)")), 16, 10).cast("int")
@@ -550,7 +618,7 @@ def fit(source: DataFrame, labels: DataFrame, ws: Workspace) -> tuple[Tables, np
     few = F.broadcast(held.select("label", "h"))  # 2 * HELD_ROWS at most
     sample = near.join(F.broadcast(held.select("label", "h", "doc_id")), ["h", "doc_id"]).dropDuplicates(["label", "h"])
     sample = ws.save(sample, "sample").select("label", "doc_id", "text")
-    counts = count_contexts(near.join(labels, "doc_id").join(few, ["label", "h"], "left_anti").select("label", "text"), toxic_share, ws, hot_words(sample))
+    counts = count_contexts(near.join(labels, "doc_id").join(few, ["label", "h"], "left_anti").select("label", "text"), toxic_share, ws, hot_words(sample), every=True)
     tables = Tables(*counts, ws)
     ws.drop(*counts)
     x = tables.features(sample, ws).toArrow()  # 2 * HELD_ROWS rows at most

@@ -195,6 +195,26 @@ def test_toxicity_reads_pairs_of_words(spark):
     assert sum((got[i] >= 0.5) == (i % 3 == 0) for i in range(700, 900)) >= 190
 
 
+@pytest.mark.parametrize("most", [0, 40])
+def test_toxicity_joins_pairs_beyond_the_bound(spark, monkeypatch, most):
+    """Pairs that are not broadcast, and words that begin no other, give the same scores by joins."""
+    rng = random.Random(9)
+    plain = [f"w{i}" for i in range(30)]
+    rows = []
+    for i in range(900):
+        words = [rng.choice(plain) for _ in range(24)]
+        for at in (2, 8, 14):
+            k = rng.randrange(60)
+            words[at : at + 2] = [f"a{k}", f"b{k}"] if i % 3 == 0 else [f"b{k}", f"a{k}"]
+        rows.append((i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(700)], "doc_id long, label int")
+    want = {r["doc_id"]: r["score"] for r in toxicity.score_toxicity(docs, labels).collect()}
+    monkeypatch.setattr(toxicity, "MAX_PAIRS", most)
+    got = {r["doc_id"]: r["score"] for r in toxicity.score_toxicity(docs, labels).collect()}
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-9 for i in want)
+
+
 def test_toxicity_filter_keeps_every_labelled_row(spark):
     docs = spark.range(3000).selectExpr("id AS doc_id", "'t' AS text")
     labels = spark.range(0, 3000, 7).selectExpr("id AS doc_id", "1 AS label")

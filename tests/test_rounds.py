@@ -39,6 +39,15 @@ def test_rounds_of_components_broadcast_nothing(spark, monkeypatch):
     assert plans and not [p for p in plans if "Broadcast" in p]
 
 
+def test_rounds_of_page_rank_broadcast_nothing(spark, monkeypatch):
+    plans, write = [], G.materialise
+    monkeypatch.setattr(G, "materialise", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or write(df))
+    edges = spark.createDataFrame([(0, 1), (1, 2), (2, 0), (2, 3)], "src long, dst long")
+    found = {r["id"]: r["rank"] for r in G.pagerank(spark.range(5), edges, iterations=2).collect()}
+    assert len(found) == 5 and abs(sum(found.values()) - 1) < 1e-12
+    assert len(plans) == 4 and not [p for p in plans if "Broadcast" in p]
+
+
 def test_a_deep_tree_is_walked_without_its_indents(spark):
     """A chain of 3,000 nodes: its lines take 9 MB, of which the walk holds no indent."""
     import pyarrow as pa

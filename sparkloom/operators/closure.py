@@ -46,11 +46,12 @@ def closure(files: DataFrame | Shelves, roots: DataFrame, adapters: Adapters | N
     languages, whose further files of the roots' languages are reached and not read.  ``every``
     follows all languages alike, as for a set of changed files.  A round reads the texts that the
     last one newly reached, and no text is read twice; what they name is looked up in
-    an index of paths.  Roots that are no files are left out; null texts name nothing.
+    an index of paths, which no round broadcasts.  Roots that are no files are left out; null texts name nothing.
     """
     adapters = adapters or Adapters()
     shelves = files if isinstance(files, Shelves) else Shelves(files)
     known = materialise(X.file_index(shelves.table.select("path")))
+    looked = known.hint("merge")
     lang = language(extension(F.col("path")))
     reached, parsed = Levels(known.sparkSession), Levels(known.sparkSession)
     delta = reached.add(known.join(roots.select("path").distinct(), "path", "left_semi").select("path", lang.alias("language"), F.lit(0).alias("round")))
@@ -63,8 +64,8 @@ def closure(files: DataFrame | Shelves, roots: DataFrame, adapters: Adapters | N
             turn += 1
             todo = parsed.add(delta.select("path"))
             named = materialise(adapters.matches(shelves.texts(todo)).drop("adapter"))
-            found = X.resolved(named, known).unionByName(X.companions(X.file_index(todo), known)).select(F.col("dst").alias("path")).distinct()
-            fresh = found.join(reached.all().select("path"), "path", "left_anti")
+            found = X.resolved(named, looked).unionByName(X.companions(X.file_index(todo), looked)).select(F.col("dst").alias("path")).distinct()
+            fresh = found.join(reached.all().select("path").hint("merge"), "path", "left_anti")
             delta = reached.add(fresh.select("path", lang.alias("language"), F.lit(turn).alias("round"))).where(phase)
     done = parsed.all().withColumn("parsed", F.lit(True)) if turn else known.select("path").where("false").withColumn("parsed", F.lit(True))
-    return reached.all().join(done, "path", "left").withColumn("parsed", F.coalesce("parsed", F.lit(False)))
+    return reached.all().join(done.hint("merge"), "path", "left").withColumn("parsed", F.coalesce("parsed", F.lit(False)))

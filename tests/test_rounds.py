@@ -48,6 +48,19 @@ def test_rounds_of_page_rank_broadcast_nothing(spark, monkeypatch):
     assert len(plans) == 4 and not [p for p in plans if "Broadcast" in p]
 
 
+def test_rounds_of_the_closure_do_not_broadcast_the_index(spark, monkeypatch):
+    from sparkloom.operators import closure as CL
+    from sparkloom.sources.shared import Levels
+
+    plans, write = [], Levels.add
+    monkeypatch.setattr(Levels, "add", lambda self, df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or write(self, df))
+    files = spark.createDataFrame([("a/x.ts", 'import y from "./y"'), ("a/y.ts", 'import z from "./z"'), ("a/z.ts", ""), ("a/w.ts", "")], "path string, content string")
+    found = CL.closure(files, spark.createDataFrame([("a/x.ts",)], "path string"))
+    assert {(r["path"], r["round"], r["parsed"]) for r in found.collect()} == {("a/x.ts", 0, True), ("a/y.ts", 1, True), ("a/z.ts", 2, True)}
+    rounds = [p for p in plans if "LeftAnti" in p]
+    assert len(rounds) == 3 and not [p for p in rounds if "Broadcast" in p]
+
+
 def test_a_deep_tree_is_walked_without_its_indents(spark):
     """A chain of 3,000 nodes: its lines take 9 MB, of which the walk holds no indent."""
     import pyarrow as pa

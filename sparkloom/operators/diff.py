@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions import tables
 from sparkloom.functions import text as T
+from sparkloom.sources.shared import materialise
 
 #: Symbol, hunk and fix patterns.
 SYMBOL = (
@@ -15,6 +16,8 @@ SYMBOL = (
     r"|(?:^\s*(?:export\s+)?(?:const|let|var)\s+([A-Za-z_][A-Za-z0-9_]*)\s*=\s*(?:async\s*)?(?:\([^)]*\)|[A-Za-z_][A-Za-z0-9_]*)\s*=>)"
 )
 HUNK = r"^@@\s+-[0-9]+(?:,[0-9]+)?\s+\+[0-9]+(?:,[0-9]+)?\s+@@\s*(.*)\z"
+#: How each line begins that ``SYMBOL`` matches: it is tried on such lines only, which are few.
+STARTS = r"^\s*+(?:public|private|protected|internal|export|async|static|virtual|override|abstract|sealed|partial|default|class|interface|struct|enum|record|function|def|fn|func|trait|impl|type|const|let|var)"
 FIX = r"(?i)(?:^|[^\p{L}\p{Mn}\p{Nd}\p{Pc}])(?:try|catch|NullReference|ArgumentNullException|fallback|fix|bug)(?:[^\p{L}\p{Mn}\p{Nd}\p{Pc}]|\z)|(?:!==?\s*null|===?\s*null|\?\.)"
 
 
@@ -22,7 +25,7 @@ def symbol(line: Column) -> Column:
     """The declared name on a line that is no keyword, or null."""
     names = [F.regexp_extract(line, SYMBOL, g) for g in (1, 2, 3)]
     good = [F.when((n != "") & ~n.isin(tables.DIFF_KEYWORDS), n) for n in names]
-    return F.coalesce(*good)
+    return F.when(line.rlike(STARTS), F.coalesce(*good))
 
 
 def parsed(lines: DataFrame) -> DataFrame:
@@ -121,7 +124,10 @@ def snippets(diffs: DataFrame, each: int = 2000, total: int = 12000) -> DataFram
 
 
 def summaries(lines: DataFrame) -> DataFrame:
-    """(path, status, insertions, deletions, fixes, added, modified, removed, n_added): ``stats`` and ``symbol_sets`` of each file in one pass over the lines."""
+    """(path, status, insertions, deletions, fixes, added, modified, removed, n_added): ``stats`` and ``symbol_sets`` of each file in one pass over the lines.
+
+    Written at once: what is made of it reads it several times, and each would parse all lines again.
+    """
     p = parsed(lines)
     n = lambda c: F.sum(F.when(c, 1).otherwise(0))
     kinds = [F.max(F.col("kind") == k).alias(k) for k in ("add", "del", "hunk")]
@@ -132,7 +138,7 @@ def summaries(lines: DataFrame) -> DataFrame:
     out = by_symbol.groupBy("path", "status").agg(
         F.sum("i").alias("insertions"), F.sum("d").alias("deletions"), F.sum("f").alias("fixes"), pick(add & ~gone).alias("added"), pick((add & gone) | (hunk & ~add)).alias("modified"), pick(gone & ~add).alias("removed")
     )
-    return out.withColumn("n_added", F.size("added"))
+    return materialise(out.withColumn("n_added", F.size("added")))
 
 
 def _listed(symbols: Column, most: int) -> Column:

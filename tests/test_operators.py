@@ -175,6 +175,22 @@ def test_diff_sets_and_message(spark):
     assert D.draft(ch, "de", "g").first()["bullet"] == "- Aktualisieren LabelMaker.cs: hinzufügen New; aktualisieren Old, same; entfernen Gone (+3/-2)"
 
 
+def test_lines_are_parsed_once_for_a_subject(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    lines = [("a/x.cs", "Added", "+class New {"), ("a/x.cs", "Added", "+  publicclass Odd"), ("a/y.cs", "Modified", "-\tconst f = (a) => a"), ("a/y.cs", "Modified", "+prose, class by class")]
+    d = spark.createDataFrame(lines, "path string, status string, line string")
+    ch = D.summaries(d.mapInArrow(counted, d.schema)).withColumn("g", F.lit(1))
+    assert [r["subject"] for r in D.subjects(ch, "en", "g").collect()] == ["feat(a): add x and update y"]
+    assert {(r["path"], *r["added"], *r["removed"]) for r in ch.collect()} == {("a/x.cs", "New", "Odd"), ("a/y.cs", "f")}
+    assert seen.value == len(lines)
+
+
 def test_tree_marks(spark):
     e, _ = graph(spark, [(0, 1), (0, 2), (1, 2), (2, 0)], 3)
     nodes = spark.createDataFrame([(0, "A", False), (1, "B", True), (2, "C", False)], "id long, label string, modified boolean")

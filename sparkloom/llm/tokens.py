@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import array
 import os
+import re
 import zlib
 
 import numpy as np
@@ -11,8 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bytes that a worker's memory of encoded words may take; it is emptied when full.
-CACHE_BYTES = 48 << 20
+#: Bytes that a worker's memory of encoded words may take; the older half goes when it is full.
+CACHE_BYTES = 96 << 20
 #: What an entry takes besides its word and ids: two objects and its place in the table.
 ENTRY_BYTES = 180
 
@@ -24,18 +25,24 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 
 class Memory(dict):
-    """A mapping that is emptied once its keys and values take ``CACHE_BYTES``."""
+    """A mapping that holds half of ``CACHE_BYTES`` of keys and values, and the half before it in ``old``, from which ``recall`` takes what is still in use."""
 
     used = 0
+    old: dict = {}
 
     def keep(self, key, ids: bytes) -> bytes:
         self.used += len(key) + len(ids) + ENTRY_BYTES
-        if self.used > CACHE_BYTES:
+        if self.used > CACHE_BYTES // 2:
+            self.old = dict(self)
             self.clear()
             self.used = 0
         self[key] = ids
         return ids
 
+    def recall(self, key) -> bytes | None:
+        ids = self.old.get(key)
+        return ids if ids is None else self.keep(key, ids)
+
 
 class WordEncoder(Memory):
     """Ids of a text as little-endian uint32 bytes, word by word; it is its own memory of words.
@@ -44,12 +51,15 @@ class WordEncoder(Memory):
     text are those of its words in turn.  A new word made of printable ASCII and
     Latin letters goes straight to the tokenizer's BPE model: its normal form is
     its lower case, and ``PIECES`` splits it.  Any other word, and any that may
-    hold a special token, goes through the whole tokenizer.
+    hold a special token, goes through the whole tokenizer.  ASCII capitals are lowered and
+    signs at the ends of words parted from them at once for the whole text, so that the word is found in the memory.
     """
 
     #: Fixed values of the tokenizer file: its split pattern.
     PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
     PLAIN = r"[\x21-\x7EÀ-ÖØ-öø-įı-ſ]+"
+    #: Signs behind an ASCII letter, up to the word's end: a piece of their own, whatever the word is.
+    ENDS = rb"[!-/:-@\[-`{-~](?<=[A-Za-z].)[!-/:-@\[-`{-~]*+(?![^\t-\r ])"
     #: ASCII signs: at a word's end they are one piece.
     SIGNS = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 
@@ -62,27 +72,31 @@ class WordEncoder(Memory):
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.pieces = regex.compile(self.PIECES).findall
-        self.plain = regex.compile(self.PLAIN).fullmatch
+        self.plain = re.compile(self.PLAIN).fullmatch
         visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in set(visible)]
+        self.part_ends = re.compile(self.ENDS).sub
         self.letters = {b: chr(b) for b in visible} | {b: chr(256 + i) for i, b in enumerate(hidden)}
         self.parts = Memory()
 
     def _part(self, piece: str) -> bytes:
-        ids = self.parts.get(piece)
+        ids = self.parts.get(piece) or self.parts.recall(piece)
         if ids is None:
             spelled = piece if piece.isascii() else "".join([self.letters[b] for b in piece.encode()])
             ids = self.parts.keep(piece, array.array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes())
         return ids
 
     def __missing__(self, word: bytes) -> bytes:
+        known = self.recall(word)
+        if known is not None:
+            return known
         if word.isalpha():  # ASCII letters alone are one piece
             low = word.lower()
             if low != word:
                 return self.keep(word, self[low])
             return self.keep(word, array.array("I", [t.id for t in self.model.tokenize(word.decode())]).tobytes())
         stem = word.rstrip(self.SIGNS)
-        if stem.isalpha() and b"<|" not in word:  # put together at each mention: most such words come once
+        if stem.isalpha() and b"<|" not in word:
             return self[stem] + self._part(word[len(stem) :].decode())
         text = word.decode()
         if not self.plain(text) or "<|" in text:
@@ -93,6 +107,8 @@ class WordEncoder(Memory):
         return self.keep(word, b"".join([self._part(p) for p in self.pieces(text)]))
 
     def encode(self, text: bytes) -> bytes:
+        if b"<|" not in text:
+            text = self.part_ends(rb" \g<0>", text.lower())
         return b"".join([self[w] for w in text.split()])
 
 

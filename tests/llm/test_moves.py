@@ -21,3 +21,29 @@ def test_words_with_signs_are_put_together_and_not_kept():
     want = enc.tokenizer.encode(text, add_special_tokens=False).ids
     assert list(T.as_ids(enc.encode(text.encode()))) == want == list(T.as_ids(enc.encode(text.encode())))
     assert b"hello" in enc and b"hello." not in enc
+
+
+def test_signs_and_capitals_make_no_word_that_is_not_in_the_memory():
+    missed = []
+
+    class Counted(T.WordEncoder):
+        def __missing__(self, word):
+            missed.append(word)
+            return super().__missing__(word)
+
+    enc = Counted(T.tokenizer_path())
+    enc.encode(b"hello world , ###")
+    missed.clear()
+    text = "Hello, WORLD### world, hello hello###"
+    assert list(T.as_ids(enc.encode(text.encode()))) == enc.tokenizer.encode(text, add_special_tokens=False).ids and not missed
+    for odd in ("İ. İ, Å. á, É's, 'S. x'LL, é…, a…. ,a, \x01a. <|ENDOFTEXT|>, A", "K's ſ. ŉ, o'S' (A) 中A, A中."):
+        assert list(T.as_ids(enc.encode(odd.encode()))) == enc.tokenizer.encode(odd, add_special_tokens=False).ids
+
+
+def test_a_turn_of_the_memory_keeps_what_is_in_use(monkeypatch):
+    monkeypatch.setattr(T, "CACHE_BYTES", 4_000)
+    kept = T.Memory()
+    for i in range(200):
+        kept.keep(b"word%d" % i, b"ids.")
+        assert kept.get(b"often") or kept.recall(b"often") or (i == 0 and kept.keep(b"often", b"ids."))
+    assert len(kept) + len(kept.old) < 30

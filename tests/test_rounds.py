@@ -4,7 +4,7 @@ import duckdb
 import pytest
 
 from sparkloom.operators import graph as G
-from sparkloom.plans import registry
+from sparkloom.plans import graph_queries, registry
 
 
 @pytest.fixture(scope="module")
@@ -23,6 +23,25 @@ def test_deep_walks_end_where_their_sql_does(spark, deep, name):
     assert sorted(tuple(r) for r in registry.queries()[name](spark, str(deep)).collect()) == sorted(want)
 
 
+def test_the_sql_lists_cycles_whole(deep):
+    """Eight members of a cycle are more than 60 edges from its first."""
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{deep}/documents.parquet'")
+    sql = registry.oracle_sql()
+    sizes = dict(con.execute(sql["cycles"]).fetchall())
+    got = sorted(con.execute(sql["cycle_list"]).fetchall())
+    assert [(scc, at) for scc, at, _ in got] == [(scc, at) for scc in sorted(sizes) for at in range(sizes[scc] + 1)]
+    assert sorted((node, scc) for scc, at, node in got if at < sizes[scc]) == sorted(r for r in con.execute(sql["scc_members"]).fetchall() if r[1] in sizes)
+
+
+def test_the_query_lists_cycles_whole(spark, monkeypatch):
+    """A ring of 64 nodes, the last of which is 63 edges from the first."""
+    ring = spark.range(64).selectExpr("id AS src", "(id + 1) % 64 AS dst")
+    monkeypatch.setattr(graph_queries.B, "edges", lambda *_: ring)
+    monkeypatch.setattr(G, "strong_components", lambda *_: spark.range(64).selectExpr("id", "0L AS scc"))
+    assert sorted(tuple(r) for r in registry.queries()["cycle_list"](spark, "/root/testdata/sf0.001").collect()) == [*[(0, i, i) for i in range(64)], (0, 64, 0)]
+
+
 def test_a_cycle_list_may_end_at_a_depth(spark):
     edges = spark.createDataFrame([(i, (i + 1) % 6) for i in range(6)], "src long, dst long")
     sccs = G.strong_components(spark.range(6), edges)

@@ -11,7 +11,7 @@ from sparkloom.operators import extract as X
 from sparkloom.operators import graph as G
 from sparkloom.operators import roots, score
 from sparkloom.operators import select as SEL
-from sparkloom.plans import render
+from sparkloom.plans import extract_queries, render
 from sparkloom.sources import readers
 
 
@@ -56,6 +56,25 @@ def test_go_packages_are_in_the_graph(spark):
     assert pairs(X.all_edges(files(spark, tree))) == want
 
 
+def test_go_packages_are_in_the_graph_whole(spark):
+    """Every file of a package with every other, and an importer with every file of the package, whatever its case."""
+    head = 'package p\nimport (\n  "fmt"\n  "mod/Deep/Q"\n)\nimport "x/myutil"\n'
+    tree = {"p/a.go": head, "p/b.go": "", "p/c.go": "", "p/c_test.go": head, "q/d.go": "", "q/e.py": "", "q/f.go": 'import "p"', "r/Q/g.go": "", "r/myutil/h.go": "", "r/myutil/i.go": "", "j.go": "", "k.go": ""}
+    go = [p for p in tree if p.endswith(".go") and not p.endswith("_test.go")]
+    want = {(s, d, "Import") for s in go for d in go if s != d and s.rpartition("/")[0] == d.rpartition("/")[0]}
+    want |= {("p/a.go", d, "Import") for d in ("q/d.go", "q/f.go", "r/Q/g.go")} | {("p/a.go", f"r/myutil/{x}.go", "ExtensionMethod") for x in "hi"} | {("q/f.go", f"p/{x}.go", "Import") for x in "abc"}
+    f = files(spark, tree)
+    assert pairs(X.all_edges(f, whole_packages=True)) == want
+    leads = pairs(X.go_packages(f))
+    assert leads < want and len(leads) == 14
+
+
+def test_the_query_links_go_files_with_their_whole_package(spark, monkeypatch):
+    f = files(spark, {"p/a.go": "", "p/b.go": "", "p/c.go": ""})
+    monkeypatch.setattr(extract_queries.B, "files", lambda *_: f)
+    assert pairs(extract_queries.code_graph_edges(spark, "")) == {(f"p/{s}.go", f"p/{d}.go", "Import") for s in "abc" for d in "abc" if s != d}
+
+
 def test_symbols(spark):
     f = files(spark, {"a.ts": "export class A {}\nfunction run(x) {}\nexport const go = (x) => x\nclass A {}"})
     t = X.declared_types(F.col("content"))
